@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cuesheet.functions import pvalues
 from cuesheet.operators.ordered import attach_by_value, median_of, rank_table
+from cuesheet.session import materialise
 
 
 def melt(
@@ -202,17 +203,6 @@ def top_categories(
     )
 
 
-def midranks(rows: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Twice the average rank, centred at 0 (an integer): 2·rank − (n + 1).
-
-    ``keys`` must take few values (features, pairs): hot values are broadcast per key.
-    """
-    table = rank_table(rows, keys, value)
-    centred = 2 * F.col("n_below") + F.col("n") - F.col("n_total")
-    table = table.select(*keys, value, centred.cast("double").alias(out), "n", "n_total")
-    return attach_by_value(rows, table, [*keys, value], "n").drop("n", "n_total")
-
-
 def spearman(
     df: DataFrame,
     pairs: Sequence[tuple[str, str]],
@@ -240,18 +230,31 @@ def spearman(
 
 
 def _rank_corr(points: DataFrame, cols: Sequence[str]) -> DataFrame:
-    for v, r in (("x", "_rx"), ("y", "_ry")):
-        table = rank_table(points, cols, v, {"n": F.col("w")})
+    """Correlation of centred midranks (2·rank − n − 1, integers) from weighted points.
+
+    Only x is attached to the points. Their sum per y value then meets the rank table of y one to
+    one, so no row of a hot value is joined twice.
+    """
+    points = materialise(points)
+
+    def table(v: str, r: str) -> DataFrame:
         centred = (2 * F.col("n_below") + F.col("n") - F.col("n_total")).cast("double")
-        table = table.select(*cols, v, centred.alias(r), F.col("n").alias("_n"), F.col("n_total").alias("_n_total"))
-        points = attach_by_value(points, table, [*cols, v], "_n").drop("_n", "_n_total")
+        return rank_table(points, cols, v, {"n": F.col("w")}).select(
+            *cols, v, centred.alias(r), "n", "n_total"
+        )
+
+    tx, ty = table("x", "_rx"), table("y", "_ry")
     w = F.col("w").cast("double")
-    s = points.groupBy(*cols).agg(
-        F.sum("w").alias("n"),
-        F.sum(w * F.col("_rx") * F.col("_ry")).alias("_xy"),
-        F.sum(w * F.col("_rx") * F.col("_rx")).alias("_xx"),
-        F.sum(w * F.col("_ry") * F.col("_ry")).alias("_yy"),
+    per_y = attach_by_value(points, tx, [*cols, "x"], "n").groupBy(*cols, "y").agg(
+        F.sum(w * F.col("_rx")).alias("_wx")
     )
+    n = F.col("n").cast("double")
+    xs = tx.groupBy(*cols).agg(F.sum(n * F.col("_rx") * F.col("_rx")).alias("_xx"))
+    s = per_y.join(ty, [*cols, "y"]).groupBy(*cols).agg(
+        F.max("n_total").alias("n"),
+        F.sum(F.col("_wx") * F.col("_ry")).alias("_xy"),
+        F.sum(n * F.col("_ry") * F.col("_ry")).alias("_yy"),
+    ).join(xs, list(cols))
     spread = F.col("_xx") * F.col("_yy")
     return s.withColumn("rho", F.when(spread > 0, F.col("_xy") / F.sqrt(spread))).drop("_xy", "_xx", "_yy")
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("sampling",)
+MODULES: tuple[str, ...] = ("sampling", "stats")
 
 
 def load_all() -> None:

@@ -83,9 +83,15 @@ pop AS (
     FROM orders JOIN customer ON o_custkey = c_custkey))"""
 
 
-def features(spark: SparkSession, sf: str) -> DataFrame:
-    """One wide row per item; items without lines keep NULL in the line features."""
+def features(spark: SparkSession, sf: str, only: DataFrame | None = None) -> DataFrame:
+    """One wide row per item; items without lines keep NULL in the line features.
+
+    ``only`` is a sample of bounded size: its ids filter the lines before they are shuffled.
+    """
     li = table(spark, sf, "lineitem")
+    if only is not None:
+        ids = F.broadcast(only.select(F.col("item").alias("l_orderkey")))
+        li = li.join(ids, "l_orderkey", "left_semi")
     agg = li.groupBy("l_orderkey").agg(
         F.count("*").alias("n_lines"),
         F.sum(F.col("l_quantity").cast("bigint")).alias("_qty"),
