@@ -8,6 +8,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from cuesheet.functions.numbers import as_col, rnd
 
@@ -46,7 +47,7 @@ MARKERS = r"(official\s*)?(music\s*video|m/?v)|feat\.?\s*\S*|prod\.?\s*\S*"
 SEPARATORS = r"[/|\-–—:·]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
@@ -101,7 +102,7 @@ def title_phrase(title, channel) -> Column:
     return F.coalesce(own, F.when(F.length(stripped) >= 2, stripped), F.lit(""))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _deflate_ratio(s: pd.Series) -> pd.Series:
     def one(text):
         raw = text.encode("utf-8")

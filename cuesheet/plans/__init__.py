@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("sampling", "stats")
+MODULES: tuple[str, ...] = ("sampling", "stats", "timeaxis")
 
 
 def load_all() -> None:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cuesheet.functions.numbers import cents, rnd
 
@@ -18,8 +19,15 @@ SHOTS = ["closeup", "wide", "medium", "insert"]
 STYLES = ["anime", "live", "mixed"]
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """Read a driver table; the footer is inspected once per path, not once per query."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def pick_word(index, words):
@@ -272,47 +280,69 @@ TAGS = SCENES + f"""
   FROM ev WHERE kind <> 'error')"""
 
 
-def energy(spark: SparkSession, sf: str) -> DataFrame:
-    """Energy per 10 s bin: 60 bins per item at most, each the summed amount in cents."""
-    ev = timed_events(spark, sf)
-    return (
-        ev.groupBy("item", F.floor(F.col("t_ms") / 10000).alias("bin"))
-        .agg(F.sum("amount").alias("value"))
-    )
+def points(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    """Point times of one event kind: click = cuts, view = beats, purchase = lines."""
+    ev = timed_events(spark, sf).where(F.col("kind") == kind)
+    t = F.col("t_ms") + F.col("k") * 137 % 20000 if kind == "purchase" else F.col("t_ms")
+    return ev.select("item", "seq", t.alias("t_ms"), "k")
 
 
-ENERGY = """
-energy AS (
-  SELECT item, CAST(floor(CAST(t_ms AS DOUBLE) / 10000) AS BIGINT) AS bin, CAST(sum(amount) AS BIGINT) AS value
-  FROM ev GROUP BY 1, 2)"""
+POINTS = EV + """
+, cuts AS (SELECT item, seq, t_ms, k FROM ev WHERE kind = 'click'),
+beats AS (SELECT item, seq, t_ms, k FROM ev WHERE kind = 'view'),
+tl AS (SELECT item, seq, t_ms + k * 137 % 20000 AS t_ms, k FROM ev WHERE kind = 'purchase')"""
 
 
-def replay(spark: SparkSession, sf: str) -> DataFrame:
-    """Replay curve: 100 bins of 6 s with the number of events; empty bins are 0."""
+def probes(spark: SparkSession, sf: str) -> DataFrame:
+    """Times to look up; the clock runs 20 % too fast, so that some lie past the end."""
+    ev = timed_events(spark, sf).where(F.col("kind") == "signup")
+    return ev.select("item", "seq", F.floor(F.col("t_ms") * 6 / 5).alias("t_ms"))
+
+
+PROBES = """
+probes AS (SELECT item, seq, CAST(floor(t_ms * 6 / 5) AS BIGINT) AS t_ms FROM ev WHERE kind = 'signup')"""
+
+
+def _binned(spark, sf, width_ms: int, bins: int, value) -> DataFrame:
+    """Dense bins per item: a grid of ``bins`` rows per item, 0 where nothing happened."""
     ev = timed_events(spark, sf)
-    hits = ev.groupBy("item", F.floor(F.col("t_ms") / 6000).alias("bin")).agg(F.count("*").alias("hits"))
-    grid = (
-        ev.select("item").distinct()
-        .withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(99).cast("bigint"))))
+    got = ev.groupBy("item", F.floor(F.col("t_ms") / width_ms).alias("bin")).agg(value.alias("v"))
+    grid = ev.select("item").distinct().withColumn(
+        "bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint")))
     )
-    return grid.join(hits, ["item", "bin"], "left").select(
-        "item",
-        "bin",
-        (F.col("bin") * 6.0).alias("start_time"),
-        (F.col("bin") * 6.0 + 6.0).alias("end_time"),
-        F.coalesce("hits", F.lit(0)).alias("value"),
+    return grid.join(got, ["item", "bin"], "left").select(
+        "item", "bin", F.coalesce("v", F.lit(0)).alias("value")
     )
 
 
-REPLAY = """
-replay AS (
-  SELECT g.item, g.bin, g.bin * 6.0 AS start_time, g.bin * 6.0 + 6.0 AS end_time,
-         coalesce(h.hits, 0) AS value
-  FROM (SELECT item, CAST(b AS BIGINT) AS bin FROM (SELECT DISTINCT item FROM ev), range(0, 100) r(b)) g
-  LEFT JOIN (SELECT item, CAST(floor(CAST(t_ms AS DOUBLE) / 6000) AS BIGINT) AS bin, count(*) AS hits
+def energy(spark: SparkSession, sf: str) -> DataFrame:
+    """Energy per 10 s bin: 60 bins per item, each the summed amount in cents."""
+    return _binned(spark, sf, 10000, 60, F.sum("amount"))
+
+
+def _grid_sql(name: str, width: int, bins: int, value: str, extra: str = "") -> str:
+    return f"""
+{name} AS (
+  SELECT g.item, g.bin, {extra} CAST(coalesce(h.v, 0) AS BIGINT) AS value
+  FROM (SELECT item, CAST(b AS BIGINT) AS bin FROM (SELECT DISTINCT item FROM ev), range(0, {bins}) r(b)) g
+  LEFT JOIN (SELECT item, CAST(floor(CAST(t_ms AS DOUBLE) / {width}) AS BIGINT) AS bin, {value} AS v
              FROM ev GROUP BY 1, 2) h USING (item, bin))"""
 
 
+ENERGY = _grid_sql("energy", 10000, 60, "sum(amount)")
+
+
+def replay(spark: SparkSession, sf: str) -> DataFrame:
+    """Replay curve: 100 bins of 6 s with the number of events."""
+    start = F.col("bin") * 6.0
+    return _binned(spark, sf, 6000, 100, F.count("*")).withColumns(
+        {"start_time": start, "end_time": start + 6.0}
+    )
+
+
+REPLAY = _grid_sql("replay", 6000, 100, "count(*)", "g.bin * CAST(6 AS DOUBLE) AS start_time, g.bin * CAST(6 AS DOUBLE) + 6 AS end_time,")
+
+
 # ---------------------------------------------------------------- texts
 
 
