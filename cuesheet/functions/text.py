@@ -58,9 +58,18 @@ def nfkc(x) -> Column:
     return F.coalesce(_nfkc(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u3000"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+
+
+def strip(x) -> Column:
+    """Trim every kind of white space, not only blanks."""
+    return F.btrim(as_col(x), F.lit(WHITE))
+
+
 def squash(x) -> Column:
-    """Drop everything but word characters, also the underscore, and lower the rest."""
-    return F.lower(F.regexp_replace(as_col(x), r"(?U)[\W_]+", ""))
+    """Letters and digits only, lowered: the key for repetition and substring tests."""
+    return F.lower(F.regexp_replace(as_col(x), r"[^\p{L}\p{N}]+", ""))
 
 
 def script_share(x, lang: str, latin: bool = False) -> Column:
@@ -163,11 +172,11 @@ def clean_lines(text, lang: str | None = None, latin: bool = False, share: float
     ``t_s`` is 4 s per source line. Stays inside the row: no shuffle, whatever the text length.
     """
     raw = F.transform(
-        F.split(as_col(text), r"\r\n|\r|\n"),
+        F.split(as_col(text), LINE_BREAK),
         lambda x, i: F.struct(
             i.cast("bigint").alias("pos"),
             (i * 4).cast("bigint").alias("t_s"),
-            F.trim(F.regexp_replace(F.trim(x), "(?iu)" + LANG_LABEL, "")).alias("line"),
+            strip(F.regexp_replace(strip(x), "(?iu)" + LANG_LABEL, "")).alias("line"),
         ),
     )
 
@@ -182,6 +191,21 @@ def clean_lines(text, lang: str | None = None, latin: bool = False, share: float
     return collapse(F.filter(raw, keep))
 
 
+def phrase_hits(lines: Column, phrase: Column) -> Column:
+    """struct<first_s, count> of the lines containing the phrase; none for a phrase under 2 characters."""
+    hit = F.when(F.length(phrase) >= 2, F.filter(lines, lambda x: F.contains(squash(x["line"]), phrase)))
+
+    def summary(found: Column) -> Column:
+        # negative index or size of a missing array must not count
+        n = F.coalesce(F.size(found), F.lit(0))
+        return F.struct(
+            F.when(n > 0, found[0]["t_s"]).alias("first_s"),
+            F.greatest(n, F.lit(0)).cast("bigint").alias("count"),
+        )
+
+    return let(F.coalesce(hit, F.slice(lines, 1, 0)), summary)
+
+
 def id_from_url(x) -> Column:
     """The 11-character id inside a link, else the text itself."""
     c = as_col(x)

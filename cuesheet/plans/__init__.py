@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("sampling", "stats", "timeaxis")
+MODULES: tuple[str, ...] = ("sampling", "stats", "timeaxis", "text")
 
 
 def load_all() -> None:
