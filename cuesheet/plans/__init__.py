@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("sampling", "stats", "timeaxis", "text")
+MODULES: tuple[str, ...] = ("sampling", "stats", "timeaxis", "text", "similarity")
 
 
 def load_all() -> None:
