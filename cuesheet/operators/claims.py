@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,7 +82,9 @@ def strength() -> Column:
 
 
 def feature_category(feature: Column) -> Column:
-    starts = lambda *p: __import__("functools").reduce(lambda a, b: a | b, [feature.startswith(x) for x in p])
+    def starts(*prefixes: str) -> Column:
+        return reduce(lambda a, b: a | b, [feature.startswith(p) for p in prefixes])
+
     return (
         F.when(feature.isin("scene_avg_saturation", "scene_avg_brightness"), "visual")
         .when(starts("scene_"), "editing").when(starts("hook_"), "hook").when(starts("audio_"), "audio")

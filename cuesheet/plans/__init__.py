@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("sampling", "stats", "timeaxis", "text", "similarity", "claims")
+MODULES: tuple[str, ...] = ("sampling", "stats", "timeaxis", "text", "similarity", "claims", "tables")
 
 
 def load_all() -> None:
