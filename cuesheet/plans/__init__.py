@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("sampling", "stats", "timeaxis", "text", "similarity", "claims", "tables")
+MODULES: tuple[str, ...] = ("sampling", "stats", "timeaxis", "text", "similarity", "claims", "tables", "matching", "stream")
 
 
 def load_all() -> None:

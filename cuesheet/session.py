@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,23 +25,32 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "cuesheet")
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point checkpoint() at the folder named by spark.checkpoint.dir.
+_LOCAL_FOLDERS: dict[str, str] = {}
 
-    Only where the setting is absent (a local test) is a fresh temporary folder used.
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which every executor can reach.
+
+    Only where the setting is absent and the master is local (a test) is a fresh temporary folder used.
     """
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if shared is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder on a cluster")
-        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    sc.setCheckpointDir(shared)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+    app = sc.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL_FOLDERS[app]
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage through reliable storage, so a lost executor costs a read and not a re-run."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage by a written table, so a lost executor costs a read and not a re-run.
+
+    A table and not ``checkpoint()``: the plan runs once, the copy is columnar and later reads prune
+    columns and know its size.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/cuesheet/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
