@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,16 +17,25 @@ SAMPLE_COLUMNS = [
 KIND_FILE = "_kind.json"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
 
 
 def _kind(spark: SparkSession, path: str) -> str | None:
     if not _exists(spark, f"{path}/{KIND_FILE}"):
         return None
-    row = spark.read.text(f"{path}/{KIND_FILE}").first()
-    return json.loads(row["value"]).get("kind") if row else None
+    fs, p = _fs(spark, f"{path}/{KIND_FILE}")
+    stream = fs.open(p)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")).get("kind")
+    finally:
+        stream.close()
 
 
 def guard(spark: SparkSession, path: str, kind: str, inputs: list[str]) -> None:
@@ -40,17 +50,22 @@ def guard(spark: SparkSession, path: str, kind: str, inputs: list[str]) -> None:
 
 
 def write_table(df: DataFrame, path: str, kind: str, inputs: list[str] = (), fmt: str = "parquet", **options) -> None:
-    """Guarded overwrite; the committer of the sink makes the data appear as a whole."""
+    """Guarded replacement: written beside the target with its kind, then moved into its place."""
     spark = df.sparkSession
     guard(spark, path, kind, list(inputs))
-    writer = df.write.mode("overwrite").format(fmt)
+    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    writer = df.write.format(fmt)
     for k, v in options.items():
         writer = writer.option(k, v)
-    writer.save(path)
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{KIND_FILE}")
-    out = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).create(fs_path, True)
+    writer.save(staging)
+    fs, mark = _fs(spark, f"{staging}/{KIND_FILE}")
+    out = fs.create(mark, True)
     out.write(bytearray(json.dumps({"kind": kind}).encode()))
     out.close()
+    _, target = _fs(spark, path)
+    fs.delete(target, True)
+    if not fs.rename(_fs(spark, staging)[1], target):
+        raise OSError(f"could not move {staging} to {path}")
 
 
 def write_sample(df: DataFrame, path: str, inputs: list[str] = ()) -> None:
