@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cuesheet.functions.numbers import rnd
 from cuesheet.operators.ordered import attach_by_value, median_of, nth, rank_table
 from cuesheet.operators.ranks import melt
+from cuesheet.session import materialise
 
 MAX_TARGETS = 1000
 
@@ -21,7 +22,8 @@ def robust_scale(long: DataFrame, min_n: int = 3) -> DataFrame:
     scale = max(1.4826·MAD, IQR/1.349, range/20, 1e-9) with nearest-rank quartiles of the sorted
     values. The deviations are counted from the counts of the values, not from the rows.
     """
-    table = rank_table(long, ["feature"], "value")
+    # read for the quartiles and again for the deviations
+    table = materialise(rank_table(long, ["feature"], "value"))
     n = F.col("n_total")
     base = table.groupBy("feature").agg(
         F.max("n_total").alias("n"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cuesheet.functions.numbers import rnd
 from cuesheet.operators import claims, profile, ranks, similarity
 from cuesheet.plans.registry import query
-from cuesheet.plans.roles import FEAT, features, with_clause
+from cuesheet.plans.roles import FEAT, feature_table, with_clause
 from cuesheet.plans.stats_queries import R6, r6
 
 # role columns under the feature names the rules know
@@ -25,7 +25,7 @@ TARGET = "item % 97 = 11"
 
 
 def renamed(spark, sf):
-    return features(spark, sf).select("item", *CATS, *[F.col(k).alias(v) for k, v in NAMES.items()])
+    return feature_table(spark, sf, "item", *CATS, *NAMES).withColumnsRenamed(NAMES)
 
 
 def favourites(df):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cuesheet.functions.numbers import cents, rnd
+from cuesheet.session import materialise
 
 ITEM_LENGTH_S = 600.0  # 30 days of events are read as a 600 s item
 US_PER_MS = 4_320_000  # 30 days / 600 s, in microseconds of wall clock per item millisecond
@@ -136,6 +137,15 @@ def features(spark: SparkSession, sf: str, only: DataFrame | None = None) -> Dat
     )
 
 
+def feature_table(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """The named feature columns as a written table.
+
+    For plans that read the features several times (cut points, statistics, rows): the join and the
+    aggregation of the lines then run once, and the copy is one narrow row per item.
+    """
+    return materialise(features(spark, sf).select(*columns))
+
+
 FEAT = POP + """,
 feat AS (
   SELECT p.*, n_lines, qty_avg, price_avg, price_min, price_max, disc_avg, any_return, flag_first,
@@ -346,8 +356,19 @@ REPLAY = _grid_sql("replay", 6000, 100, "count(*)", "g.bin * CAST(6 AS DOUBLE) A
 # ---------------------------------------------------------------- texts
 
 
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A text table for work that is heavy per row.
+
+    Fewer files than cores leave cores idle, so such (small) inputs are spread; with many files the
+    scan is parallel by itself and nothing is shuffled.
+    """
+    df = table(spark, sf, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return texts(spark, sf, "documents")
 
 
 LINES = r"""

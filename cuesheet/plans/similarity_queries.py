@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cuesheet.functions.numbers import rnd
 from cuesheet.operators import pca, ranks, similarity
 from cuesheet.plans.registry import query
-from cuesheet.plans.roles import FEAT, features, numeric_long_sql, table, with_clause
+from cuesheet.plans.roles import FEAT, feature_table, features, numeric_long_sql, table, with_clause
 from cuesheet.plans.stats_queries import R6, r6
 
 COLS = ["duration_s", "n_lines", "qty_avg", "price_avg", "like_rate", "title_len"]
@@ -27,7 +27,7 @@ scale AS (SELECT feature, max(n) AS n, max(med) AS median, quantile_cont(abs(val
 
 @query("robust_scale", with_clause(FEAT, LONG, SCALE_SQL) + f"SELECT feature, n, {R6('median')} AS median, {R6('mad')} AS mad, {R6('scale')} AS scale FROM scale", "M1")
 def robust_scale(spark, sf):
-    s = similarity.robust_scale(ranks.melt(features(spark, sf), ["item"], COLS))
+    s = similarity.robust_scale(ranks.melt(feature_table(spark, sf, "item", *COLS), ["item"], COLS))
     return r6(s, "median", "mad", "scale")
 
 
@@ -40,7 +40,7 @@ def robust_scale(spark, sf):
     "M2 M3 K3 J16",
 )
 def knn_similar(spark, sf):
-    f = features(spark, sf).select("item", *COLS)
+    f = feature_table(spark, sf, "item", *COLS)
     scale = {r["feature"]: r["scale"] for r in similarity.robust_scale(ranks.melt(f, ["item"], COLS)).collect()}
     return similarity.neighbours(f, similarity.target_rows(f, TARGETS, "item", COLS), COLS, scale, 10)
 
@@ -54,7 +54,7 @@ def knn_similar(spark, sf):
     "M4 K4",
 )
 def outlier_scores(spark, sf):
-    f = features(spark, sf).select("item", *COLS)
+    f = feature_table(spark, sf, "item", *COLS)
     return similarity.outliers(f, COLS, similarity.robust_scale(ranks.melt(f, ["item"], COLS)), 50)
 
 
@@ -67,19 +67,19 @@ TWO = ["n_lines", "price_avg"]
 
 @query("midrank_percentile", with_clause(FEAT, numeric_long_sql(TWO), PCT_SQL) + "SELECT item, feature, midrank_pct FROM pct", "W7")
 def midrank_percentile(spark, sf):
-    long = ranks.melt(features(spark, sf), ["item"], TWO)
+    long = ranks.melt(feature_table(spark, sf, "item", *TWO), ["item"], TWO)
     return similarity.with_percentiles(long, long).select("item", "feature", "midrank_pct")
 
 
 @query("at_or_below_percentile", with_clause(FEAT, numeric_long_sql(TWO), PCT_SQL) + "SELECT item, feature, at_or_below_pct FROM pct", "W8")
 def at_or_below_percentile(spark, sf):
-    long = ranks.melt(features(spark, sf), ["item"], TWO)
+    long = ranks.melt(feature_table(spark, sf, "item", *TWO), ["item"], TWO)
     return similarity.with_percentiles(long, long).select("item", "feature", "at_or_below_pct")
 
 
 @query("target_benchmark", with_clause(FEAT, LONG, PCT_SQL) + f"SELECT item, feature, value, midrank_pct AS percentile FROM pct WHERE item IN ({TSQL})", "M5 W7")
 def target_benchmark(spark, sf):
-    long = ranks.melt(features(spark, sf), ["item"], COLS)
+    long = ranks.melt(feature_table(spark, sf, "item", *COLS), ["item"], COLS)
     asked = long.where(F.col("item").isin(TARGETS))
     return similarity.with_percentiles(asked, long).select("item", "feature", "value", F.col("midrank_pct").alias("percentile"))
 
@@ -97,7 +97,7 @@ mo AS (SELECT feature, avg(value) AS reference_mean, stddev_pop(value) AS refere
     "C5 M6",
 )
 def evidence_report(spark, sf):
-    f = features(spark, sf).select("item", *COLS)
+    f = feature_table(spark, sf, "item", *COLS)
     rows = similarity.evidence(f, f.where(F.col("item") % 151 == 7), COLS)
     return r6(rows, "z", "reference_mean", "reference_std", "reference_median").select(
         "item", "feature", "value", "z", "percentile", "reference_mean", "reference_std", "reference_median", "reference_n"
@@ -117,7 +117,7 @@ def evidence_report(spark, sf):
     "M7 M8",
 )
 def centroid_distance(spark, sf):
-    f = features(spark, sf).select("item", "group", *COLS)
+    f = feature_table(spark, sf, "item", "group", *COLS)
     mom = similarity.moments(f, COLS)
     d = similarity.centroid_distances(f, similarity.target_rows(f, TARGETS, "item", COLS), COLS, mom, "group")
     return r6(similarity.closer_group(d, "group"), "top_distance", "bottom_distance")
@@ -166,27 +166,27 @@ Z_SQL = "fz AS (SELECT " + ", ".join(f"{_filled(c)} AS {c}" for c in COLS) + " F
     "M9",
 )
 def pca_gram(spark, sf):
-    f = features(spark, sf).select(*COLS)
+    f = feature_table(spark, sf, *COLS)
     axes = pca.preprocess(f, COLS)
     return pca.gram(f, axes.z()).withColumn("value", rnd("value", 3))
 
 
 @query("pca_fit_project", None, "M9 M10")
 def pca_fit_project(spark, sf):
-    f = features(spark, sf).select("item", "group", *COLS)
+    f = feature_table(spark, sf, "item", "group", *COLS)
     return pca.project(f, pca.fit(f, COLS, min_n=20, constant="keep"), ["item", "group"])
 
 
 @query("pca_loadings", None, "M10 K8")
 def pca_loadings(spark, sf):
-    axes = pca.fit(features(spark, sf).select(*COLS), COLS)
+    axes = pca.fit(feature_table(spark, sf, *COLS), COLS)
     rows = [Row(**r, explained_pct=axes.explained_pct[int(r["component"][2:]) - 1]) for r in pca.top_loadings(axes)]
     return spark.createDataFrame(rows, "component string, feature string, loading double, explained_pct double")
 
 
 @query("axis_congruence", None, "M12")
 def axis_congruence(spark, sf):
-    f = features(spark, sf)
+    f = feature_table(spark, sf, "domain", *COLS)
     a, b = (
         pca.fit(f.where(F.col("domain") == d).select(*COLS), COLS, constant="keep", anchor="price_avg")
         for d in ("BUILDING", "MACHINERY")
@@ -205,7 +205,7 @@ def axis_congruence(spark, sf):
     "M11",
 )
 def axis_clip(spark, sf):
-    return similarity.axis_positions(features(spark, sf), ["price_avg", "qty_avg", "like_rate"], ["item"])
+    return similarity.axis_positions(feature_table(spark, sf, "item", "price_avg", "qty_avg", "like_rate"), ["price_avg", "qty_avg", "like_rate"], ["item"])
 
 
 @query(
@@ -236,4 +236,4 @@ DIRECTIONS = {"price_avg": 1, "n_lines": -1, "like_rate": 1}
     "M15",
 )
 def diagnose_target(spark, sf):
-    return similarity.diagnose(features(spark, sf).select("item", "group", *DIRECTIONS), DIRECTIONS)
+    return similarity.diagnose(feature_table(spark, sf, "item", "group", *DIRECTIONS), DIRECTIONS)

@@ -8,9 +8,10 @@ from cuesheet.functions.numbers import rnd
 from cuesheet.operators import agreement, ranks, reports, sampling
 from cuesheet.plans.registry import query
 from cuesheet.plans.roles import (
-    BINARY, CATEGORICAL, EV, FEAT, NUMERIC, POP, features, numeric_long_sql, population, table, timed_events, with_clause,
+    BINARY, CATEGORICAL, EV, FEAT, NUMERIC, POP, feature_table, features, numeric_long_sql, population, table, timed_events, with_clause,
 )
 from cuesheet.plans.sampling_queries import EXTREMES, fit
+from cuesheet.session import materialise
 
 
 def r6(df, *cols):
@@ -67,8 +68,8 @@ def cmp_out(df, *keys):
     return r6(df, "med_top", "med_bot", "delta", "p", "q")
 
 
-def long_features(spark, sf, only=None):
-    return ranks.melt(features(spark, sf, only), ["item", "domain", "group"], NUMERIC)
+def long_features(spark, sf):
+    return ranks.melt(feature_table(spark, sf, "domain", "group", *NUMERIC), ["domain", "group"], NUMERIC)
 
 
 @query(
@@ -82,8 +83,10 @@ def long_features(spark, sf, only=None):
 def sample_group_compare(spark, sf):
     """Population → extremes → features of the sample only → group comparison."""
     sample = sampling.extremes(fit(spark, sf), n=200, cap=2).select("item", "group")
+    sample = materialise(sample)  # 400 rows, used three times
     feat = features(spark, sf, sample).drop("group").join(F.broadcast(sample), "item")
-    return cmp_out(ranks.compare_groups(ranks.melt(feat, ["item", "group"], NUMERIC)))
+    feat = materialise(feat.select("group", *NUMERIC))
+    return cmp_out(ranks.compare_groups(ranks.melt(feat, ["group"], NUMERIC)))
 
 
 @query(
@@ -161,7 +164,7 @@ def categorical_top(spark, sf):
 )
 def group_report(spark, sf):
     """Numeric, binary and categorical sections as one long table."""
-    feat = features(spark, sf)
+    feat = feature_table(spark, sf, "group", *NUMERIC, *BINARY, *CATEGORICAL)
     num = cmp_out(ranks.compare_groups(ranks.melt(feat, ["group"], NUMERIC))).select(
         F.lit("numeric").alias("section"), "feature", F.lit(None).cast("string").alias("value"), "n_top",
         F.col("n_bot").alias("n_bottom"), F.col("med_top").alias("top"), F.col("med_bot").alias("bottom"),
@@ -243,7 +246,7 @@ def trend_three_groups(spark, sf):
     "T21",
 )
 def sensitivity_dominant_source(spark, sf):
-    feat = features(spark, sf)
+    feat = feature_table(spark, sf, "domain", "group", "mood", "price_avg")
     main = reports.dominant_source(feat, ["domain"], "mood")
     # one row per domain; the domain column has a closed vocabulary
     kept = feat.join(F.broadcast(main), ["domain", "mood"])
@@ -315,7 +318,7 @@ sc AS (SELECT item, domain, CASE WHEN ratio > 0 THEN log10(ratio) END AS log_rat
     "T23 T24 N5",
 )
 def construct_scores(spark, sf):
-    feat = features(spark, sf)
+    feat = feature_table(spark, sf, "domain", "ratio", *PLUS, *MINUS, "price_avg", "disc_avg")
     scored = feat.select(
         "domain",
         F.when(F.col("ratio") > 0, F.log10("ratio")).alias("log_ratio"),
@@ -369,7 +372,7 @@ def paired_by_channel(spark, sf):
 def matched_summary(spark, sf):
     from cuesheet.operators.ordered import quantiles
 
-    pairs = paired_by_channel(spark, sf)
+    pairs = materialise(paired_by_channel(spark, sf))
     s = ranks.signed_rank(pairs, "diff", ["domain"])
     return s.join(quantiles(pairs, ["domain"], "diff", {"median_log_ratio": 0.5}), "domain")
 

@@ -9,7 +9,7 @@ from cuesheet.functions.numbers import rnd
 from cuesheet.operators import scrub, search
 from cuesheet.operators.ordered import scan
 from cuesheet.plans.registry import query
-from cuesheet.plans.roles import POP, TAGS, documents, intervals, population, table, tags, with_clause
+from cuesheet.plans.roles import POP, TAGS, documents, intervals, population, table, tags, texts, with_clause
 
 Q = "[^\\p{L}\\p{N}]+"
 SQUASH = lambda x: f"lower(regexp_replace({x}, '{Q}', '', 'g'))"
@@ -235,8 +235,8 @@ un AS (SELECT src, id, 'local path' AS reason FROM tt WHERE regexp_matches(text,
 
 def all_texts(spark, sf):
     d = documents(spark, sf).select(F.lit("documents").alias("src"), F.col("doc_id").alias("id"), "text")
-    p = table(spark, sf, "pages").select(F.lit("pages").alias("src"), F.col("page_id").alias("id"), F.col("html").alias("text"))
-    c = table(spark, sf, "conversations").select(
+    p = texts(spark, sf, "pages").select(F.lit("pages").alias("src"), F.col("page_id").alias("id"), F.col("html").alias("text"))
+    c = texts(spark, sf, "conversations").select(
         F.lit("conversations").alias("src"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
         F.concat("text", F.expr(
             r"""CASE pmod(conv_id, 9) WHEN 0 THEN ' see http://10.1.2.3/x' WHEN 1 THEN concat(' C:', chr(92), 'data', chr(92), 'x') WHEN 2 THEN ' file:///x'
