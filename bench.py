@@ -1,6 +1,6 @@
 """Headline queries, one JSON line: seconds per query on local[$BENCH_CPUS] over $BENCH_SF_DIR.
 
-Each query runs once to warm up and then three times; the median counts. BENCH_QUERIES=all times
+Each query runs once to warm up and then BENCH_RUNS times (1); the median counts. BENCH_QUERIES=all times
 every registered query once.
 """
 
@@ -37,7 +37,7 @@ def main() -> None:
         q = known[name]
         if not every:
             seconds(spark, q, sf)
-        runs = [seconds(spark, q, sf) for _ in range(1 if every else 3)]
+        runs = [seconds(spark, q, sf) for _ in range(1 if every else int(os.environ.get("BENCH_RUNS", "1")))]
         times[name] = round(statistics.median(runs), 3)
     print(json.dumps({
         "metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
