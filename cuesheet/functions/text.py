@@ -130,6 +130,15 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def pin(value: Column) -> Column:
+    """Generator that fixes an expensive expression as a column.
+
+    A filter on the result cannot be pushed below it, so the expression runs once per row and not
+    once for the filter and again for the output.
+    """
+    return F.explode(F.array(value))
+
+
 def collapse(lines: Column) -> Column:
     """Drop an array element equal to its predecessor (after filtering, as the caller did)."""
     return let(

@@ -25,7 +25,7 @@ clean AS (SELECT doc_id, lang, source, pos, pos * 4 AS t_s, line FROM (
 def cleaned(spark, sf):
     """Documents with their clean lines as an array: every text operator stays inside the row."""
     return documents(spark, sf).select(
-        "doc_id", "lang", "source", "text", tx.clean_lines("text", latin=True).alias("lines")
+        "doc_id", "lang", "source", "text", tx.pin(tx.clean_lines("text", latin=True)).alias("lines")
     )
 
 
@@ -44,7 +44,7 @@ def line_clean(spark, sf):
 )
 def line_repeat_first(spark, sf):
     first = tx.repeat_of(F.col("lines"))["t_s"]
-    return cleaned(spark, sf).select("doc_id", first.alias("first_repeat_s")).where(F.col("first_repeat_s").isNotNull())
+    return cleaned(spark, sf).select("doc_id", tx.pin(first).alias("first_repeat_s")).where(F.col("first_repeat_s").isNotNull())
 
 
 @query(
@@ -68,7 +68,7 @@ def line_repetition_zlib(spark, sf):
     d = cleaned(spark, sf).where(F.size("lines") >= tx.MIN_LINES)
     joined = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
     # the generator pins the text as a column: nested lambdas cannot be an argument of a Python function
-    return d.select("doc_id", F.explode(F.array(joined)).alias("text")).select(
+    return d.select("doc_id", tx.pin(joined).alias("text")).select(
         "doc_id", tx.deflate_ratio("text").alias("compression_ratio")
     )
 
