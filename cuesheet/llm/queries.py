@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import licenses, packing, quality, simhash, warc
+from cuesheet.llm import decontaminate, licenses, packing, quality, simhash, warc
 from cuesheet.llm.common import read
 
 
@@ -30,6 +30,7 @@ QUERIES = {
     "op4_quality_classifier": (op4_quality_classifier, None),
     "op6_simhash": (op6_simhash, None),
     "op7_license_scan": (licenses.query, licenses.SQL),
+    "op10_decontaminate": (decontaminate.query, None),
     "op8_warc": (warc.query, warc.SQL),
     "op3_best_fit_packing": (op3_best_fit_packing, None),
 }
