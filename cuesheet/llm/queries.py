@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import decontaminate, licenses, packing, quality, simhash, substring, warc
+from cuesheet.llm import decontaminate, licenses, packing, quality, simhash, substring, suffix_tree, warc
 from cuesheet.llm.common import read
 
 
@@ -31,6 +31,7 @@ QUERIES = {
     "op6_simhash": (op6_simhash, None),
     "op7_license_scan": (licenses.query, licenses.SQL),
     "op10_decontaminate": (decontaminate.query, None),
+    "op2_suffix_tree": (suffix_tree.query, None),
     "op9_substring_dedup": (substring.query, None),
     "op8_warc": (warc.query, warc.SQL),
     "op3_best_fit_packing": (op3_best_fit_packing, None),
