@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import decontaminate, licenses, packing, quality, simhash, substring, suffix_tree, warc
+from cuesheet.llm import decontaminate, html_text, licenses, neighbours, packing, quality, simhash, substring, suffix_tree, warc
 from cuesheet.llm.common import read
 
 
@@ -27,10 +27,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "pipeline": (pipeline, None),
     "op4_quality_classifier": (op4_quality_classifier, None),
     "op6_simhash": (op6_simhash, None),
     "op7_license_scan": (licenses.query, licenses.SQL),
     "op10_decontaminate": (decontaminate.query, None),
+    "op1_near_duplicates": (neighbours.query, None),
+    "op5_html_text": (html_text.query, None),
     "op2_suffix_tree": (suffix_tree.query, None),
     "op9_substring_dedup": (substring.query, None),
     "op8_warc": (warc.query, warc.SQL),
