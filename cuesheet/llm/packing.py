@@ -135,7 +135,7 @@ def patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[
     while left:
         seed = max(left)
         left[seed] -= 1
-        combination = [seed, *fullest(left, capacity - seed)]
+        combination = sorted([seed, *fullest(left, capacity - seed)], reverse=True)
         left[seed] += 1
         need: dict[int, int] = defaultdict(int)
         for n in combination:
@@ -150,9 +150,9 @@ def patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[
 
 
 def slots(found: list[tuple[list[int], int]]) -> dict[int, np.ndarray]:
-    """Per length: rows (first rank, first sequence, slots a sequence, offset of the first, ...) by first rank.
+    """Per length: rows (first rank, first sequence, slots a sequence, offset of the first) by first rank.
 
-    A length that occurs k times in a pattern takes k ranks a sequence; its copies stand side by side.
+    A pattern lists equal lengths side by side. A length that occurs k times in a pattern takes k ranks a sequence; its copies stand side by side.
     """
     rank: dict[int, int] = defaultdict(int)
     out: dict[int, list] = defaultdict(list)
