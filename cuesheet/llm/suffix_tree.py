@@ -32,8 +32,8 @@ DIVERGENCE = 0.02
 DISCOUNT = 0.75
 HELD = 1
 BLOCK_BYTES = 8 << 20
-#: Distinct pairs of one shard, about.
-SHARD = 1_500_000
+#: Distinct words, summed over the blocks, of one shard; its pairs are a few times as many.
+SHARD = 250_000
 END = np.uint64(0x5851F42D4C957F2D)
 _K = np.uint64(0x9E3779B97F4A7C15)
 
