@@ -134,10 +134,11 @@ def consistency(items: DataFrame, tolerance: float = 1.5) -> DataFrame:
 def completeness(presence: DataFrame, artifacts: Sequence[str] = policy.CORE_ARTIFACTS) -> DataFrame:
     """presence(item, artifact) → per item the missing artifacts; complete when there are none.
 
-    The artifact list is a closed vocabulary, so the set per item is bounded by it.
+    Only names of the list are looked at, one flag each; other artifacts of an item don't count.
     """
-    have = presence.groupBy("item").agg(F.collect_set("artifact").alias("_have"))
-    missing = F.array_sort(F.array_except(F.array(*[F.lit(a) for a in artifacts]), F.col("_have")))
+    have = presence.groupBy("item").agg(*[F.max(F.col("artifact") == a).alias(f"_{k}") for k, a in enumerate(artifacts)])
+    lacking = [F.when(F.coalesce(F.col(f"_{k}"), F.lit(False)), None).otherwise(F.lit(a)) for k, a in enumerate(artifacts)]
+    missing = F.array_sort(F.array_compact(F.array(*lacking)))
     return have.select("item", missing.alias("missing"), (F.size(missing) == 0).alias("complete"))
 
 

@@ -49,7 +49,7 @@ def _top(edges: DataFrame, order: Sequence[Column], m: int) -> DataFrame:
     return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= m)
 
 
-def accept(treated: DataFrame, build: Builder, *, m: int = 4, most: int = 1 << 20) -> DataFrame:
+def accept(treated: DataFrame, build: Builder, *, m: int = 4) -> DataFrame:
     """Deferred acceptance. treated: t, ord; edges of ``build``: t, ord, cell, cap, rank.
 
     Returns t, ord, cell and ``k``, the place of the treated row among those of its cell.
@@ -77,7 +77,7 @@ def accept(treated: DataFrame, build: Builder, *, m: int = 4, most: int = 1 << 2
         more = None
         for size, asked in sorted(sizes.items(), reverse=True):  # a row moves up one size at most
             lost = materialise(asked.join(live.select("t").distinct(), "t", "left_anti"))
-            if size >= most or lost.isEmpty():
+            if lost.isEmpty():
                 continue
             sizes[size] = materialise(asked.join(lost.select("t"), "t", "left_anti"))
             wider = build(lost, size * 2)

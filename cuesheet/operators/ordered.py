@@ -15,7 +15,9 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_CUTS = 4000
+from cuesheet.functions.numbers import finite
+from cuesheet.session import materialise
+
 BUCKET = "_bucket"
 
 
@@ -28,10 +30,9 @@ def cut_points(df: DataFrame, col: str, n: int | None = None) -> list[float]:
     """
     if n is None:
         n = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    n = min(n, MAX_CUTS)
     probs = [i / n for i in range(1, n)]
     row = df.agg(
-        F.percentile_approx(F.col(col).cast("double"), probs, 8 * n).alias("cuts")
+        F.percentile_approx(finite(col), probs, 8 * n).alias("cuts")
     ).first()
     return sorted(set(row["cuts"] or []))
 
@@ -145,15 +146,16 @@ def attach_by_value(
 ) -> DataFrame:
     """Join a rank table back to its rows, splitting off the hot values.
 
-    A value with more than ``total / parts`` rows is hot; at most ``parts`` values per key can be,
-    so the hot part of the table is safe to broadcast. The rest joins by shuffle, where no value
-    can exceed that share.
+    A value with more than ``1 / parts`` of *all* rows is hot, so fewer than ``parts`` values are, however many
+    keys there are: that part of the table is safe to broadcast. The rest joins by shuffle, where no value can
+    exceed that share.
     """
     on = list(on)
     if parts is None:
         parts = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    parts = min(parts, 1000)
-    is_hot = F.col(weight) * F.lit(parts) > F.col(f"{weight}_total")
+    table = materialise(table)
+    total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    is_hot = F.col(weight) * F.lit(parts) > F.lit(total)
     hot = F.broadcast(table.where(is_hot))
     by_hot = rows.join(hot, on)
     by_shuffle = rows.join(F.broadcast(table.where(is_hot).select(*on)), on, "left_anti").join(

@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from cuesheet.operators.ordered import quantiles
 from cuesheet.operators.ranks import melt
 
-MAX_FEATURES = 512
-
 
 @dataclass
 class Axes:
@@ -49,9 +47,6 @@ class Axes:
 
 def gram(df: DataFrame, columns: Sequence[Column]) -> DataFrame:
     """(i, j, value) of ZᵀZ, summed from per-batch partial products."""
-    if len(columns) > MAX_FEATURES:
-        raise ValueError(f"at most {MAX_FEATURES} features")
-
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for b in batches:

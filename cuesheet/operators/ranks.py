@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuesheet.functions import pvalues
+from cuesheet.functions.numbers import finite
 from cuesheet.operators.ordered import attach_by_value, median_of, rank_table
 from cuesheet.session import materialise
 
@@ -19,8 +20,9 @@ from cuesheet.session import materialise
 def melt(
     df: DataFrame, keep: Sequence[str], features: Sequence[str], dtype: str = "double"
 ) -> DataFrame:
-    """Wide to long: (keep…, feature, value) without the missing values."""
-    wide = df.select(*keep, *[F.col(c).cast(dtype).alias(c) for c in features])
+    """Wide to long: (keep…, feature, value) without the missing values; NaN and infinities are missing."""
+    cast = finite if dtype == "double" else lambda c: F.col(c).cast(dtype)
+    wide = df.select(*keep, *[cast(c).alias(c) for c in features])
     return wide.unpivot(list(keep), list(features), "feature", "value").where(
         F.col("value").isNotNull()
     )
@@ -211,11 +213,11 @@ def spearman(
     min_n: int = 3,
     with_p: bool = False,
 ) -> DataFrame:
-    """Rank correlation of column pairs, complete cases per pair."""
+    """Rank correlation of column pairs, complete cases per pair; NaN and infinities are missing."""
     cases = [
         F.struct(
             F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-            F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"),
+            finite(a).alias("x"), finite(b).alias("y"),
         )
         for a, b in pairs
     ]
@@ -259,10 +261,17 @@ def _rank_corr(points: DataFrame, cols: Sequence[str]) -> DataFrame:
     return s.withColumn("rho", F.when(spread > 0, F.col("_xy") / F.sqrt(spread))).drop("_xy", "_xx", "_yy")
 
 
-def signed_rank(df: DataFrame, diff: str, keys: Sequence[str] = (), min_n: int = 10) -> DataFrame:
-    """Wilcoxon signed-rank of pair differences; zeros are dropped, ties averaged."""
+def signed_rank(df: DataFrame, diff: str, keys: Sequence[str] = (), min_n: int = 10, method: str = "auto") -> DataFrame:
+    """Wilcoxon signed-rank of pair differences; zeros are dropped, ties averaged, NaN and infinities missing.
+
+    method: normal, exact (no ties and no zeros, else null) or auto (exact up to 50 differences without ties and
+    zeros). A key with zeros only has n_used 0 and w_plus 0, and p 1: nothing speaks against symmetry.
+    """
+    if method not in ("auto", "normal", "exact"):
+        raise ValueError(f"unknown method {method}")
+    rows = df.withColumn(diff, finite(diff))
     d = F.col(diff)
-    rows = df.where(d.isNotNull()).withColumn("_abs", F.abs(d))
+    rows = rows.where(d.isNotNull()).withColumn("_abs", F.abs(d))
     zeros = rows.groupBy(*keys).agg(
         F.count("*").alias("n_pairs"), F.count_if(d == 0).alias("zeros")
     )
@@ -276,6 +285,8 @@ def signed_rank(df: DataFrame, diff: str, keys: Sequence[str] = (), min_n: int =
         F.sum(F.col("pos") * rank).alias("w_plus"),
         F.sum(_cube(F.col("n"))).alias("tie_term"),
     )
-    out = zeros.join(s, list(keys)) if keys else zeros.join(F.broadcast(s), F.lit(True))
-    out = out.where(F.col("n_pairs") >= min_n)
-    return out.withColumn("p", pvalues.wilcoxon_p("w_plus", "n_used", "tie_term", "zeros"))
+    # without keys both sides are one row
+    out = zeros.join(s, list(keys), "left") if keys else zeros.join(F.broadcast(s), F.lit(True), "left")
+    out = out.where(F.col("n_pairs") >= min_n).na.fill(0, ["n_used", "w_plus", "tie_term"])
+    p = pvalues.wilcoxon_p[method]("w_plus", "n_used", "tie_term", "zeros")
+    return out.withColumn("p", F.when(F.col("n_used") == 0, 1.0).otherwise(p))

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuesheet.functions.numbers import rnd
+from cuesheet.functions.numbers import finite, rnd
 from cuesheet.operators.ordered import attach_by_value, median_of, nth, rank_table
 from cuesheet.operators.ranks import melt
 from cuesheet.session import materialise
 
-MAX_TARGETS = 1000
+#: Targets of one pass over the corpus.
+BATCH = 1000
 
 
 def robust_scale(long: DataFrame, min_n: int = 3) -> DataFrame:
@@ -46,7 +48,11 @@ def robust_scale(long: DataFrame, min_n: int = 3) -> DataFrame:
 
 
 def moments(df: DataFrame, features: Sequence[str], min_n: int = 20) -> dict[str, dict]:
-    """Mean, population deviation and n per column; columns under ``min_n`` or constant are dropped."""
+    """Mean, population deviation and n per column; columns under ``min_n`` or constant are dropped.
+
+    NaN and infinities are missing.
+    """
+    df = df.select(*[finite(f).alias(f) for f in features])
     row = df.agg(
         *[F.avg(f).alias(f"m_{f}") for f in features],
         *[F.stddev_pop(f).alias(f"s_{f}") for f in features],
@@ -60,9 +66,7 @@ def moments(df: DataFrame, features: Sequence[str], min_n: int = 20) -> dict[str
 
 
 def target_rows(df: DataFrame, ids: Sequence, item: str, features: Sequence[str]) -> list:
-    """The named items; their number is checked because each becomes part of the plan."""
-    if len(ids) > MAX_TARGETS:
-        raise ValueError(f"at most {MAX_TARGETS} targets per call, got {len(ids)}")
+    """The items that the caller named; ``neighbours`` takes them batch by batch."""
     return df.where(F.col(item).isin(list(ids))).select(item, *features).orderBy(item).collect()
 
 
@@ -91,9 +95,13 @@ def neighbours(
 ) -> DataFrame:
     """k nearest corpus items per target, ties by id.
 
-    One scan of the corpus; every row meets the (bounded) targets as literals, and ``row_number``
+    One scan of the corpus per BATCH targets; every row meets a batch as literals, and ``row_number``
     within k is cut to k rows per target and task before anything is shuffled.
     """
+    if len(targets) > BATCH:
+        how = {"item": item, "required": required, "digits": digits}
+        parts = [neighbours(corpus, targets[i : i + BATCH], features, scales, k, **how) for i in range(0, len(targets), BATCH)]
+        return reduce(DataFrame.unionByName, parts)
     options = F.array(
         *[
             F.struct(F.lit(t[item]).alias("target"), rnd(distance_to(t, features, scales, required), digits).alias("distance"))
@@ -108,6 +116,31 @@ def neighbours(
     )
 
 
+def array_neighbours(corpus: DataFrame, targets: DataFrame, vector: str, k: int, item: str = "item", digits: int = 4) -> DataFrame:
+    """k nearest vectors per target by RMS of the differences in units of each dimension's deviation, ties by id.
+
+    The width is that of the widest vector; vectors of another width are no neighbours. One row of deviations and
+    the rows of the named targets reach the driver.
+    """
+    width = corpus.agg(F.max(F.size(vector))).first()[0] or 0
+    if width == 0:
+        raise ValueError("no vectors")
+    sd = corpus.agg(F.array(*[F.stddev_pop(F.get(vector, F.lit(i))) for i in range(width)]).alias("sd")).first()["sd"]
+    inverse = F.array(*[F.lit(1.0 / s if s else 0.0) for s in sd])
+    rows = targets.where(F.size(vector) == width).select(item, vector).orderBy(item).collect()
+    parts = []
+    for i in range(0, max(1, len(rows)), BATCH):
+        options = F.array(*[F.struct(F.lit(t[item]).alias("target"), F.array(*map(F.lit, t[vector])).alias("t")) for t in rows[i : i + BATCH]])
+        far = corpus.where(F.size(vector) == width).select(item, vector, F.explode(options).alias("o"))
+        z = F.zip_with(F.zip_with(F.col(vector), F.col("o.t"), lambda a, b: a - b), inverse, lambda d, s: d * s)
+        far = far.where(F.col(item) != F.col("o.target")).select(
+            F.col("o.target").alias("target"), item, rnd(F.sqrt(F.aggregate(z, F.lit(0.0), lambda a, x: a + x * x) / width), digits).alias("distance")
+        )
+        w = Window.partitionBy("target").orderBy("distance", item)
+        parts.append(far.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def outliers(df: DataFrame, features: Sequence[str], scale: DataFrame, k: int, item: str = "item") -> DataFrame:
     """Items farthest from the medians: RMS of (x − median)/scale, top k."""
     s = {r["feature"]: r for r in scale.collect()}  # one row per column

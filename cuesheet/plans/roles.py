@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from cuesheet.functions.numbers import cents, rnd
 from cuesheet.session import materialise
@@ -20,15 +19,9 @@ SHOTS = ["closeup", "wide", "medium", "insert"]
 STYLES = ["anime", "live", "mixed"]
 
 
-_SCHEMAS: dict[str, StructType] = {}
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """Read a driver table; the footer is inspected once per path, not once per query."""
-    path = f"{sf}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    """Read a driver table."""
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def pick_word(index, words):
@@ -356,19 +349,8 @@ REPLAY = _grid_sql("replay", 6000, 100, "count(*)", "g.bin * CAST(6 AS DOUBLE) A
 # ---------------------------------------------------------------- texts
 
 
-def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A text table for work that is heavy per row.
-
-    Fewer files than cores leave cores idle, so such (small) inputs are spread; with many files the
-    scan is parallel by itself and nothing is shuffled.
-    """
-    df = table(spark, sf, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return texts(spark, sf, "documents")
+    return table(spark, sf, "documents")
 
 
 LINES = r"""

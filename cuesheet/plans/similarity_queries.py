@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from cuesheet.functions.numbers import rnd
 from cuesheet.operators import pca, ranks, similarity
 from cuesheet.plans.registry import query
-from cuesheet.plans.roles import FEAT, feature_table, features, numeric_long_sql, table, with_clause
+from cuesheet.plans.roles import FEAT, NUMERIC, feature_table, features, numeric_long_sql, table, with_clause
 from cuesheet.plans.stats_queries import R6, r6
 
-COLS = ["duration_s", "n_lines", "qty_avg", "price_avg", "like_rate", "title_len"]
+COLS = NUMERIC
 TARGETS = [7, 150, 420, 900, 1333]
 TSQL = ", ".join(map(str, TARGETS))
 LONG = numeric_long_sql(COLS)
@@ -110,8 +110,8 @@ def evidence_report(spark, sf):
     + f""", ce AS (SELECT "group", feature, avg(value) AS c FROM long WHERE "group" IN ('top', 'bottom') GROUP BY ALL),
           cd AS (SELECT t.item AS target, ce."group", sqrt(avg(((t.value - c) / reference_std) * ((t.value - c) / reference_std))) AS distance, count(*) AS n
                  FROM long t JOIN ce USING (feature) JOIN mo USING (feature) WHERE t.item IN ({TSQL}) GROUP BY t.item, ce."group")
-          SELECT target, {R6('max(distance) FILTER ("group" = \'top\' AND n >= 4)')} AS top_distance, {R6('max(distance) FILTER ("group" = \'bottom\' AND n >= 4)')} AS bottom_distance,
-            CASE WHEN abs(max(distance) FILTER ("group" = 'top' AND n >= 4) - max(distance) FILTER ("group" = 'bottom' AND n >= 4)) > 1e-4 THEN
+          SELECT target, {R6('max(distance) FILTER ("group" = \'top\' AND n >= 6)')} AS top_distance, {R6('max(distance) FILTER ("group" = \'bottom\' AND n >= 6)')} AS bottom_distance,
+            CASE WHEN abs(max(distance) FILTER ("group" = 'top' AND n >= 6) - max(distance) FILTER ("group" = 'bottom' AND n >= 6)) > 1e-4 THEN
               CASE WHEN max(distance) FILTER ("group" = 'top') < max(distance) FILTER ("group" = 'bottom') THEN 'top' ELSE 'bottom' END END AS closer_group
           FROM cd GROUP BY target""",
     "M7 M8",
@@ -123,12 +123,9 @@ def centroid_distance(spark, sf):
     return r6(similarity.closer_group(d, "group"), "top_distance", "bottom_distance")
 
 
-DIM = 16
-
-
 @query(
     "embedding_neighbours",
-    "WITH v AS (SELECT vec_id AS item, CAST(generate_subscripts(e, 1) AS BIGINT) AS dim, CAST(unnest(e) AS DOUBLE) AS x FROM (SELECT vec_id, embedding[1:16] AS e FROM embeddings)),"
+    "WITH v AS (SELECT vec_id AS item, CAST(generate_subscripts(embedding, 1) AS BIGINT) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),"
     " s AS (SELECT dim, stddev_pop(x) AS sd FROM v GROUP BY dim),"
     f" d AS (SELECT t.item AS target, v.item, floor(sqrt(avg(((v.x - t.x) / sd) * ((v.x - t.x) / sd))) * 10000.0 + 0.5) / 10000.0 AS distance FROM v t JOIN v USING (dim) JOIN s USING (dim)"
     f" WHERE t.item IN ({TSQL}) AND v.item <> t.item GROUP BY ALL)"
@@ -136,13 +133,11 @@ DIM = 16
     "M7 M13 K3",
 )
 def embedding_neighbours(spark, sf):
-    cols = [f"e{i}" for i in range(DIM)]
+    """All dimensions, whatever their number; the distance is built on the arrays."""
     v = table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("item"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)]
+        F.col("vec_id").alias("item"), F.transform("embedding", lambda x: x.cast("double")).alias("e")
     )
-    mom = similarity.moments(v, cols)
-    scales = {f: m["std"] for f, m in mom.items()}
-    return similarity.neighbours(v, similarity.target_rows(v, TARGETS, "item", cols), cols, scales, 5, required=10)
+    return similarity.array_neighbours(v, v.where(F.col("item").isin(TARGETS)), "e", 5)
 
 
 # ------------------------------------------------------------- axes

@@ -21,17 +21,6 @@ def _place(spark) -> str:
     return f"{shared_folder(spark).rstrip('/')}/cuesheet/stream-{uuid.uuid4().hex}"
 
 
-def _finish(df, out: str, mode: str = "append"):
-    """Write a stream to a table in the shared folder and read it back."""
-    spark = df.sparkSession
-    q = (
-        df.writeStream.format("parquet").outputMode(mode).option("path", f"{out}/data")
-        .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{out}/data")
-
-
 @query(
     "stream_dedup_append",
     "SELECT user_id, k_, event_type FROM (SELECT user_id, event_type, event_id % 50 AS k_ FROM events) GROUP BY ALL",
@@ -45,21 +34,40 @@ def stream_dedup_append(spark, sf):
     return spark.read.parquet(f"{out}/log").select("user_id", "k_", "event_type")
 
 
+def _naive(df, col):
+    """Event times are wall-clock times without a zone, as in the table."""
+    return df.withColumn(col, F.col(col).cast("timestamp_ntz"))
+
+
 def _ts(df):
     return df.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("stream_bins", None, "I5")
+@query(
+    "stream_bins",
+    """SELECT date_trunc('hour', ts) AS start, event_type, CAST(sum(floor(value * 100 + 0.5)) AS BIGINT) AS value, count(*) AS n
+       FROM events WHERE ts IS NOT NULL GROUP BY ALL""",
+    "I5",
+)
 def stream_bins(spark, sf):
-    """Hourly sums per kind; windows the watermark has not passed are not yet in the result."""
+    """Hourly sums per kind; windows that the watermark has not passed show what is known of them."""
     ev = _ts(_events(spark, sf)).select("ts", "event_type", F.floor(F.col("value") * 100 + 0.5).alias("amount"))
-    return _finish(logs.bins(ev, "ts", ["event_type"], F.col("amount"), "1 hour", "1 hour"), _place(spark))
+    binned = logs.bins(ev, "ts", ["event_type"], F.col("amount"), "1 hour", "1 hour")
+    out = _place(spark)
+    return _naive(logs.run_to_latest(binned, ["start", "event_type"], f"{out}/data", f"{out}/checkpoint"), "start")
 
 
-@query("stream_trailing", None, "I6")
+@query(
+    "stream_trailing",
+    """SELECT date_trunc('hour', ts) + CAST(h AS INTEGER) * INTERVAL 1 HOUR AS at, event_type, count(*) AS n
+       FROM events, range(1, 7) r(h) WHERE event_type = 'click' AND ts IS NOT NULL GROUP BY ALL""",
+    "I6",
+)
 def stream_trailing(spark, sf):
     ev = _ts(_events(spark, sf)).where(F.col("event_type") == "click").select("ts", "event_type")
-    return _finish(logs.trailing(ev, "ts", ["event_type"], "6 hours", "1 hour", "1 hour"), _place(spark))
+    counted = logs.trailing(ev, "ts", ["event_type"], "6 hours", "1 hour", "1 hour")
+    out = _place(spark)
+    return _naive(logs.run_to_latest(counted, ["at", "event_type"], f"{out}/data", f"{out}/checkpoint"), "at")
 
 
 @query(

@@ -25,7 +25,9 @@ AUD_SQL = 'af AS (SELECT *, 1.0 AS flat, CASE WHEN item % 5 = 0 THEN CAST(\'NaN\
     + """SELECT 'warning' AS level, 'missing column' AS "check", 'absent_column' AS subject, CAST(0 AS BIGINT) AS n
          UNION ALL SELECT 'info', 'experimental column', 'ext_flat', 0
          UNION ALL SELECT 'error', 'non-finite', 'holes', count(*) FROM af WHERE isnan(holes) HAVING count(*) > 0
-         UNION ALL SELECT 'warning', 'constant', 'flat', 1
+         UNION ALL SELECT 'warning', 'constant', s, count(DISTINCT v) FROM (
+           SELECT 'flat' AS s, CAST(flat AS DOUBLE) AS v FROM af UNION ALL SELECT 'rare', rare FROM af UNION ALL SELECT 'holes', holes FROM af WHERE NOT isnan(holes)
+           ) GROUP BY s HAVING count(DISTINCT v) = 1
          UNION ALL SELECT 'warning', 'low coverage', 'rare:top', count(rare) FILTER ("group" = 'top') FROM af HAVING count(rare) FILTER ("group" = 'top') < 10
          UNION ALL SELECT 'warning', 'low coverage', 'rare:bottom', count(rare) FILTER ("group" = 'bottom') FROM af HAVING count(rare) FILTER ("group" = 'bottom') < 10""",
     "X1 U5",
@@ -46,7 +48,7 @@ def table_audit(spark, sf):
     with_clause(POP)
     + """, c AS (SELECT count(*) AS n, count(DISTINCT item) AS d FROM pop)
          SELECT 'unique ids' AS "check", n AS expected, d AS actual, n = d AS ok FROM c
-         UNION ALL SELECT 'empty ids', 0, 0, true
+         UNION ALL SELECT 'empty ids', 0, count(*) FILTER (item IS NULL), count(*) FILTER (item IS NULL) = 0 FROM pop
          UNION ALL SELECT 'columns', 15, 15, true
          UNION ALL SELECT 'domain=BUILDING', 3000, count(*) FILTER (domain = 'BUILDING'), count(*) FILTER (domain = 'BUILDING') = 3000 FROM pop
          UNION ALL SELECT 'domain=MACHINERY', 3000, count(*) FILTER (domain = 'MACHINERY'), count(*) FILTER (domain = 'MACHINERY') = 3000 FROM pop""",
@@ -337,18 +339,24 @@ def resume_antijoin(spark, sf):
     return ev.select("item", "seq", "kind").join(done, "seq", "left_anti")
 
 
-EXPORT_SQL = """a AS (SELECT item, title, mood, ratio FROM feat WHERE domain = 'BUILDING'), b AS (SELECT item, title, mood, duration_s FROM feat WHERE domain = 'MACHINERY'),
-ex AS (SELECT item, 'one' AS domain, title, ratio, CAST(NULL AS DOUBLE) AS duration_s, (SELECT n_lines FROM feat f WHERE f.item = a.item) AS n_lines FROM a
-       UNION ALL SELECT item, 'two', title, NULL, duration_s, NULL FROM b)"""
+EXPORT_SQL = """ex AS (SELECT item, lower(domain) AS domain, title, CASE WHEN domain <> 'MACHINERY' THEN ratio END AS ratio,
+  CASE WHEN domain = 'MACHINERY' THEN duration_s END AS duration_s, CASE WHEN domain <> 'MACHINERY' THEN n_lines END AS n_lines FROM feat WHERE domain IS NOT NULL)"""
 
 
 @query("public_export", with_clause(FEAT, EXPORT_SQL) + "SELECT * FROM ex", "S7 P9 U3")
 def public_export(spark, sf):
+    """All domains; one of them brings another set of columns."""
     f = features(spark, sf)
-    one = f.where(F.col("domain") == "BUILDING").select("item", "title", "mood", "ratio")
-    two = f.where(F.col("domain") == "MACHINERY").select("item", "title", "mood", "duration_s")
-    lines = f.where(F.col("domain") == "BUILDING").select("item", "n_lines")
-    return tables.public_export({"one": one, "two": two}, {"one": [lines]}, "item", drop=["mood"])
+    names = [r["domain"] for r in f.select("domain").distinct().where("domain is not null").orderBy("domain").collect()]
+    domains, extras = {}, {}
+    for d in names:
+        own = f.where(F.col("domain") == d)
+        if d == "MACHINERY":
+            domains[d.lower()] = own.select("item", "title", "mood", "duration_s")
+        else:
+            domains[d.lower()] = own.select("item", "title", "mood", "ratio")
+            extras[d.lower()] = [own.select("item", "n_lines")]
+    return tables.public_export(domains, extras, "item", drop=["mood"])
 
 
 @query(

@@ -50,7 +50,11 @@ def guard(spark: SparkSession, path: str, kind: str, inputs: list[str]) -> None:
 
 
 def write_table(df: DataFrame, path: str, kind: str, inputs: list[str] = (), fmt: str = "parquet", **options) -> None:
-    """Guarded replacement: written beside the target with its kind, then moved into its place."""
+    """Guarded replacement: written beside the target with its kind, then moved into its place.
+
+    The old table is moved aside first and deleted last, so a crash at any point leaves a whole table, at its
+    place or under ``<path>.old-…``. Where a rename is a copy (an object store) readers should expect a gap.
+    """
     spark = df.sparkSession
     guard(spark, path, kind, list(inputs))
     staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
@@ -63,9 +67,16 @@ def write_table(df: DataFrame, path: str, kind: str, inputs: list[str] = (), fmt
     out.write(bytearray(json.dumps({"kind": kind}).encode()))
     out.close()
     _, target = _fs(spark, path)
-    fs.delete(target, True)
+    aside = _fs(spark, f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")[1]
+    had = fs.exists(target)
+    if had and not fs.rename(target, aside):
+        raise OSError(f"could not move {path} aside")
     if not fs.rename(_fs(spark, staging)[1], target):
+        if had:
+            fs.rename(aside, target)
         raise OSError(f"could not move {staging} to {path}")
+    if had:
+        fs.delete(aside, True)
 
 
 def write_sample(df: DataFrame, path: str, inputs: list[str] = ()) -> None:

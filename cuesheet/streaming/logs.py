@@ -7,11 +7,28 @@ unbounded forms bound their state with one.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
+
+
+def _run_name(spark: SparkSession, checkpoint: str) -> str:
+    """Name of the run that a checkpoint folder belongs to; made once, with the folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}.run")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    state = spark._jvm.org.apache.hadoop.fs.Path(checkpoint)
+    if fs.exists(path) and fs.exists(state):
+        with_name = spark.read.text(path.toString()).first()
+        return with_name[0]
+    run = f"r{uuid.uuid4().hex}"
+    out = fs.create(path, True)
+    out.write(bytearray(run.encode()))
+    out.close()
+    return run
 
 
 def append_new(
@@ -24,21 +41,24 @@ def append_new(
     """Append rows whose key is not yet in the log; work done for them may record failures as rows.
 
     The log itself decides what is done, so a restart with a lost checkpoint repeats nothing. A
-    retried batch replaces its own partition of the log instead of appending twice.
+    retried batch replaces its own partition of the log instead of appending twice: partitions are
+    (run, epoch), and the name of the run lies beside the checkpoint, so a new checkpoint, whose epochs
+    start again at 0, never touches what an earlier run has logged.
     """
     keys = list(keys)
+    run = _run_name(stream.sparkSession, checkpoint)
 
     def batch(df: DataFrame, epoch: int) -> None:
         spark = df.sparkSession
         new = df.dropDuplicates(keys)
         log = spark._jvm.org.apache.hadoop.fs.Path(output)
         if log.getFileSystem(spark._jsc.hadoopConfiguration()).exists(log):
-            done = spark.read.parquet(output).where(F.col("epoch") != epoch).select(*keys)
+            done = spark.read.parquet(output).where((F.col("run") != run) | (F.col("epoch") != epoch)).select(*keys)
             new = new.join(done, keys, "left_anti")
         rows = work(new) if work else new
-        rows.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option(
+        rows.withColumns({"run": F.lit(run), "epoch": F.lit(epoch)}).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
-        ).partitionBy("epoch").parquet(output)
+        ).partitionBy("run", "epoch").parquet(output)
 
     return (
         stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
@@ -83,6 +103,21 @@ def growth_state(snapshots: DataFrame, item: str, date: str, value: str) -> Data
     return s.withColumn("increase", F.col("last") - F.col("first"))
 
 
+def run_to_latest(df: DataFrame, keys: Sequence[str], output: str, checkpoint: str) -> DataFrame:
+    """Drive an aggregated stream over everything available; the last known row of every key, open windows too.
+
+    Every batch writes the keys that it changed under its own number, so a retried batch replaces itself.
+    """
+    def batch(rows: DataFrame, epoch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{output}/epoch={epoch}")
+
+    df.writeStream.foreachBatch(batch).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    schema = StructType([*df.schema.fields, StructField("epoch", LongType())])
+    values = [c for c in df.columns if c not in keys]
+    last = df.sparkSession.read.schema(schema).parquet(output).groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("_v"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"_v.{c}").alias(c) for c in df.columns])
+
+
 def run_to_table(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Drive a stream over everything available into an in-memory table (tests, small results)."""
     q = (
