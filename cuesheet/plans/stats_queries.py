@@ -516,6 +516,18 @@ def ordered_classes(spark, sf):
     return r6(agreement.ordered_classes(rows, "label", "value", ["fps"]), "med_top", "med_bot", "delta", "p")
 
 
+@query(
+    "ordering_verdict",
+    with_clause(EV, CLASS_SQL)
+    + f""", pairs AS ({class_pair_sql("static", "camera_motion")} UNION ALL {class_pair_sql("static", "subject_motion")})
+          SELECT fps, bool_and(med_top < med_bot) AS ordering_ok FROM pairs GROUP BY fps""",
+    "T15 T16",
+)
+def ordering_verdict(spark, sf):
+    """Per frame-rate cell: does the static class lie below both moving classes?"""
+    return agreement.ordering_verdict(ordered_classes(spark, sf), ["fps"])
+
+
 @query(
     "domain_counts",
     with_clause(FEAT)

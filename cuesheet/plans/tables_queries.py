@@ -417,3 +417,19 @@ def target_join_topk(spark, sf):
     return found.withColumn("found", F.lit(True)).unionByName(
         missing.withColumns({"title": F.lit(None).cast("string"), "found": F.lit(False)})
     )
+
+
+ARTIFACTS = ["cart", "click", "purchase", "view"]
+
+
+@query(
+    "artifact_completeness",
+    """WITH a AS (SELECT user_id AS item, list_distinct(list(event_type)) AS have FROM events WHERE day(ts) <= 3 GROUP BY user_id),
+       m AS (SELECT item, list_sort(list_filter(['cart', 'click', 'purchase', 'view'], lambda x: NOT list_contains(have, x))) AS missing FROM a)
+       SELECT item, array_to_string(missing, ',') AS missing, len(missing) = 0 AS complete FROM m""",
+    "X3",
+)
+def artifact_completeness(spark, sf):
+    """Items that have been seen in the first days, and which kinds of a closed list they lack."""
+    seen = table(spark, sf, "events").where(F.dayofmonth("ts") <= 3).select(F.col("user_id").alias("item"), F.col("event_type").alias("artifact"))
+    return audit.completeness(seen, ARTIFACTS).withColumn("missing", F.array_join("missing", ","))

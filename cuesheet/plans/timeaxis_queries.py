@@ -500,3 +500,41 @@ def structure_summary(spark, sf):
         F.col("kind") == "purchase", "Pre_Chorus").otherwise("solo")
     seg = intervals(spark, sf).where(F.col("end_ms") > F.col("start_ms")).select("item", "start_ms", "end_ms", feat.segment_label(raw).alias("label"))
     return feat.structure_summary(seg, KEY)
+
+
+@query(
+    "segment_errors",
+    with_clause(SCENES) + "SELECT item, start_ms, end_ms FROM scenes WHERE coalesce(end_ms <= start_ms, true)",
+    "X9",
+)
+def segment_errors(spark, sf):
+    """Segments that do not end after they start: what ``structure_summary`` leaves out, and why."""
+    return feat.segment_quarantine(intervals(spark, sf), "start_ms", "end_ms").select("item", "start_ms", "end_ms")
+
+
+@query(
+    "flow_statistics",
+    with_clause(SCENES)
+    + f"""SELECT item, {RND("avg(k / 40.0)", 6)} AS mean, {RND("CAST(count(*) FILTER (k / 40.0 < 0.5) AS DOUBLE) / count(*)", 6)} AS static_share,
+            arg_max(start_ms, k / 40.0 * 1000000000 - start_ms) AS peak_t, {RND("quantile_cont(k / 40.0, 0.5)", 6)} AS median, {RND("quantile_cont(k / 40.0, 0.9)", 6)} AS p90
+          FROM scenes GROUP BY item""",
+    "A19",
+)
+def flow_statistics(spark, sf):
+    rows = intervals(spark, sf).select("item", "start_ms", (F.col("k") / 40.0).alias("flow"))
+    s = feat.flow_statistics(rows, KEY, "start_ms", "flow", 0.5)
+    return s.withColumns({c: rnd(c, 6) for c in ("mean", "static_share", "median", "p90")})
+
+
+@query(
+    "motion_class_split",
+    with_clause(SCENES)
+    + """, m AS (SELECT item, (k * 7 % 100) / 100.0 AS g, CASE WHEN k % 10 <> 0 THEN (k * 3 % 100) / 100.0 END AS r FROM scenes)
+         SELECT item, CASE WHEN r IS NULL THEN 'unknown' WHEN r >= 0.45 THEN 'motion_clip' WHEN g >= 0.35 THEN 'animated_still' ELSE 'static_image' END AS motion_type,
+           count(*) AS n FROM m GROUP BY ALL""",
+    "N7",
+)
+def motion_class_split(spark, sf):
+    k = F.col("k")
+    rows = intervals(spark, sf).select("item", (k * 7 % 100 / 100.0).alias("g"), F.when(k % 10 != 0, k * 3 % 100 / 100.0).alias("r"))
+    return rows.groupBy("item", feat.motion_class_split("g", "r").alias("motion_type")).agg(F.count("*").alias("n"))
