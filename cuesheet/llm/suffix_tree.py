@@ -51,6 +51,16 @@ def _pack(a: np.ndarray, kind: str) -> bytes:
     return np.ascontiguousarray(a, kind).tobytes()
 
 
+def _narrow(a: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, in as few bytes each as the largest needs."""
+    top = int(a.max(initial=0))
+    return _pack(a, next(k for k in ("<u1", "<u2", "<u4", "<u8") if top < 1 << 8 * int(k[2])))
+
+
+def _wide(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(blob, f"<u{len(blob) // n}" if n else "<u1").astype(np.int64)
+
+
 def _held(key) -> bool:
     return zlib.crc32(b"" if key is None else str(key).encode()) % 5 == HELD
 
@@ -135,8 +145,8 @@ def _send(block: int, depth: int, token: np.ndarray, context: np.ndarray, count:
     for r in range(shards):
         i, j = cut[r], cut[r + 1]
         if i < j:
-            yield {"r": r, "block": block, "depth": depth, "token": _pack(token[i:j], "<u8"), "context": _pack(context[i:j], "<i4"),
-                   "count": _pack(count[i:j], "<i4"), "n": int(j - i)}
+            yield {"r": r, "block": block, "depth": depth, "token": _pack(token[i:j], "<u8"), "context": _narrow(context[i:j]),
+                   "count": _narrow(count[i:j]), "n": int(j - i)}
 
 
 def _rows(table: pa.Table) -> list[dict]:
@@ -147,8 +157,8 @@ def _merge(table: pa.Table) -> pa.Table:
     """Sum one shard's pairs. Out: per asking block the corpus counts of its pairs, and with block -1 the shard itself."""
     rows = _rows(table)
     token = np.concatenate([np.frombuffer(r["token"], "<u8") for r in rows])
-    context = np.concatenate([np.frombuffer(r["context"], "<i4") for r in rows])
-    count = np.concatenate([np.frombuffer(r["count"], "<i4") for r in rows])
+    context = np.concatenate([_wide(r["context"], r["n"]) for r in rows])
+    count = np.concatenate([_wide(r["count"], r["n"]) for r in rows])
     types, local = np.unique(token, return_inverse=True)
     width = int(context.max()) + 1
     code, pair = np.unique(local.astype(np.int64) * width + context, return_inverse=True)
@@ -156,16 +166,16 @@ def _merge(table: pa.Table) -> pa.Table:
     out, at = [], 0
     for r in rows:
         n = r["n"]
-        out.append({"r": r["r"], "block": r["block"], "depth": r["depth"], "count": _pack(total[pair[at : at + n]], "<i4" if total.max() < 1 << 31 else "<i8"), "n": n})
+        out.append({"r": r["r"], "block": r["block"], "depth": r["depth"], "count": _narrow(total[pair[at : at + n]]), "n": n})
         at += n
     seen = total > 0
     out.append({"r": rows[0]["r"], "block": -1, "depth": rows[0]["depth"], "token": _pack(types[code[seen] // width], "<u8"),
-                "context": _pack(code[seen] % width, "<i4"), "count": _pack(total[seen], "<i8"), "n": int(seen.sum())})
+                "context": _narrow(code[seen] % width), "count": _narrow(total[seen]), "n": int(seen.sum())})
     return pa.Table.from_pylist(out, _PART)
 
 
 def _counts(blob: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(blob, "<i8" if len(blob) == 8 * n else "<i4").astype(np.float64)
+    return _wide(blob, n).astype(np.float64)
 
 
 def interpolate(p: np.ndarray, level: Level, context: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -206,7 +216,7 @@ def _chain(model: Model, shard: dict[int, dict], depth: int) -> tuple[np.ndarray
 
 def _diverge(table: pa.Table, model: Model, depth: int) -> pa.Table:
     """Per context of the shard: seen part of the divergence in bits and the suffix's mass of the seen tokens."""
-    shard = {r["depth"]: {"token": np.frombuffer(r["token"], "<u8"), "context": np.frombuffer(r["context"], "<i4").astype(np.int64), "count": _counts(r["count"], r["n"])}
+    shard = {r["depth"]: {"token": np.frombuffer(r["token"], "<u8"), "context": _wide(r["context"], r["n"]), "count": _counts(r["count"], r["n"])}
              for r in _rows(table)}
     schema = pa.schema([("context", pa.int64()), ("bits", pa.float64()), ("mass", pa.float64())])
     if depth not in shard or 0 not in shard:
@@ -222,7 +232,7 @@ def _stats(batches, width: int):
     schema = pa.schema([("context", pa.int64()), ("n", pa.int64()), ("types", pa.int64())])
     for b in batches:
         for context, count, n in zip(b.column("context").to_pylist(), b.column("count").to_pylist(), b.column("n").to_pylist(), strict=True):
-            c = np.frombuffer(context, "<i4")
+            c = _wide(context, n)
             total, types = np.bincount(c, _counts(count, n), width), np.bincount(c, minlength=width)
             at = np.flatnonzero(types)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64)), pa.array(types[at])], schema=schema)
@@ -233,7 +243,7 @@ def _longer(batches, level: Level, least: float):
     schema = pa.schema([("hash", pa.int64()), ("parent", pa.int64())])
     for b in batches:
         for token, context, count, n in zip(*(b.column(c).to_pylist() for c in ("token", "context", "count", "n")), strict=True):
-            t, c, k = np.frombuffer(token, "<u8"), np.frombuffer(context, "<i4"), _counts(count, n)
+            t, c, k = np.frombuffer(token, "<u8"), _wide(context, n), _counts(count, n)
             good = (k >= least) & (t != END)
             t, c = t[good], c[good]
             yield pa.RecordBatch.from_arrays(
@@ -282,7 +292,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", share: float
         for b in batches:
             for r in b.to_pylist():
                 vocab = np.frombuffer(r["vocab"], "<u8")
-                for x in _send(r["block"], 0, vocab, np.zeros(len(vocab)), np.frombuffer(r["train"], "<i4"), shards):
+                for x in _send(r["block"], 0, vocab, np.zeros(len(vocab), np.int64), np.frombuffer(r["train"], "<i4"), shards):
                     yield pa.RecordBatch.from_pylist([x], _PART)
 
     tables = [save(blocks.select("block", "vocab", "train").mapInArrow(unigrams, PART).groupBy("r").applyInArrow(_merge, PART))]
