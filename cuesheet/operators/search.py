@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuesheet.functions.text import nfkc
+from cuesheet.session import materialise
 
 
 def fold(text: Column, normalise: bool) -> Column:
@@ -45,5 +46,7 @@ def corpus_search(
         .orderBy(*order)
         .limit(limit)
     )
-    # at most `limit` rows: the titles are looked up for these only
-    return features.select("item", "title").join(F.broadcast(both), "item", "right").orderBy(*order)
+    # at most `limit` rows; the feature table is scanned for their titles and not shuffled
+    both = materialise(both)
+    titles = features.select("item", "title").join(F.broadcast(both.select("item").distinct()), "item", "left_semi")
+    return both.join(titles, "item", "left").select("item", "title", "t_s", "where", "pos", "text").orderBy(*order)

@@ -189,13 +189,15 @@ def levels_and_vocabulary(spark, sf):
     """Source choice, frame ratio and the first known topics (unknown words dropped, two at most)."""
     d = documents(spark, sf)
     before, after = tx.clean_lines("text", latin=True, share=STRICT), tx.clean_lines("text", latin=True)
-    lines = F.when(F.col("source") == "src1", F.size(before)).otherwise(F.size(after))
+    d = d.select("doc_id", "source", "n_chars", "text", tx.pin(F.size(before)).alias("n_before"))
+    lines = F.when(F.col("source") == "src1", F.col("n_before")).otherwise(F.size(after))
+    d = d.select("doc_id", "n_chars", "n_before", tx.pin(lines).alias("n_after"))
     n = F.col("n_chars") % 4
     said = F.when(n == 0, F.array(*[F.lit(x) for x in ("love", "robots", "night", "sea")])).when(
         n == 1, F.array(F.lit("zzz"), F.lit("sea"))).when(n == 2, F.array(F.lit("nothing"))).otherwise(F.array(F.lit("city")))
     topics = tables.in_vocabulary(said, VOCAB, 2)
     return d.select(
-        "doc_id", tables.choose_source(F.size(before), lines).alias("chosen"),
+        "doc_id", tables.choose_source(F.col("n_before"), F.col("n_after")).alias("chosen"),
         tables.hardsub(F.col("n_chars") % 50, F.lit(400.0)).alias("has_hardsub"),
         F.try_element_at(topics, F.lit(1)).alias("topic_1"), F.try_element_at(topics, F.lit(2)).alias("topic_2"),
     )

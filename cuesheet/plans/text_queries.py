@@ -90,12 +90,12 @@ hits AS (SELECT p.doc_id, p.phrase, min(t_s) FILTER (length(phrase) >= 2 AND con
 def titled(spark, sf):
     head = F.concat_ws(" ", F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), 1, 2))
     title = F.concat(F.lit("["), "lang", F.lit("] "), head, F.lit(" - "), "source", F.lit(" MV"))
-    return cleaned(spark, sf).withColumn("phrase", tx.title_phrase(title, F.col("source")))
+    return cleaned(spark, sf).select("*", tx.pin(tx.title_phrase(title, F.col("source"))).alias("phrase"))
 
 
 @query("phrase_hits", with_clause(CLEAN_SQL, TITLE_SQL) + "SELECT doc_id, phrase, first_s, n FROM hits", "F7 F8")
 def phrase_hits(spark, sf):
-    d = titled(spark, sf).withColumn("h", tx.phrase_hits(F.col("lines"), F.col("phrase")))
+    d = titled(spark, sf).select("doc_id", "phrase", tx.pin(tx.phrase_hits(F.col("lines"), F.col("phrase"))).alias("h"))
     return d.select("doc_id", "phrase", F.col("h.first_s").alias("first_s"), F.col("h.count").alias("n"))
 
 
@@ -109,10 +109,10 @@ def phrase_hits(spark, sf):
 )
 def line_structure(spark, sf):
     d = titled(spark, sf).where(F.size("lines") >= tx.MIN_LINES)
-    h = tx.phrase_hits(F.col("lines"), F.col("phrase"))
+    d = d.select("doc_id", "lines", "phrase", tx.pin(tx.phrase_hits(F.col("lines"), F.col("phrase"))).alias("h"))
     return d.select(
-        "doc_id", F.size("lines").cast("bigint").alias("n_lines"), "phrase", h["first_s"].alias("title_first_s"),
-        h["count"].alias("title_count"), tx.repeat_of(F.col("lines"))["t_s"].alias("first_repeat_s"),
+        "doc_id", F.size("lines").cast("bigint").alias("n_lines"), "phrase", F.col("h.first_s").alias("title_first_s"),
+        F.col("h.count").alias("title_count"), tx.repeat_of(F.col("lines"))["t_s"].alias("first_repeat_s"),
     )
 
 
