@@ -20,7 +20,7 @@ from cuesheet.llm.common import read, save
 from cuesheet.llm.words import mix
 
 #: Template words of a window; shorter items are matched whole.
-WINDOW = 8
+WINDOW = 5
 #: Share of an item's windows that one alignment must hold.
 SHARE = 0.5
 #: Windows with fewer words outside slots say too little and are left out, unless they are a whole item.
