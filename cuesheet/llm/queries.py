@@ -32,10 +32,10 @@ QUERIES = {
     "op6_simhash": (op6_simhash, None),
     "op7_license_scan": (licenses.query, licenses.SQL),
     "op10_decontaminate": (decontaminate.query, None),
-    "op1_near_duplicates": (neighbours.query, None),
+    "op1_near_duplicates": (neighbours.query, neighbours.SQL),
     "op5_html_text": (html_text.query, None),
     "op2_suffix_tree": (suffix_tree.query, None),
-    "op9_substring_dedup": (substring.query, None),
+    "op9_substring_dedup": (substring.query, substring.SQL),
     "op8_warc": (warc.query, warc.SQL),
     "op3_best_fit_packing": (op3_best_fit_packing, None),
 }

@@ -331,5 +331,18 @@ def clean(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> Da
     return joined.mapInArrow(run, docs.schema)
 
 
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, generate_subscripts(w, 1) AS pos, unnest(w) AS word FROM d),
+s AS (SELECT doc_id, pos, word, md5(string_agg(word, ' ') OVER ahead) AS h, count(*) OVER ahead AS n FROM t
+      WINDOW ahead AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+f AS (SELECT h, min(doc_id) AS least FROM s WHERE n = 50 GROUP BY h),
+g AS (SELECT s.doc_id, s.pos, s.word, s.n = 50 AND f.least < s.doc_id AS again FROM s LEFT JOIN f USING (h)),
+k AS (SELECT doc_id, pos, word, bool_or(coalesce(again, false)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM g),
+o AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM k GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN o USING (doc_id)"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(read(spark, sf_dir, "documents"))
