@@ -237,7 +237,7 @@ def test_pca_equals_svd_and_ignores_targets(spark):
     assert pca.congruence(axes, axes) == pytest.approx(1.0)
 
 
-def test_diagnose_and_profile(spark):
+def test_diagnose_and_profile(spark, monkeypatch):
     rows = [(i, "top" if i < 5 else "bottom", 24.0 if i < 5 else 5.0) for i in range(10)] + [(10, None, 20.0)]
     df = spark.createDataFrame(rows, "item long, group string, f double")
     got = {r["item"]: r["verdict"] for r in similarity.diagnose(df, {"f": 1}).collect()}
@@ -248,8 +248,10 @@ def test_diagnose_and_profile(spark):
     assert r["verdict"] == "distinct-high" and r["n"] == 3
     r = profile.profile_categorical(corpus, corpus.where("item < 3"), ["c"], "item").first()
     assert (r["top"], r["share"], r["verdict"]) == ("x", 1.0, "signal")
-    with pytest.raises(ValueError):
-        similarity.target_rows(corpus, list(range(2000)), "item", ["f"])
+    targets = similarity.target_rows(corpus, list(range(2000)), "item", ["f"])
+    whole = sorted(similarity.neighbours(corpus, targets, ["f"], {"f": 1.0}, 2).collect())
+    monkeypatch.setattr(similarity, "BATCH", 7)
+    assert sorted(similarity.neighbours(corpus, targets, ["f"], {"f": 1.0}, 2).collect()) == whole and len(whole) == 40
 
 
 def test_claim_policy(spark):
