@@ -22,8 +22,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group; five-word shingles."""
-    return simhash.representatives(docs, size=5)
+    """One document of each group of near copies: five-word shingles, two bits of SimHash or a Jaccard similarity of 0.8."""
+    return simhash.near_representatives(docs, size=5)
 
 
 def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,11 +12,18 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from cuesheet.llm.common import attach, components, save
+from cuesheet.llm.words import mix, words
 
 SEED = 42
 BLOCK = 1 << 16
 #: A bucket with more fingerprints than this is linked through one-bit neighbours instead of pair by pair.
 CROWD = 64
+#: Jaccard similarity of shingle sets from which texts are near copies.
+JACCARD = 0.8
+#: Min-hashes of a band and bands: at JACCARD a pair shares no band with odds of (1 - 0.8**4)**20, 3 in 100,000.
+ROWS, BANDS = 4, 20
+_RNG = np.random.default_rng(SEED)
+_MUL, _ADD = (_RNG.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 
 
 def fingerprint(text: str | None, size: int = 3, lower: bool = True) -> int:
@@ -132,6 +139,17 @@ def links(prints: DataFrame, ring: Ring, crowd: int = CROWD) -> DataFrame:
     return pairs.unionByName(tied.select("a", F.explode("all").alias("b")).where("a != b"))
 
 
+def _grouped(prints: DataFrame, distance: int, segments: int, crowd: int) -> DataFrame:
+    """Columns fp, n_same, component_id, one row per fingerprint."""
+    distinct = save(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_same")))
+    found = components(links(distinct.select("fp"), Ring(distance, segments), crowd))
+    found = found.unionByName(found.select(F.col("component").alias("node"), "component")).distinct()
+    members = distinct.join(found, distinct["fp"] == found["node"])
+    least = members.groupBy("component").agg(F.min("least").alias("smallest"))
+    linked = found.join(least, "component").select(F.col("node").alias("fp"), "smallest")
+    return distinct.join(linked, "fp", "left").select("fp", "n_same", F.coalesce("smallest", "least").alias("component_id"))
+
+
 def group(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3, distance: int = 2, segments: int = 7,
           crowd: int = CROWD) -> DataFrame:
     """Columns doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), n_same (rows with
@@ -141,23 +159,123 @@ def group(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int =
     has a null component. Texts without words all have fingerprint zero and so form one group.
     """
     prints = save(fingerprints(docs, text, key, size))
-    distinct = save(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_same")))
-    found = components(links(distinct.select("fp"), Ring(distance, segments), crowd))
-    found = found.unionByName(found.select(F.col("component").alias("node"), "component")).distinct()
-    members = distinct.join(found, distinct["fp"] == found["node"])
-    least = members.groupBy("component").agg(F.min("least").alias("smallest"))
-    linked = found.join(least, "component").select(F.col("node").alias("fp"), "smallest")
-    table = save(distinct.join(linked, "fp", "left").select("fp", "n_same", F.coalesce("smallest", "least").alias("component_id")))
+    table = save(_grouped(prints, distance, segments, crowd))
     out = attach(prints, "fp", table)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
 
 
+def shingles(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """Per text its different shingles' 64-bit hashes, ascending; fewer words than size: one shingle; no word: none."""
+    for w in words(column):
+        h, base = w.hashes(lower=True), w.base()
+        for i, j in zip(base[:-1], base[1:], strict=True):
+            n = min(size, j - i)
+            out = np.zeros(max(j - i - n + 1, 0) if n else 0, np.uint64)
+            for k in range(n):
+                out = out * np.uint64(0x9E3779B97F4A7C15) + h[i + k : i + k + len(out)]
+            yield np.unique(mix(out))
+
+
+def _sketches(docs: DataFrame, text: str, key: str, size: int) -> DataFrame:
+    """Columns doc_id, fp, same (hash of the shingle set), n (its size), bands."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = np.arange(BANDS, dtype=np.uint64)
+        for b in batches:
+            fp = np.array([fingerprint(t.as_py(), size) for t in b.column(1)], np.uint64).view(np.int64)
+            same, n, bands = [], [], []
+            for x in shingles(b.column(1), size):
+                least = np.array([(x * m + a).min() if len(x) else 0 for m, a in zip(_MUL, _ADD, strict=True)], np.uint64)
+                band = order
+                for k in range(ROWS):
+                    band = mix(band + least[k::ROWS])
+                same.append(mix(x).sum(dtype=np.uint64) + np.uint64(len(x)))
+                n.append(len(x))
+                bands.append(band.view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(fp), pa.array(np.array(same, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "fp", "same", "n", "bands"])
+
+    one = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return one.mapInArrow(run, "doc_id long, fp long, same long, n long, bands array<long>")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, jaccard: float) -> DataFrame:
+    """The pairs (a, b) of which the shingle sets have at least this Jaccard similarity."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for x, y in zip(shingles(b.column("x"), size), shingles(b.column("y"), size), strict=True):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both > 0 and both >= jaccard * (len(x) + len(y) - both))
+            yield b.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+
+    pairs = save(pairs.distinct())
+    named = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    held = save(texts.join(named, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+    both = attach(pairs, "a", held.select(F.col("id").alias("a"), F.col("text").alias("x")), "inner")
+    both = attach(save(both), "b", held.select(F.col("id").alias("b"), F.col("text").alias("y")), "inner")
+    return save(both.mapInArrow(run, "a long, b long"))
+
+
+def _near(nodes: DataFrame, texts: DataFrame, size: int, jaccard: float, crowd: int) -> DataFrame:
+    """Edges (a, b) that connect all nodes (id, n, bands) that share a band and reach the Jaccard similarity.
+
+    A bucket of more than crowd nodes is compared with its smallest node first. Every pair of it that is still in
+    different components has a node outside the smallest one's component; such nodes are then compared with all
+    others, so a crowd of near copies needs few pairs and no pair that could connect anything is left out.
+    """
+    keyed = save(nodes.where("n > 0").select("id", "n", F.explode("bands").alias("key")))
+    sizes = save(keyed.groupBy("key").agg(F.count("*").alias("count"), F.min(F.struct("id", "n")).alias("hub")).where("count > 1"))
+    alike = F.least("n", "m") >= jaccard * F.greatest("n", "m")
+    small = keyed.join(sizes.where(F.col("count") <= crowd).select("key"), "key")
+    pairs = small.select("key", F.col("id").alias("a"), "n").join(small.select("key", F.col("id").alias("b"), F.col("n").alias("m")), "key").where("a < b")
+    many = save(attach(keyed, "key", sizes.where(F.col("count") > crowd).select("key", "hub"), "inner"))
+    hubs = many.select(F.col("hub.id").alias("a"), "n", F.col("id").alias("b"), F.col("hub.n").alias("m")).where("a != b")
+    edges = _verified(pairs.where(alike).select("a", "b").unionByName(hubs.where(alike).select("a", "b")), texts, size, jaccard)
+    if many.isEmpty():
+        return edges
+    found = components(edges).withColumnRenamed("component", "root")
+    table = save(nodes.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root")))
+    placed = save(attach(many, "id", table))
+    top = attach(placed.select("key", "id", "n", "root", F.col("hub.id").alias("hub")), "hub", table.select(F.col("id").alias("hub"), F.col("root").alias("top")))
+    out = save(top.where("root != top").select("key", F.col("id").alias("a"), "n", F.col("root").alias("r")))
+    if out.isEmpty():
+        return edges
+    rest = out.join(placed.select("key", F.col("id").alias("b"), F.col("n").alias("m"), "root"), "key").where("r != root").where(alike)
+    return edges.unionByName(_verified(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts, size, jaccard))
+
+
+def near_representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, jaccard: float = JACCARD,
+                         distance: int = 2, segments: int = 7, crowd: int = CROWD) -> DataFrame:
+    """Like representatives, where also texts whose different shingles have this Jaccard similarity are linked.
+
+    At a Jaccard similarity of 0.8 fingerprints differ in some 10 of 64 bits, and up to 17: no chain of clean segments
+    is left to join by. So the pairs beyond `distance` come from bands of min-hashes, and each is checked on its texts.
+    """
+    prints = save(_sketches(docs, text, key, size))
+    table = _grouped(prints.select("doc_id", "fp"), distance, segments, crowd)
+    distinct = prints.where("doc_id is not null").groupBy("fp", "same").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    distinct = save(distinct)
+    sets = save(distinct.groupBy("same").agg(F.min(F.struct("id", "n", "bands")).alias("x")).select("same", "x.*"))
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    near = _near(sets.select("id", "n", "bands"), texts, size, jaccard, crowd)
+    edges = distinct.join(table, "fp").select(F.col("id").alias("a"), F.col("component_id").alias("b"))
+    edges = edges.unionByName(distinct.select("same", F.col("id").alias("a")).join(sets.select("same", F.col("id").alias("b")), "same").select("a", "b"))
+    found = components(edges.unionByName(near))
+    kept = distinct.select(F.col("id").alias("_kept")).distinct().join(found, F.col("_kept") == F.col("node"), "left_anti")
+    return _first(docs, text, key, kept)
+
+
 def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
     """One document of each group, that with the smallest id, with all columns; rows with a null id all stay.
 
     Rows that repeat an id are one document: the first of them in the order of the text stays.
     """
     kept = group(docs, text, key, **how).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    return _first(docs, text, key, kept)
+
+
+def _first(docs: DataFrame, text: str, key: str, kept: DataFrame) -> DataFrame:
     nth = F.row_number().over(W.partitionBy(key).orderBy(F.col(text).asc_nulls_last()))
     named = docs.where(F.col(key).isNotNull()).withColumn("_nth", nth).where("_nth = 1").drop("_nth")
     named = named.join(kept, F.col(key).cast("long") == F.col("_kept"), "left_semi")
