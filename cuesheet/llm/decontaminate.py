@@ -24,7 +24,8 @@ from cuesheet.llm.words import mix
 WINDOW = 5
 #: Share of an item's windows that one alignment must hold.
 SHARE = 0.5
-#: Windows with fewer words outside slots say too little and are left out, unless they are a whole item.
+#: Windows with fewer words outside slots say too little as templates, unless they are a whole item; an item of only such
+#: windows is matched word for word.
 PLAIN = 3
 #: The same for the broad reading of windows that have PLAIN words in the usual one.
 LOOSE = 2
@@ -135,8 +136,9 @@ class Canonical:
 
 
 _NUMBER_HASH, _UNIT_HASH, _NAME_HASH = (_hash(x) for x in (b"\x01number", b"\x01unit", b"\x01name"))
-#: Readings of a window.
-USUAL, BROAD, LITERAL = range(3)
+_EXACT = np.uint64(_hash(b"\x01exact"))
+#: Readings of a window: usual, broad, literal, and of windows with too few plain words every word as it stands.
+USUAL, BROAD, LITERAL, EXACT = range(4)
 PLACES = "id long, place int, size int, window long, slots binary, reading int, own long"
 _PLACES = pa.schema([("id", pa.int64()), ("place", pa.int32()), ("size", pa.int32()), ("window", pa.int64()), ("slots", pa.binary()), ("reading", pa.int32()), ("own", pa.int64())])
 #: Words of the texts that are looked at together.
@@ -177,6 +179,11 @@ def _places(batches: Iterable[pa.RecordBatch], size: int, sizes: list[int] | Non
             h = windows(literal.word, n)
             good_literal = inside & (literal.plain(n) >= PLAIN) if n == size else inside
             rows.append((LITERAL, h, literal, (good if sizes is None else good_literal) & (h != own)))
+            if n == size:
+                exact = windows(low, n) ^ _EXACT
+                # an item that has other windows isn't measured by these
+                dense = inside & (usual.plain(n) < PLAIN) if sizes is not None or not good.any() and (usual.slot == 0).any() else np.zeros(len(own), bool)
+                rows.append((EXACT, exact, Reading(low, np.zeros_like(low)), dense))
             for reading, h, of, ok in rows:
                 at = np.flatnonzero(ok)
                 at = at[wanted(h[at])] if wanted else at
@@ -186,7 +193,7 @@ def _places(batches: Iterable[pa.RecordBatch], size: int, sizes: list[int] | Non
                 yield pa.RecordBatch.from_arrays([
                     pa.array([keys[k] for k in text[at].tolist()], pa.int64()), pa.array((at - begin[text[at]]).astype(np.int32)), pa.array(np.full(len(at), n, np.int32)),
                     pa.array(h[at].view(np.int64)), pa.array([x.tobytes() for x in slots], pa.binary()), pa.array(np.full(len(at), reading, np.int32)),
-                    pa.array(own[at].view(np.int64))], schema=_PLACES)
+                    pa.array((h if reading == EXACT else own)[at].view(np.int64))], schema=_PLACES)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id",
