@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import decontaminate, html_text, licenses, neighbours, packing, quality, simhash, substring, suffix_tree, warc
+from cuesheet.llm import decontaminate, html_text, licenses, neighbours, packing, prefix_trie, quality, simhash, spelling, substring, suffix_tree, toxicity, warc
 from cuesheet.llm.common import read
 
 
@@ -37,5 +37,8 @@ QUERIES = {
     "op2_suffix_tree": (suffix_tree.query, None),
     "op9_substring_dedup": (substring.query, substring.SQL),
     "op8_warc": (warc.query, warc.SQL),
+    "op11_spelling_variants": (spelling.query, spelling.SQL),
+    "op12_prefix_trie": (prefix_trie.query, prefix_trie.SQL),
+    "op13_toxicity": (toxicity.query, None),
     "op3_best_fit_packing": (op3_best_fit_packing, None),
 }

@@ -8,7 +8,7 @@ hashes, and among n different words a collision has odds of about n * n / 2**65.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -103,13 +103,14 @@ def spans(offsets: np.ndarray, limit: int = SPAN) -> Iterator[tuple[int, int]]:
         at = min(to, n)
 
 
-def words(column: pa.Array, limit: int = SPAN) -> Iterator[Words]:
+def words(column: pa.Array, limit: int = SPAN, inside: np.ndarray | Callable = ~SPACE) -> Iterator[Words]:
+    """Maximal runs of the bytes that inside marks, by value or by a function of the bytes; by default all but white space."""
     data, offsets = strings(column)
     for i, j in spans(offsets, limit):
         part = data[offsets[i] : offsets[j]]
         edges = offsets[i : j + 1] - offsets[i]
         inner = edges[:-1][edges[:-1] < len(part)]
-        word = ~SPACE[part]
+        word = inside(part) if callable(inside) else inside[part]
         before = np.zeros(len(part), bool)
         before[1:] = word[:-1]
         before[inner] = False
