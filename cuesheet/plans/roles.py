@@ -362,4 +362,4 @@ timed_lines AS (SELECT *, pos * 4 AS t_s FROM lines)"""
 
 
 def with_clause(*parts: str) -> str:
-    return "WITH " + ", ".join(p.strip() for p in parts) + "\n"
+    return "WITH RECURSIVE " + ", ".join(p.strip() for p in parts) + "\n"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cuesheet.functions.numbers import rnd
 from cuesheet.operators import agreement, ranks, reports, sampling
+from cuesheet.plans.matching_queries import CHANNEL_SQL, channel_pairs
 from cuesheet.plans.registry import query
 from cuesheet.plans.roles import (
     BINARY, CATEGORICAL, EV, FEAT, NUMERIC, POP, feature_table, features, numeric_long_sql, population, table, timed_events, with_clause,
@@ -341,11 +342,8 @@ def block_coherence(spark, sf):
 
 # ------------------------------------------------------------- paired tests
 
-PAIRED_SQL = """cand AS (SELECT * FROM pop WHERE ratio > 0),
-f1 AS (SELECT domain, channel, premiere, ratio FROM (
-  SELECT *, row_number() OVER (PARTITION BY channel, premiere ORDER BY upload_date, item) AS r FROM cand) WHERE r = 1),
-paired AS (SELECT a.domain, a.channel, floor((ln(a.ratio) - ln(b.ratio)) * 1000000.0 + 0.5) / 1000000.0 AS diff
-           FROM f1 a JOIN f1 b ON a.channel = b.channel AND a.premiere AND NOT b.premiere),
+PAIRED_SQL = CHANNEL_SQL + """,
+paired AS (SELECT domain, floor((ln(ratio_t) - ln(ratio_c)) * 1000000.0 + 0.5) / 1000000.0 AS diff FROM matched),
 nz AS (SELECT *, abs(diff) AS ad FROM paired WHERE diff <> 0),
 rk AS (SELECT *, rank() OVER (PARTITION BY domain ORDER BY ad) + (count(*) OVER (PARTITION BY domain, ad) - 1) / 2.0 AS r FROM nz),
 tt AS (SELECT domain, sum(CAST(t AS DOUBLE) * t * t - t) AS tie_term FROM (SELECT domain, ad, count(*) AS t FROM nz GROUP BY ALL) GROUP BY ALL),
@@ -355,18 +353,8 @@ WILCOXON_Z = "abs(least(w_plus, n_used * (n_used + 1) / 2.0 - w_plus) - n_used *
 
 
 def paired_by_channel(spark, sf):
-    """First premiere against first other item of a channel: one row per channel and side."""
-    pop = population(spark, sf).where(F.col("ratio") > 0)
-    first = pop.groupBy("domain", "channel", "premiere").agg(
-        F.min_by("ratio", F.struct("upload_date", "item")).alias("ratio")
-    )
-    sides = first.groupBy("domain", "channel").agg(
-        F.max(F.when(F.col("premiere"), F.col("ratio"))).alias("a"),
-        F.max(F.when(~F.col("premiere"), F.col("ratio"))).alias("b"),
-    )
-    return sides.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select(
-        "domain", "channel", rnd(F.log("a") - F.log("b"), 6).alias("diff")
-    )
+    """Log ratio of every premiere against the item it is matched with."""
+    return channel_pairs(spark, sf).select("domain", rnd(F.log("treated_ratio") - F.log("control_ratio"), 6).alias("diff"))
 
 
 def matched_summary(spark, sf, method="auto"):
