@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuesheet.functions import policy
+from cuesheet.operators.tables import attach_few
 
 FINDING = "level string, check string, subject string, n bigint"
 
@@ -189,8 +190,6 @@ def snapshot_manifest(tables: dict[str, DataFrame]) -> tuple[DataFrame, str]:
 
 def stale_artifacts(manifest: DataFrame, current: DataFrame) -> DataFrame:
     """Artifacts whose stored fingerprint differs from the current one; none stored is never stale."""
-    # one row per stage name of the closed vocabulary
-    cur = F.broadcast(current.select("artifact", F.col("fingerprint").alias("current")))
-    return manifest.where(F.col("fingerprint").isNotNull()).join(cur, "artifact").where(
-        F.col("fingerprint") != F.col("current")
-    )
+    cur = current.select("artifact", F.col("fingerprint").alias("current"))
+    both = attach_few(manifest.where(F.col("fingerprint").isNotNull()), cur, ["artifact"])
+    return both.where(F.col("fingerprint") != F.col("current"))

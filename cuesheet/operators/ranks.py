@@ -231,6 +231,66 @@ def spearman(
     return s.withColumn("p", pvalues.spearman_p("rho", "n")) if with_p else s
 
 
+def spearman_matrix(
+    df: DataFrame, columns: Sequence[str], *, keys: Sequence[str] = (), min_finite: int = 20, min_n: int = 3, block: int = 300,
+) -> DataFrame:
+    """Rank correlation of every pair of columns, complete cases per pair; columns with fewer than min_finite finite
+    values of a key are left out there. Columns: keys, feature_a, feature_b, n, rho (null if a side is constant).
+
+    A pair ranks each side among the rows where both are finite. Such a row set is shared by all partners that are
+    missing in the same rows, so a column is ranked once per different set and not once per partner; with the usual null
+    patterns the rows that move grow with the columns and not with their pairs. The sets are told apart by a sum of row
+    hashes per pair, one aggregate row. Ranks then meet per row, and sums of their products give all pairs.
+    """
+    keys, columns = list(keys), list(columns)
+    values = [finite(c).alias(f"_v{i}") for i, c in enumerate(columns)]
+    rows = materialise(df.select(*keys, *values).withColumn("_id", F.monotonically_increasing_id()))
+    have = [F.col(f"_v{i}").isNotNull() for i in range(len(columns))]
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    if not pairs:
+        raise ValueError("two columns at least")
+    mark = F.xxhash64("_id").cast("decimal(38,0)")
+    marks: dict[tuple[int, int], int] = {}
+    for k in range(0, len(pairs), block):
+        part = pairs[k : k + block]
+        row = rows.agg(*[F.coalesce(F.sum(F.when(have[i] & have[j], mark)), F.lit(0)).alias(f"m{i}_{j}") for i, j in part]).first()
+        marks |= {(i, j): row[f"m{i}_{j}"] for i, j in part}
+    sets: dict[tuple[int, int], int] = {}  # (column, sum of row hashes) -> a partner that stands for the set
+    of: dict[tuple[int, int], int] = {}  # (column, partner) -> the partner that stands for it
+    for i, j in pairs:
+        for a, b in ((i, j), (j, i)):
+            of[a, b] = sets.setdefault((a, marks[i, j]), b)
+    asked = sorted({(a, of[a, b]) for a, b in of})
+    long = rows.select(*keys, "_id", F.explode(F.array(*[
+        F.struct(F.lit(a).alias("_a"), F.lit(b).alias("_b"), F.when(have[b], F.col(f"_v{a}")).alias("_x")) for a, b in asked
+    ])).alias("_c")).select(*keys, "_id", "_c.*").where(F.col("_x").isNotNull())
+    on = [*keys, "_a", "_b", "_x"]
+    table = rank_table(long, [*keys, "_a", "_b"], "_x")
+    table = table.select(*on, (2 * F.col("n_below") + F.col("n") - F.col("n_total")).cast("double").alias("_r"), "n")
+    ranked = attach_by_value(long, table, on, "n")
+    wide = materialise(ranked.groupBy(*keys, "_id").agg(*[
+        F.max(F.when((F.col("_a") == a) & (F.col("_b") == b), F.col("_r"))).alias(f"_r{a}_{b}") for a, b in asked
+    ]))
+    enough = rows.groupBy(*keys).agg(*[F.count(f"_v{i}").alias(f"_n{i}") for i in range(len(columns))])
+    out = None
+    for k in range(0, len(pairs), block):
+        sums = []
+        for i, j in pairs[k : k + block]:
+            x, y = F.col(f"_r{i}_{of[i, j]}"), F.col(f"_r{j}_{of[j, i]}")
+            both = x.isNotNull() & y.isNotNull()
+            sums += [F.struct(F.lit(columns[i]).alias("feature_a"), F.lit(columns[j]).alias("feature_b"), F.lit(i).alias("_i"), F.lit(j).alias("_j"), F.count_if(both).alias("n"),
+                              F.sum(x * y).alias("_xy"), F.sum(F.when(both, x * x)).alias("_xx"), F.sum(F.when(both, y * y)).alias("_yy"))]
+        part = wide.groupBy(*keys).agg(F.array(*sums).alias("_s")).select(*keys, F.explode("_s").alias("_s")).select(*keys, "_s.*")
+        out = part if out is None else out.unionByName(part)
+    counts = F.array(*[F.col(f"_n{i}") for i in range(len(columns))])
+    enough = enough.select(*keys, counts.alias("_counts"))
+    # without keys both sides are one row
+    out = out.join(enough, keys) if keys else out.join(F.broadcast(enough), F.lit(True))
+    out = out.where((F.col("_counts")[F.col("_i")] >= min_finite) & (F.col("_counts")[F.col("_j")] >= min_finite) & (F.col("n") >= min_n))
+    spread = F.col("_xx") * F.col("_yy")
+    return out.select(*keys, "feature_a", "feature_b", "n", F.when(spread > 0, F.col("_xy") / F.sqrt(spread)).alias("rho"))
+
+
 def _rank_corr(points: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Correlation of centred midranks (2·rank − n − 1, integers) from weighted points.
 

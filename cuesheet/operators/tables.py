@@ -59,6 +59,12 @@ def attach_counts(df: DataFrame, keys: Sequence[str], out: str, parts: int = 256
     return by_hot.unionByName(rest)
 
 
+def attach_few(df: DataFrame, few: DataFrame, keys: Sequence[str], most: int = 10_000) -> DataFrame:
+    """Inner join with a table that is expected to be small: broadcast after its rows were counted, else shuffled."""
+    n = few.limit(most + 1).count()
+    return df.join(F.broadcast(few) if n <= most else few, list(keys))
+
+
 def first_found(df: DataFrame, key: str, value: str, seq: str) -> DataFrame:
     return df.groupBy(key).agg(F.min_by(value, seq).alias(value), F.min(seq).alias(seq))
 

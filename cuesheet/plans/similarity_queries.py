@@ -62,18 +62,17 @@ PCT_SQL = """pct AS (SELECT item, feature, value, floor(100.0 * ((rank() OVER (P
     + 0.5 * count(*) OVER (PARTITION BY feature, value)) / count(*) OVER (PARTITION BY feature) * 10.0 + 0.5) / 10.0 AS midrank_pct,
   floor(100.0 * ((rank() OVER (PARTITION BY feature ORDER BY value) - 1)
     + count(*) OVER (PARTITION BY feature, value)) / count(*) OVER (PARTITION BY feature) * 10.0 + 0.5) / 10.0 AS at_or_below_pct FROM long)"""
-TWO = ["n_lines", "price_avg"]
 
 
-@query("midrank_percentile", with_clause(FEAT, numeric_long_sql(TWO), PCT_SQL) + "SELECT item, feature, midrank_pct FROM pct", "W7")
+@query("midrank_percentile", with_clause(FEAT, LONG, PCT_SQL) + "SELECT item, feature, midrank_pct FROM pct", "W7")
 def midrank_percentile(spark, sf):
-    long = ranks.melt(feature_table(spark, sf, "item", *TWO), ["item"], TWO)
+    long = ranks.melt(feature_table(spark, sf, "item", *COLS), ["item"], COLS)
     return similarity.with_percentiles(long, long).select("item", "feature", "midrank_pct")
 
 
-@query("at_or_below_percentile", with_clause(FEAT, numeric_long_sql(TWO), PCT_SQL) + "SELECT item, feature, at_or_below_pct FROM pct", "W8")
+@query("at_or_below_percentile", with_clause(FEAT, LONG, PCT_SQL) + "SELECT item, feature, at_or_below_pct FROM pct", "W8")
 def at_or_below_percentile(spark, sf):
-    long = ranks.melt(feature_table(spark, sf, "item", *TWO), ["item"], TWO)
+    long = ranks.melt(feature_table(spark, sf, "item", *COLS), ["item"], COLS)
     return similarity.with_percentiles(long, long).select("item", "feature", "at_or_below_pct")
 
 
@@ -93,12 +92,12 @@ mo AS (SELECT feature, avg(value) AS reference_mean, stddev_pop(value) AS refere
     with_clause(FEAT, LONG, EVIDENCE_SQL)
     + f"""SELECT item, feature, value, {R6('(value - reference_mean) / reference_std')} AS z, midrank_pct AS percentile, {R6('reference_mean')} AS reference_mean,
             {R6('reference_std')} AS reference_std, {R6('reference_median')} AS reference_median, reference_n
-          FROM pct JOIN mo USING (feature) WHERE item % 151 = 7""",
+          FROM pct JOIN mo USING (feature) WHERE item % 20 = 0""",
     "C5 M6",
 )
 def evidence_report(spark, sf):
     f = feature_table(spark, sf, "item", *COLS)
-    rows = similarity.evidence(f, f.where(F.col("item") % 151 == 7), COLS)
+    rows = similarity.evidence(f, f.where(F.col("item") % 20 == 0), COLS)
     return r6(rows, "z", "reference_mean", "reference_std", "reference_median").select(
         "item", "feature", "value", "z", "percentile", "reference_mean", "reference_std", "reference_median", "reference_n"
     )

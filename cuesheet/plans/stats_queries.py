@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cuesheet.functions.numbers import rnd
-from cuesheet.operators import agreement, ranks, reports, sampling
+from cuesheet.operators import agreement, ranks, reports, sampling, tables
 from cuesheet.plans.matching_queries import CHANNEL_SQL, channel_pairs
 from cuesheet.plans.registry import query
 from cuesheet.plans.roles import (
@@ -241,18 +241,18 @@ def trend_three_groups(spark, sf):
     with_clause(FEAT)
     + """, src AS (SELECT domain, mood FROM (SELECT domain, mood, row_number() OVER (PARTITION BY domain ORDER BY count(*) DESC, mood) AS r
                   FROM feat WHERE mood IS NOT NULL GROUP BY domain, mood) WHERE r = 1),
-         long AS (SELECT domain, "group", 'price_avg' AS feature, price_avg AS value FROM feat JOIN src USING (domain, mood)
-                  WHERE price_avg IS NOT NULL),"""
+         main AS (SELECT feat.* FROM feat JOIN src USING (domain, mood)), """
+    + numeric_long_sql().replace("FROM feat", "FROM main") + ","
     + mw_sql("domain, ", min_n=5) + f" SELECT domain, mood, {CMP_OUT} FROM cmp JOIN src USING (domain)",
     "T21",
 )
 def sensitivity_dominant_source(spark, sf):
-    feat = feature_table(spark, sf, "domain", "group", "mood", "price_avg")
-    main = reports.dominant_source(feat, ["domain"], "mood")
-    # one row per domain; the domain column has a closed vocabulary
-    kept = feat.join(F.broadcast(main), ["domain", "mood"])
-    res = ranks.compare_groups(ranks.melt(kept, ["domain", "group"], ["price_avg"]), keys=["domain"], min_n=5)
-    return cmp_out(res.join(F.broadcast(main), "domain"), "domain", "mood")
+    """Every metric again, on the items of each domain's most frequent source only."""
+    feat = feature_table(spark, sf, "domain", "group", "mood", *NUMERIC)
+    main = materialise(reports.dominant_source(feat, ["domain"], "mood"))
+    kept = tables.attach_few(feat, main, ["domain", "mood"])
+    res = ranks.compare_groups(ranks.melt(kept, ["domain", "group"], NUMERIC), keys=["domain"], min_n=5)
+    return cmp_out(res.join(main, "domain"), "domain", "mood")
 
 
 @query(
@@ -271,8 +271,7 @@ def attrition(spark, sf):
 
 # ------------------------------------------------------------- correlations
 
-CORR = ["n_lines", "qty_avg", "price_avg", "price_max", "like_rate"]
-PAIRS = [(a, b) for i, a in enumerate(CORR) for b in CORR[i + 1 :]]
+PAIRS = [(a, b) for i, a in enumerate(NUMERIC) for b in NUMERIC[i + 1 :]]
 
 
 def spearman_sql(source: str, pairs, keys: str = "domain, ") -> str:
@@ -291,11 +290,16 @@ rho AS (SELECT {keys}feature_a, feature_b, count(*) AS n, corr(rx, ry) AS rho FR
 
 @query(
     "spearman_pairs",
-    with_clause(FEAT, spearman_sql("feat", PAIRS)) + f"SELECT * REPLACE ({R6('rho')} AS rho) FROM rho",
+    with_clause(FEAT, numeric_long_sql(), spearman_sql("feat", PAIRS))
+    + """, enough AS (SELECT domain, feature FROM long GROUP BY ALL HAVING count(*) >= 20)
+         SELECT domain, feature_a, feature_b, n, floor(rho * 10000.0 + 0.5) / 10000.0 AS rho FROM rho
+         WHERE (domain, feature_a) IN (SELECT domain, feature FROM enough) AND (domain, feature_b) IN (SELECT domain, feature FROM enough)""",
     "T7 T8",
 )
 def spearman_pairs(spark, sf):
-    return r6(ranks.spearman(features(spark, sf), PAIRS, keys=["domain"]), "rho")
+    """The correlation matrix of all numeric features per domain."""
+    feat = feature_table(spark, sf, "domain", *NUMERIC)
+    return ranks.spearman_matrix(feat, NUMERIC, keys=["domain"]).withColumn("rho", rnd("rho", 4))
 
 
 PLUS, MINUS = ["n_lines", "qty_avg"], ["price_min"]

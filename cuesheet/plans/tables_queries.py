@@ -421,17 +421,21 @@ def target_join_topk(spark, sf):
     )
 
 
-ARTIFACTS = ["cart", "click", "purchase", "view"]
+ARTIFACTS = [f"{kind}@{hour:02d}" for kind in ("cart", "click", "purchase", "view") for hour in range(0, 24, 4)]
 
 
 @query(
     "artifact_completeness",
-    """WITH a AS (SELECT user_id AS item, list_distinct(list(event_type)) AS have FROM events WHERE day(ts) <= 3 GROUP BY user_id),
-       m AS (SELECT item, list_sort(list_filter(['cart', 'click', 'purchase', 'view'], lambda x: NOT list_contains(have, x))) AS missing FROM a)
-       SELECT item, array_to_string(missing, ',') AS missing, len(missing) = 0 AS complete FROM m""",
+    """WITH need AS (SELECT k.unnest || '@' || lpad(CAST(h.unnest AS VARCHAR), 2, '0') AS part
+         FROM unnest(['cart', 'click', 'purchase', 'view']) k, unnest(range(0, 24, 4)) h),
+       have AS (SELECT DISTINCT user_id AS item, event_type || '@' || lpad(CAST(hour(ts) // 4 * 4 AS VARCHAR), 2, '0') AS part FROM events),
+       lack AS (SELECT i.item, n.part FROM (SELECT DISTINCT item FROM have) i CROSS JOIN need n EXCEPT SELECT item, part FROM have)
+       SELECT i.item, coalesce(string_agg(l.part, ',' ORDER BY l.part), '') AS missing, count(l.part) = 0 AS complete
+       FROM (SELECT DISTINCT item FROM have) i LEFT JOIN lack l ON l.item = i.item GROUP BY i.item""",
     "X3",
 )
 def artifact_completeness(spark, sf):
-    """Items that have been seen in the first days, and which kinds of a closed list they lack."""
-    seen = table(spark, sf, "events").where(F.dayofmonth("ts") <= 3).select(F.col("user_id").alias("item"), F.col("event_type").alias("artifact"))
+    """Which parts of a closed list an item lacks: every kind of event in every four hours of the day."""
+    hour = F.lpad((F.floor(F.hour("ts") / 4) * 4).cast("string"), 2, "0")
+    seen = table(spark, sf, "events").select(F.col("user_id").alias("item"), F.concat("event_type", F.lit("@"), hour).alias("artifact"))
     return audit.completeness(seen, ARTIFACTS).withColumn("missing", F.array_join("missing", ","))
