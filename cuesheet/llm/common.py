@@ -40,6 +40,30 @@ def held(col: str, remainder: int, of: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % of == remainder
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"{name}_{uuid.uuid4().hex[:8]}"
+    return name
+
+
+#: So many ids, 8 bytes each, are broadcast; more are joined by a shuffle.
+FEW_IDS = 500_000
+
+
+def by_id(docs: DataFrame, key: str, ids: DataFrame, how: str) -> DataFrame:
+    """docs with (left_semi) or without (left_anti) the rows whose key is in the one column of ids, distinct longs.
+
+    Whole rows stay where they are if the ids are few enough to be sent to them; the result is the same either way.
+    A row with a null key counts as not in ids.
+    """
+    name = unused(docs, "_id")
+    ids = save(ids.toDF(name).distinct())
+    n = ids.limit(FEW_IDS + 1).count()
+    return docs.join(F.broadcast(ids) if n <= FEW_IDS else ids, F.col(key).cast("long") == F.col(name), how)
+
+
 HOT_SHARE = 1000
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from cuesheet.llm.common import read, save
+from cuesheet.llm.common import by_id, read, save
 from cuesheet.llm.words import mix
 
 #: Template words of a window; shorter items are matched whole.
@@ -265,8 +265,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **how) -> DataFrame:
     """The rows of docs, with all their columns, whose id has no match; rows with a null id stay."""
-    hit = matches(docs, benchmark, key=key, **how).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col(key).cast("long") == F.col("_hit"), "left_anti")
+    return by_id(docs, key, matches(docs, benchmark, key=key, **how).select("doc_id"), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from cuesheet.llm.common import attach, components, save
+from cuesheet.llm.common import attach, by_id, components, drop, save, unused
 from cuesheet.llm.words import mix, words
 
 SEED = 42
@@ -217,36 +217,61 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, jaccard: float) ->
     return save(both.mapInArrow(run, "a long, b long"))
 
 
-def _near(nodes: DataFrame, texts: DataFrame, size: int, jaccard: float, crowd: int) -> DataFrame:
+def _joined(table: DataFrame, edges: DataFrame) -> DataFrame:
+    """table (id, root) after edges (a, b) between ids were added: only the roots they touch are put together."""
+    of = lambda c: table.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
+    ends = edges.join(of("a"), "a").join(of("b"), "b").where("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+    found = components(ends)
+    return save(attach(table, "root", found.select(F.col("node").alias("root"), "component")).select("id", F.coalesce("component", "root").alias("root")))
+
+
+def _near(nodes: DataFrame, texts: DataFrame, size: int, jaccard: float, crowd: int = 8, rounds: int = 6) -> DataFrame:
     """Edges (a, b) that connect all nodes (id, n, bands) that share a band and reach the Jaccard similarity.
 
-    A bucket of more than crowd nodes is compared with its smallest node first. Every pair of it that is still in
-    different components has a node outside the smallest one's component; such nodes are then compared with all
-    others, so a crowd of near copies needs few pairs and no pair that could connect anything is left out.
+    A bucket of more than crowd nodes is compared with one of its nodes, the hub, at a time: first its smallest, then
+    the smallest that is still apart from the first hub's component, and so on. A pair of nodes in one component needs
+    no comparison, so a crowd of near copies needs a few rounds of as many pairs as it has members. When
+    few nodes are left apart, or after the last round, those that were no hub are compared with all others of their bucket
+    that are not in their component, so no pair that could connect anything is left out.
     """
     keyed = save(nodes.where("n > 0").select("id", "n", F.explode("bands").alias("key")))
     sizes = save(keyed.groupBy("key").agg(F.count("*").alias("count"), F.min(F.struct("id", "n")).alias("hub")).where("count > 1"))
     alike = F.least("n", "m") >= jaccard * F.greatest("n", "m")
     small = keyed.join(sizes.where(F.col("count") <= crowd).select("key"), "key")
     pairs = small.select("key", F.col("id").alias("a"), "n").join(small.select("key", F.col("id").alias("b"), F.col("n").alias("m")), "key").where("a < b")
-    many = save(attach(keyed, "key", sizes.where(F.col("count") > crowd).select("key", "hub"), "inner"))
+    many = save(attach(keyed, "key", sizes.where(F.col("count") > crowd).select("key", "count", "hub"), "inner"))
     hubs = many.select(F.col("hub.id").alias("a"), "n", F.col("id").alias("b"), F.col("hub.n").alias("m")).where("a != b")
     edges = _verified(pairs.where(alike).select("a", "b").unionByName(hubs.where(alike).select("a", "b")), texts, size, jaccard)
-    if many.isEmpty():
+    drop(keyed)
+    total = many.count()
+    if not total:
         return edges
     found = components(edges).withColumnRenamed("component", "root")
     table = save(nodes.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root")))
-    placed = save(attach(many, "id", table))
-    top = attach(placed.select("key", "id", "n", "root", F.col("hub.id").alias("hub")), "hub", table.select(F.col("id").alias("hub"), F.col("root").alias("top")))
-    out = save(top.where("root != top").select("key", F.col("id").alias("a"), "n", F.col("root").alias("r")))
-    if out.isEmpty():
-        return edges
-    rest = out.join(placed.select("key", F.col("id").alias("b"), F.col("n").alias("m"), "root"), "key").where("r != root").where(alike)
+    hub = many.select("key", F.col("hub.id").alias("first"), F.col("hub.id").alias("last")).distinct()
+    for turn in range(rounds + 1):
+        hub = save(attach(hub, "first", table.select(F.col("id").alias("first"), F.col("root").alias("top"))))
+        placed = save(attach(attach(many.select("key", "id", "n", "count"), "id", table), "key", hub.select("key", "last", "top")))
+        apart = placed.where("root != top and id > last")
+        left = apart.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+        if not left:
+            return edges
+        if left <= 4 * total or turn == rounds:
+            break
+        new = apart.groupBy("key").agg(F.min(F.struct("id", "n", "root")).alias("h"))
+        met = attach(placed.select("key", "id", "n", "root"), "key", new, "inner").where("root != h.root")
+        met = met.select(F.col("h.id").alias("a"), "n", F.col("id").alias("b"), F.col("h.n").alias("m")).where(alike)
+        more = _verified(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts, size, jaccard)
+        edges = edges.unionByName(more)
+        table = _joined(table, more)
+        hub = hub.select("key", "first", "last").join(new.select("key", "h.id"), "key", "left").select("key", "first", F.coalesce("id", "last").alias("last"))
+    rest = apart.select("key", F.col("id").alias("a"), "n", F.col("root").alias("r")).join(placed.select("key", F.col("id").alias("b"), F.col("n").alias("m"), "root"), "key")
+    rest = rest.where("r != root").where(alike)
     return edges.unionByName(_verified(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts, size, jaccard))
 
 
 def near_representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, jaccard: float = JACCARD,
-                         distance: int = 2, segments: int = 7, crowd: int = CROWD) -> DataFrame:
+                         distance: int = 2, segments: int = 7, crowd: int = CROWD, bucket: int = 8) -> DataFrame:
     """Like representatives, where also texts whose different shingles have this Jaccard similarity are linked.
 
     At a Jaccard similarity of 0.8 fingerprints differ in some 10 of 64 bits, and up to 17: no chain of clean segments
@@ -258,12 +283,12 @@ def near_representatives(docs: DataFrame, text: str = "text", key: str = "doc_id
     distinct = save(distinct)
     sets = save(distinct.groupBy("same").agg(F.min(F.struct("id", "n", "bands")).alias("x")).select("same", "x.*"))
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    near = _near(sets.select("id", "n", "bands"), texts, size, jaccard, crowd)
+    near = _near(sets.select("id", "n", "bands"), texts, size, jaccard, bucket)
     edges = distinct.join(table, "fp").select(F.col("id").alias("a"), F.col("component_id").alias("b"))
     edges = edges.unionByName(distinct.select("same", F.col("id").alias("a")).join(sets.select("same", F.col("id").alias("b")), "same").select("a", "b"))
     found = components(edges.unionByName(near))
-    kept = distinct.select(F.col("id").alias("_kept")).distinct().join(found, F.col("_kept") == F.col("node"), "left_anti")
-    return _first(docs, text, key, kept)
+    kept = distinct.select("id").distinct().join(found, F.col("id") == F.col("node"), "left_anti")
+    return _first(docs, text, key, kept.select("id"))
 
 
 def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
@@ -271,12 +296,22 @@ def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", **
 
     Rows that repeat an id are one document: the first of them in the order of the text stays.
     """
-    kept = group(docs, text, key, **how).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = group(docs, text, key, **how).where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
     return _first(docs, text, key, kept)
 
 
 def _first(docs: DataFrame, text: str, key: str, kept: DataFrame) -> DataFrame:
-    nth = F.row_number().over(W.partitionBy(key).orderBy(F.col(text).asc_nulls_last()))
-    named = docs.where(F.col(key).isNotNull()).withColumn("_nth", nth).where("_nth = 1").drop("_nth")
-    named = named.join(kept, F.col(key).cast("long") == F.col("_kept"), "left_semi")
-    return named.unionByName(docs.where(F.col(key).isNull()))
+    """Rows whose key is in kept (one column, id), one per key, and all rows without a key.
+
+    Only ids that stand in several rows are dealt out by id to find the first of their texts; all other rows stay in place.
+    """
+    named, long = docs.where(F.col(key).isNotNull()), F.col(key).cast("long")
+    several = save(named.groupBy(long.alias("id")).count().where("count > 1").select("id"))
+    gone = named.select(long.alias("id")).distinct().join(kept, "id", "left_anti")
+    out = by_id(by_id(named, key, gone, "left_anti"), key, several, "left_anti").unionByName(docs.where(F.col(key).isNull()))
+    if several.isEmpty():
+        return out
+    repeated = by_id(named, key, kept.join(several, "id", "left_semi"), "left_semi")
+    nth = unused(docs, "_nth")
+    number = F.row_number().over(W.partitionBy(long).orderBy(F.col(text).asc_nulls_last()))
+    return out.unionByName(repeated.withColumn(nth, number).where(F.col(nth) == 1).drop(nth))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm.common import attach, read, save
+from cuesheet.llm.common import attach, by_id, drop, read, save, unused
 from cuesheet.llm.fmindex import FMIndex
 from cuesheet.llm.words import mix, words
 
@@ -213,7 +213,9 @@ class Repeats:
         shared = mine.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
         lists = attach(mine, "anchor", shared, "inner").groupBy("doc_id", "sha").agg(F.collect_list("anchor").alias("anchors"))
         lists = lists.groupBy("doc_id").agg(F.collect_list(F.struct("sha", "anchors")).alias("shared"))
-        self.texts = save(one.join(lists, "doc_id"))
+        lists = save(lists)
+        self.texts = save(by_id(one, "doc_id", lists.select("doc_id"), "left_semi").join(lists, "doc_id"))
+        drop(mine, lists)
         found = save(self.texts.mapInArrow(lambda it: _segments(it, window, gram), "anchor long, segment binary, doc_id long, sha string, start long, n long, content binary"))
         distinct = found.groupBy("segment").agg(F.min("anchor").alias("anchor"), F.min("doc_id").alias("least"), F.first("content").alias("content"))
         distinct = save(distinct)
@@ -221,9 +223,10 @@ class Repeats:
         unique = parts.groupBy("part").agg(F.min("anchor").alias("anchor"), F.min("least").alias("least"), F.first("content").alias("content"))
         size = parts.agg(F.count("*")).first()[0] * (2 * window - gram)
         unique = unique.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(max(1, size // shard)))).withColumnRenamed("part", "segment")
-        searched = save(unique.groupBy("shard").applyInArrow(
+        answers = save(unique.groupBy("shard").applyInArrow(
             lambda t: _search(t, window), "segment binary, least long, length long, begin array<long>, end array<long>"
-        )).withColumnRenamed("segment", "part").withColumnRenamed("least", "oldest")
+        ))
+        searched = answers.withColumnRenamed("segment", "part").withColumnRenamed("least", "oldest")
         # an occurrence in a later document than the segment's first repeats all of it; the first one repeats what the
         # search found in older segments, and all of a part that an older segment holds too
         placed = attach(parts.select("part", "segment", "shift"), "part", searched, "inner")
@@ -237,6 +240,7 @@ class Repeats:
         spans = later.unionByName(first).select("doc_id", "sha", "at", F.explode("spans").alias("s"))
         spans = spans.select("doc_id", "sha", F.struct((F.col("at") + F.col("s.begin")).alias("begin"), (F.col("at") + F.col("s.end")).alias("end")).alias("span"))
         self.spans = save(spans.groupBy("doc_id", "sha").agg(F.sort_array(F.collect_set("span")).alias("spans")))
+        drop(distinct, parts, answers, occurs)
 
     def copies(self) -> DataFrame:
         """doc_id, sha of texts that repeat an older equal text and have a window at all."""
@@ -294,9 +298,12 @@ def clean(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> Da
     found = Repeats(docs, text, key, **how)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.lit(-1).cast("long").alias("end")))
     lists = found.spans.unionByName(found.copies().distinct().withColumn("spans", whole))
-    lists = lists.groupBy("doc_id").agg(F.collect_list(F.struct("sha", "spans")).alias("_all")).withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(lists, F.col(key).cast("long") == F.col("_doc"), "left").select(*docs.columns, "_all")
-    names = docs.columns
+    doc, every = unused(docs, "_doc"), unused(docs, "_all")
+    lists = save(lists.groupBy("doc_id").agg(F.collect_list(F.struct("sha", "spans")).alias(every)).withColumnRenamed("doc_id", doc))
+    drop(found.texts)
+    # texts that lose nothing stay where they are; only the others meet their spans
+    touched, names = by_id(docs, key, lists.select(doc), "left_semi"), docs.columns
+    joined = touched.join(lists, F.col(key).cast("long") == F.col(doc)).select(*names, every)
     place, counted = names.index(text), names.index("n_chars") if "n_chars" in names else None
 
     def cut(value: str, many) -> str | None:
@@ -328,7 +335,7 @@ def clean(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> Da
                 columns[counted] = pa.array([o if v == n or n is None else len(n) for o, v, n in zip(old, values, new, strict=True)], b.schema.field(counted).type)
             yield pa.RecordBatch.from_arrays(columns, names).filter(keep)
 
-    return joined.mapInArrow(run, docs.schema)
+    return by_id(docs, key, lists.select(doc), "left_anti").unionByName(joined.mapInArrow(run, docs.schema))
 
 
 SQL = r"""
