@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -57,46 +58,105 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 
 @dataclass
 class Piece:
-    """A run of text: its path, the number of its block, whether furniture holds it, and whether a link does."""
+    """A run of text: the node of its path, the number of its block, whether furniture holds it, and whether a link does."""
 
-    path: tuple[str, ...]
+    path: int
     block: int
     text: str
     furniture: bool
     link: bool
 
 
-def _marked(name: str, attributes: str) -> tuple[str, bool]:
-    """Path step (the tag with its first class or id) and whether the element is furniture."""
-    bad, step = name in FURNITURE, name
+class Paths:
+    """Paths of block elements from the root as nodes of a tree, each path once. Node 0 is the empty path."""
+
+    def __init__(self) -> None:
+        self.up, self.step, self.depth, self.tag = [0], [""], [0], [""]
+        self._known: dict[tuple[int, str], int] = {}
+
+    def below(self, node: int, step: str, tag: str) -> int:
+        k = self._known.setdefault((node, step), len(self.up))
+        if k == len(self.up):
+            self.up.append(node)
+            self.step.append(step)
+            self.depth.append(self.depth[node] + 1)
+            self.tag.append(tag)
+        return k
+
+    def has(self, tags: frozenset[str]) -> list[bool]:
+        """Per node whether its path holds one of the tags; parents come before their children."""
+        out: list[bool] = []
+        for k, tag in enumerate(self.tag):
+            out.append(tag in tags or bool(k) and out[self.up[k]])
+        return out
+
+    def line(self, node: int) -> list[int]:
+        out = []
+        while node:
+            out.append(node)
+            node = self.up[node]
+        return out[::-1]
+
+
+def _marked(name: str, attributes: str) -> tuple[str, bool, bool]:
+    """Path step (the tag with its first class or id), whether the element is furniture, and whether its names say so."""
+    bad, named, step = name in FURNITURE, False, name
     if attributes:
         for m in _NAMED.finditer(attributes):
             value = (m[1] or m[2] or m[3] or "").lower()
             step = f"{name}.{value.split()[0]}" if value.split() and step == name else step
-            bad = bad or not NAMES.isdisjoint(_WORD.findall(value)) and name not in ("body", "html", "article", "main")
+            named = named or not NAMES.isdisjoint(_WORD.findall(value)) and name not in ("body", "html", "article", "main")
         bad = bad or bool(_HIDDEN.search(attributes))
-    return step, bad
+    return step, bad, named
+
 
+_P_FENCE = frozenset(("p", "button", "td", "th", "table"))
+_LISTED = frozenset().union(ENDS, *(x for pair in ENDS.values() for x in pair))
+#: An element whose names mark furniture is none if it holds this share of the text of the page's article and main elements,
+#: or of all text if there are none; other furniture doesn't count.
+MOST = 0.5
 
-def pieces(page: str) -> list[Piece]:
-    """The page's runs of text in order. Open p elements end at block starts, list items and cells at their like."""
+
+def pieces(page: str) -> tuple[list[Piece], Paths]:
+    """The page's runs of text in order. Open p elements end at block starts, list items and cells at their like.
+
+    Counters and indices of the open elements are kept beside the stack, so time grows with the page and not with its depth.
+    """
     out: list[Piece] = []
-    stack: list[tuple[str, str, bool]] = []
-    block, at = 0, 0
+    paths = Paths()
+    stack: list[tuple[str, bool, int, int]] = []  # name, furniture, path node, named element
+    fences: list[int] = []
+    listed: list[int] = []
+    open_ = Counter()
+    bad_open = 0
+    within: list[int] = []  # per piece the innermost open named element
+    outer, began, held = [], [], []  # per named element: the one around it, text before it, text in it
+    block, at, total = 0, 0, np.zeros(2, np.int64)  # total: of all text and of that in an article or main
 
     def text(value: str) -> None:
         if value:
-            names = [n for n, _, _ in stack]
-            bad = any(b for _, _, b in stack)
-            if "header" in names and not ("article" in names or "main" in names) or "header" in names and HEADING.isdisjoint(names):
-                bad = True
-            out.append(Piece(tuple(s for _, s, _ in stack), block, html.unescape(value), bad, "a" in names))
+            lone = open_["header"] and (not (open_["article"] or open_["main"]) or not any(open_[h] for h in HEADING))
+            out.append(Piece(stack[-1][2] if stack else 0, block, html.unescape(value), bool(bad_open or lone), bool(open_["a"])))
+            within.append(stack[-1][3] if stack else -1)
+            if not out[-1].furniture:
+                total[0] += len(value.strip())
+                total[1] += len(value.strip()) if open_["article"] or open_["main"] else 0
 
     def close(k: int) -> None:
-        nonlocal block
-        if any(n in BLOCK for n, _, _ in stack[k:]):
-            block += 1
-        del stack[k:]
+        nonlocal block, bad_open
+        blocks = False
+        while len(stack) > k:
+            name, bad, _, named = stack.pop()
+            blocks = blocks or name in BLOCK
+            open_[name] -= 1
+            bad_open -= bad
+            if named >= 0 and (not stack or stack[-1][3] != named):
+                held[named] = total - began[named]
+            if fences and fences[-1] >= len(stack):
+                fences.pop()
+            if listed and listed[-1] >= len(stack):
+                listed.pop()
+        block += blocks
 
     for m in _TOKEN.finditer(page):
         text(page[at : m.start()])
@@ -107,9 +167,8 @@ def pieces(page: str) -> list[Piece]:
                 text(" ") if m[1].lower() in ("textarea", "iframe", "svg") else None
             continue
         if m[2]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if k is not None:
-                close(k)
+            if open_[name]:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             elif name in BLOCK:
                 block += 1
             continue
@@ -118,12 +177,11 @@ def pieces(page: str) -> list[Piece]:
             continue
         if name in BLOCK:
             block += 1
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("p", "button", "td", "th", "table")), None)
-            if k is not None and stack[k][0] == "p":
-                close(k)
+            if fences and stack[fences[-1]][0] == "p":
+                close(fences[-1])
         if name in ENDS:
             likes, fence = ENDS[name]
-            for i in range(len(stack) - 1, -1, -1):
+            for i in reversed(listed):
                 if stack[i][0] in fence:
                     break
                 if stack[i][0] in likes:
@@ -131,9 +189,29 @@ def pieces(page: str) -> list[Piece]:
                     break
         if name in VOID or m[4].endswith("/") and name not in BLOCK:
             continue
-        stack.append((name, *_marked(name, m[4])))
+        step, bad, named = _marked(name, m[4])
+        node, around = (stack[-1][2], stack[-1][3]) if stack else (0, -1)
+        if named:
+            outer.append(around)
+            began.append(total.copy())
+            held.append(total * 0)
+            around = len(outer) - 1
+        if name in _P_FENCE:
+            fences.append(len(stack))
+        if name in _LISTED:
+            listed.append(len(stack))
+        stack.append((name, bad, paths.below(node, step, name) if name in BLOCK else node, around))
+        open_[name] += 1
+        bad_open += bad
     text(page[at:])
-    return out
+    close(0)
+    which = int(total[1] > 0)
+    small = [h[which] < MOST * total[which] or not total[which] for h in held]
+    for k, o in enumerate(outer):
+        small[k] = small[k] or o >= 0 and small[o]
+    for p, k in zip(out, within, strict=True):
+        p.furniture = p.furniture or k >= 0 and small[k]
+    return out, paths
 
 
 def _smooth(values: np.ndarray, reach: int = 1) -> np.ndarray:
@@ -144,12 +222,7 @@ def _smooth(values: np.ndarray, reach: int = 1) -> np.ndarray:
     return np.convolve(values, kernel, "same") / weight
 
 
-def _steps(path: tuple[str, ...]) -> tuple[str, ...]:
-    """The path down to its last block, without inline tags."""
-    return tuple(s for s in path if s.partition(".")[0] in BLOCK)
-
-
-def content(found: list[Piece], share: float = 0.5) -> list[Piece]:
+def content(found: list[Piece], paths: Paths, share: float = 0.5) -> list[Piece]:
     """The pieces that belong to the main text.
 
     Paths of text outside furniture get text length and punctuation per occurrence, both without links, smoothed
@@ -159,13 +232,13 @@ def content(found: list[Piece], share: float = 0.5) -> list[Piece]:
     chosen paths and headings.
     """
     good = [p for p in found if not p.furniture and p.text.strip()]
-    paths = list(dict.fromkeys(_steps(p.path) for p in good))
-    if not paths:
+    used = list(dict.fromkeys(p.path for p in good))
+    if not used:
         return []
-    place = {p: k for k, p in enumerate(paths)}
-    length, stops, blocks = np.zeros(len(paths)), np.zeros(len(paths)), [set() for _ in paths]
+    place = {p: k for k, p in enumerate(used)}
+    length, stops, blocks = np.zeros(len(used)), np.zeros(len(used)), [set() for _ in used]
     for p in good:
-        k = place[_steps(p.path)]
+        k = place[p.path]
         blocks[k].add(p.block)
         if not p.link:
             length[k] += len(p.text.strip())
@@ -173,31 +246,37 @@ def content(found: list[Piece], share: float = 0.5) -> list[Piece]:
     count = np.array([max(1, len(b)) for b in blocks])
     ratio, pause = _smooth(length / count), _smooth(stops / count)
     fused = np.sqrt((ratio + 1) / (ratio + 1).sum() * (pause + 0.1) / (pause + 0.1).sum())
-    chosen = {p for p, v in zip(paths, fused, strict=True) if v >= share * fused.mean()}
+    chosen = {p for p, v in zip(used, fused, strict=True) if v >= share * fused.mean()}
     # the best path is the one with most text behind its ratio
-    best = paths[int(np.argmax(fused * np.sqrt(length + 1)))]
-    inside = [p for p in paths if any(s.partition(".")[0] in ("article", "main") for s in p)]
+    best = used[int(np.argmax(fused * np.sqrt(length + 1)))]
+    framed, heading = paths.has(frozenset(("article", "main"))), paths.has(HEADING)
+    inside = [p for p in used if framed[p]]
     if inside and best not in inside and max(length[place[p]] for p in inside) * 4 >= length[place[best]]:
         best = max(inside, key=lambda p: length[place[p]])
-    tops = [k for k, s in enumerate(best) if s.partition(".")[0] in ("article", "main")]
+    line = paths.line(best)
+    tops = [k for k in line if paths.tag[k] in ("article", "main")]
     if tops:
-        root, all_of = best[: tops[-1] + 1], True
+        root, all_of = tops[-1], True
     else:
-        root, all_of = best[:-1] or best, False
-        for p in chosen:
-            n = next((k for k, (a, b) in enumerate(zip(root, p, strict=False)) if a != b), min(len(root), len(p)))
-            if n >= 3 or n == len(root):
-                root = root[:n]
-    return [
-        p for p in good
-        if (s := _steps(p.path))[: len(root)] == root and (all_of or s in chosen or not HEADING.isdisjoint(x.partition(".")[0] for x in s))
-    ]
+        depth, all_of = len(line) - 1 if len(line) > 1 else len(line), False
+        shared, on = [0] * len(paths.up), set(line)  # depth down to which a path agrees with the best one
+        for k in range(1, len(shared)):
+            shared[k] = paths.depth[k] if k in on else shared[paths.up[k]]
+        for p in sorted(chosen):
+            n = min(shared[p], depth)
+            if n >= 3:
+                depth = n
+        root = line[depth - 1] if depth else 0
+    under = [not root]
+    for k in range(1, len(paths.up)):
+        under.append(k == root or under[paths.up[k]])
+    return [p for p in good if under[p.path] and (all_of or p.path in chosen or heading[p.path])]
 
 
 def main_text(page: str | None) -> str:
     """Blocks of the main text, white space inside a block as one space, joined by line feeds; empty if none."""
-    found = pieces(page or "")
-    kept = {id(p) for p in content(found)}
+    found, paths = pieces(page or "")
+    kept = {id(p) for p in content(found, paths)}
     blocks: dict[int, list[str]] = {}
     for p in found:
         # white space between two kept runs of a block belongs to it
