@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from cuesheet.llm.common import components, read, save
+from cuesheet.llm.common import attach, components, read, save
 
 THRESHOLD = 0.98
 #: Neighbours of a list at the start.
@@ -22,6 +22,8 @@ TREES = 8
 #: Queries of the audit and the recall that it asks for.
 AUDIT = 256
 RECALL = 0.995
+#: Passes of fresh trees that look for links between saturated components, at most.
+PASSES = 6
 #: Vectors of one block of a saturated component.
 TILE = 512
 
@@ -70,7 +72,7 @@ def _planes(tree: int, width: int, levels: int) -> np.ndarray:
     return np.random.default_rng([11, tree, width]).normal(size=(levels, width))
 
 
-def _leaves(batches: Iterable[pa.RecordBatch], trees: int, levels: int) -> Iterator[pa.RecordBatch]:
+def _leaves(batches: Iterable[pa.RecordBatch], trees: range, levels: int) -> Iterator[pa.RecordBatch]:
     """Per vector and tree the signs of `levels` random projections."""
     for b in batches:
         flat, start = _vectors(b.column("v"))
@@ -79,7 +81,7 @@ def _leaves(batches: Iterable[pa.RecordBatch], trees: int, levels: int) -> Itera
             at = np.flatnonzero(width == w)
             m = flat[(start[at][:, None] + np.arange(w))]
             rows = b.take(pa.array(at))
-            for t in range(trees):
+            for t in trees:
                 code = (m @ _planes(t, int(w), levels).T > 0) @ (1 << np.arange(levels)).astype(np.int64) if levels else np.zeros(len(at), np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(at), t, np.int32)), pa.array(code), rows.column("id"), rows.column("label"), rows.column("v")], ["tree", "code", "id", "label", "v"])
@@ -111,6 +113,24 @@ def _first(table: pa.Table, size: int) -> pa.Table:
     return _best(table.column("id").to_numpy(), _matrix(table.column("v")), size)
 
 
+def _bridges(table: pa.Table, threshold: float) -> pa.Table:
+    """Edges (a, b) that connect what the threshold connects inside one part of a leaf: one per vector at most.
+
+    A list that is full of its own crowd has no room for a vector of another crowd, however near; these edges have.
+    """
+    ids, m = table.column("id").to_numpy(), _matrix(table.column("v"))
+    near = m @ m.T >= threshold
+    np.fill_diagonal(near, True)
+    root = np.arange(len(ids))
+    while True:
+        least = np.where(near, root[None, :], len(ids)).min(1)
+        if (least == root).all():
+            break
+        root = least
+    good = root != np.arange(len(ids))
+    return pa.table([pa.array(ids[good]), pa.array(ids[root[good]])], ["a", "b"])
+
+
 def _join(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Local joins: the neighbours of one vector, and itself, are compared with one another."""
     for b in batches:
@@ -134,44 +154,40 @@ def _keep(edges: DataFrame, size: int) -> DataFrame:
     return edges.groupBy("a", "b").agg(F.max("cos").alias("cos")).withColumn("rank", rank).where(F.col("rank") <= size).drop("rank")
 
 
-def _recall(vectors: DataFrame, graph: DataFrame, threshold: float, size: int, audit: int) -> float:
-    """Share of the true links, up to the list size, of a bounded set of queries that the graph holds.
+def _audit(vectors: DataFrame, placed: DataFrame, threshold: float, audit: int) -> float:
+    """Share of the true links of a bounded set of queries of which both ends are in one component.
 
-    The queries are those with the smallest hashed ids, compared with all vectors block by block.
+    placed: (id, label, v, component) of every vector. The queries are those with the smallest hashed ids; they are
+    compared with all vectors, no list size bounds what counts, and a block of vectors sends two numbers.
     """
-    rows = [(r["id"], r["label"], np.frombuffer(r["v"])) for r in vectors.orderBy(F.xxhash64("id"), "id").limit(audit).collect()]
+    rows = placed.orderBy(F.xxhash64("id"), "id").limit(audit).collect()
     if not rows:
         return 1.0
     groups: dict[str, list] = {}
-    for x, label, v in rows:
-        groups.setdefault(label, []).append((x, v))
-    held = vectors.sparkSession.sparkContext.broadcast({k: (np.array([x for x, _ in g]), np.array([v for _, v in g])) for k, g in groups.items()})
+    for r in rows:
+        groups.setdefault(r["label"], []).append((r["id"], r["component"], np.frombuffer(r["v"])))
+    held = vectors.sparkSession.sparkContext.broadcast({k: tuple(map(np.array, zip(*g, strict=True))) for k, g in groups.items()})
 
     def look(batches):
         for b in batches:
-            ids, labels = b.column("id").to_numpy(), np.array(b.column("label").to_pylist())
+            ids, labels, own = b.column("id").to_numpy(), np.array(b.column("label").to_pylist()), b.column("component").to_numpy()
+            n = hits = 0
             for k in set(labels.tolist()) & held.value.keys():
-                query, m = held.value[k]
+                query, component, m = held.value[k]
                 at = np.flatnonzero(labels == k)
-                q, o = np.nonzero(m @ _matrix(b.column("v").take(pa.array(at))).T >= threshold)
-                other = ids[at][o]
-                ok = query[q] != other
-                yield pa.RecordBatch.from_arrays([pa.array(query[q][ok]), pa.array(other[ok])], ["a", "b"])
-
-    true = vectors.mapInArrow(look, "a long, b long")
-    hit = graph.where(F.col("cos") >= threshold).select("a", "b", F.lit(1).alias("hit"))
-    per = true.join(hit, ["a", "b"], "left").groupBy("a").agg(F.count("*").alias("n"), F.count("hit").alias("hits"))
-    n, hits = per.agg(F.sum(F.least("n", F.lit(size))), F.sum(F.least("hits", F.lit(size)))).first()
+                true = (m @ _matrix(b.column("v").take(pa.array(at))).T >= threshold) & (query[:, None] != ids[at][None, :])
+                n += int(true.sum())
+                hits += int((true & (component[:, None] == own[at][None, :])).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([hits])], ["n", "hits"])
+
+    n, hits = placed.select("id", "label", "v", "component").mapInArrow(look, "n long, hits long").agg(F.sum("n"), F.sum("hits")).first()
     return hits / n if n else 1.0
 
 
-def descend(vectors: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, leaf: int = LEAF, trees: int = TREES, rounds: int = 12,
-            audit: int = AUDIT, recall: float = RECALL) -> DataFrame:
-    """Edges (a, b, cos) of a neighbour graph, both ways, of vectors (id, label, v).
+def _cut(vectors: DataFrame, leaf: int, trees: range) -> DataFrame:
+    """Columns tree, leaf, part, id, v: random leaves of each label, of at most about twice `leaf` vectors.
 
-    First lists come from random leaves. Each round joins the neighbours (and reverse neighbours, as many) of every
-    vector with one another and keeps the best of every list; it ends after a round that adds hardly a link, if the
-    audited recall of links is reached.
+    A leaf that is still large, as of a crowd of like vectors, is cut at random.
     """
     sizes = vectors.groupBy("label").count().withColumn("levels", F.ceil(F.log2(F.greatest(F.col("count") / leaf, F.lit(1.0)))).cast("int"))
     sizes = save(sizes.select("label", "levels"))
@@ -180,10 +196,17 @@ def descend(vectors: DataFrame, size: int = SIZE, threshold: float = THRESHOLD,
     # a label uses as many of the planes as its size asks for
     leaves = save(coded.select("tree", F.concat_ws("\x01", "label", F.expr("code & (shiftleft(1L, levels) - 1)").cast("string")).alias("leaf"), "id", "v"))
     counts = leaves.groupBy("tree", "leaf").count().withColumn("parts", F.ceil(F.col("count") / (2 * leaf)).cast("int"))
-    # a leaf that is still large, as of a crowd of like vectors, is cut at random: later rounds join the parts
     cut = leaves.join(counts.select("tree", "leaf", "parts"), ["tree", "leaf"])
-    cut = cut.withColumn("part", F.pmod(F.xxhash64("id", "tree"), F.col("parts")))
-    edges = cut.groupBy("tree", "leaf", "part").applyInArrow(lambda t: _first(t, size), EDGES)
+    return cut.withColumn("part", F.pmod(F.xxhash64("id", "tree"), F.col("parts")))
+
+
+def descend(vectors: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, leaf: int = LEAF, trees: int = TREES, rounds: int = 12) -> DataFrame:
+    """Edges (a, b, cos) of a neighbour graph, both ways, of vectors (id, label, v).
+
+    First lists come from random leaves. Each round joins the neighbours (and reverse neighbours, as many) of every
+    vector with one another and keeps the best of every list; it ends after a round that adds hardly a link.
+    """
+    edges = _cut(vectors, leaf, range(trees)).groupBy("tree", "leaf", "part").applyInArrow(lambda t: _first(t, size), EDGES)
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos"))
     graph = save(_keep(save(both), size))
     links = graph.where(F.col("cos") >= threshold).count()
@@ -198,11 +221,50 @@ def descend(vectors: DataFrame, size: int = SIZE, threshold: float = THRESHOLD,
         fresh = better.join(graph.select("a", "b"), ["a", "b"], "left_anti")
         graph = save(_keep(graph.unionByName(fresh), size))
         links, before = graph.where(F.col("cos") >= threshold).count(), links
-        if links - before <= 0.001 * links and _recall(vectors, graph, threshold, size, audit) >= recall:
+        if links - before <= 0.001 * links:
             break
     return graph
 
 
+def _with_lone(found: DataFrame) -> DataFrame:
+    return save(found.unionByName(found.select(F.col("component").alias("node"), "component")).distinct())
+
+
+def linked(vectors: DataFrame, size: int, threshold: float, leaf: int = LEAF, trees: int = TREES, audit: int = AUDIT, recall: float = RECALL, passes: int = PASSES, **how) -> DataFrame:
+    """Columns node, component of all vectors that have a link.
+
+    A vector whose list is full and whose last neighbour is still within the threshold is saturated. Its list is
+    enlarged to all that its component holds, and as a full list has no room for another crowd, fresh trees over the
+    saturated vectors look for links between components, until a pass merges none and the audited recall is reached.
+    If it isn't after all passes the operator fails and says so.
+    """
+    graph = descend(vectors, size, threshold, leaf, trees, **how)
+    found = _with_lone(components(graph.where(F.col("cos") >= threshold).select("a", "b")))
+    full = graph.groupBy("a").agg(F.count("*").alias("n"), F.min("cos").alias("least")).where((F.col("n") >= size) & (F.col("least") >= threshold))
+    saturated = save(vectors.join(full.select(F.col("a").alias("id")), "id", "left_semi"))
+    some = not saturated.isEmpty()
+    reached = 0.0
+    for turn in range(passes):
+        merged = False
+        if some:
+            parts = _cut(saturated, leaf, range(trees * (turn + 1), trees * (turn + 2)))
+            extra = save(parts.groupBy("tree", "leaf", "part").applyInArrow(lambda t: _bridges(t, threshold), "a long, b long").distinct())
+            of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+            new = save(extra.join(of("a"), "a").join(of("b"), "b").where("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+            merged = not new.isEmpty()
+            if merged:
+                roots = components(new).select(F.col("node").alias("component"), F.col("component").alias("top"))
+                found = save(attach(found, "component", roots).select("node", F.coalesce("top", "component").alias("component")))
+        if not merged or turn == passes - 1:
+            placed = vectors.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "label", "v", F.coalesce("component", "id").alias("component"))
+            reached = _audit(vectors, save(placed), threshold, audit)
+            if reached >= recall:
+                return found
+            if not some:
+                saturated, some = vectors, True  # links are missing though no list is full: all vectors meet in fresh trees
+    raise RuntimeError(f"{reached:.4f} of the audited links were found after {passes} passes, {recall} asked: give more trees or longer lists")
+
+
 def near_duplicates(embeddings: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label",
                     threshold: float = THRESHOLD, size: int = SIZE, tile: int = TILE, **how) -> DataFrame:
     """Columns vec_id, n_links, component_id, kept, one row per row of embeddings.
@@ -213,16 +275,13 @@ def near_duplicates(embeddings: DataFrame, key: str = "vec_id", vector: str = "e
     by content, and get the same answer.
 
     Lists whose last neighbour is still within the threshold are saturated: a larger crowd may stand behind them.
-    Their lists are enlarged to all that the links reach: members of a component are compared tile by tile, and only
-    counts per vector leave a pair of tiles.
+    Their lists are enlarged to all that the links reach, also over bridges to other crowds (see linked): members of a
+    component are compared tile by tile, and only counts per vector leave a pair of tiles.
     """
     one = unit(embeddings, key, vector, label)
     first = F.row_number().over(W.partitionBy("id").orderBy("label", F.hex("v")))
     vectors = save(one.withColumn("nth", first).where("nth = 1").drop("nth"))
-    graph = descend(vectors, size, threshold, **how)
-    links = graph.where(F.col("cos") >= threshold).select("a", "b")
-    found = components(links)
-    found = save(found.unionByName(found.select(F.col("component").alias("node"), "component")).distinct())
+    found = linked(vectors, size, threshold, **how)
     members = found.join(vectors, found["node"] == vectors["id"]).select("component", "id", "v")
     sizes = found.groupBy("component").agg(F.count("*").alias("size"))
     placed = members.join(sizes.select("component", F.ceil(F.col("size") / tile).cast("int").alias("tiles")), "component")
