@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cuesheet.functions import text as tx
 from cuesheet.functions.numbers import rnd
-from cuesheet.operators import audit, claims, tables
+from cuesheet.operators import audit, claims, digest_tree, tables
 from cuesheet.plans.registry import query
 from cuesheet.plans.roles import (
     EV, FEAT, NUMERIC, POP, SCENES, TAGS, documents, features, intervals, population, table, tags, timed_events, with_clause,
@@ -99,25 +99,52 @@ def schema_variants(spark, sf):
     return audit.schema_variants(table(spark, sf, "events"), "event_id", "props")
 
 
-def digest_sql(cols: list[str], src: str) -> str:
-    parts = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN '{c}=' || CAST({c} AS VARCHAR) END" for c in sorted(cols))
-    lanes = " || ':' || ".join(
-        f"CAST(coalesce(sum(CAST(CAST('0x' || substr(d, {1 + 15 * i}, 15) AS UBIGINT) AS HUGEINT)), 0) AS VARCHAR)" for i in range(4)
-    )
-    return f"SELECT count(*) AS n, sha256(CAST(count(*) AS VARCHAR) || ':' || {lanes}) AS digest FROM (SELECT sha256(concat_ws(chr(31), {parts})) AS d FROM {src})"
-
-
-@query(
-    "content_digest",
-    "SELECT 'documents' AS name, * FROM (" + digest_sql(["doc_id", "text", "lang", "source"], "documents") + ") UNION ALL SELECT 'conversations', * FROM ("
-    + digest_sql(["conv_id", "turn", "role", "text"], "conversations") + ") UNION ALL SELECT 'nation', * FROM (" + digest_sql(["n_nationkey", "n_name", "n_regionkey"], "nation") + ")",
-    "X6 S8",
-)
+#: The id and the columns with their types of every table: s text or integer, d double, f list of floats, t time.
+DIGESTED = {
+    "region": ("r_regionkey", "r_regionkey:s r_name:s"), "nation": ("n_nationkey", "n_nationkey:s n_name:s n_regionkey:s"),
+    "customer": ("c_custkey", "c_custkey:s c_name:s c_nationkey:s c_acctbal:d c_mktsegment:s"),
+    "supplier": ("s_suppkey", "s_suppkey:s s_name:s s_nationkey:s s_acctbal:d"),
+    "part": ("p_partkey", "p_partkey:s p_name:s p_brand:s p_type:s p_size:s p_retailprice:d"),
+    "orders": ("o_orderkey", "o_orderkey:s o_custkey:s o_orderstatus:s o_totalprice:d o_orderdate:t o_orderpriority:s"),
+    "lineitem": ("l_orderkey", "l_orderkey:s l_partkey:s l_suppkey:s l_linenumber:s l_quantity:d l_extendedprice:d l_discount:d l_tax:d "
+                 "l_returnflag:s l_linestatus:s l_shipdate:t"),
+    "events": ("event_id", "event_id:s ts:t user_id:s event_type:s value:d props:s"),
+    "documents": ("doc_id", "doc_id:s text:s lang:s source:s n_chars:s"), "embeddings": ("vec_id", "vec_id:s embedding:f label:s"),
+    "pages": ("page_id", "page_id:s url:s html:s"), "benchmark": ("item_id", "item_id:s text:s"), "labels": ("doc_id", "doc_id:s quality:s toxic:s"),
+    "conversations": ("conv_id", "conv_id:s turn:s role:s text:s"),
+}
+
+
+def canonical_sql(c: str, kind: str) -> str:
+    number = "CAST(CAST(floor({x}) AS BIGINT) AS VARCHAR) || '+' || CAST(CAST(floor(({x} - floor({x})) * 1099511627776.0) AS BIGINT) AS VARCHAR)"
+    return {
+        "s": f"regexp_replace(CAST({c} AS VARCHAR), '\\r\\n?', chr(10), 'g')", "d": number.format(x=c), "t": f"CAST(epoch_us({c}) AS VARCHAR)",
+        "f": f"'[' || array_to_string(list_transform({c}, lambda e: {number.format(x='CAST(e AS DOUBLE)')}), ',') || ']'",
+    }[kind]
+
+
+def tree_sql(name: str, width: int = digest_tree.WIDTH, fan: int = digest_tree.FAN, leaf: int = digest_tree.LEAF) -> str:
+    """Rows, ranges, one or two levels of parents, root; ranges of more than `leaf` rows by the digits of their digests."""
+    id_, columns = DIGESTED[name]
+    parts = ", ".join(f"'{c}=' || {canonical_sql(c, k)}" for c, k in sorted(x.split(":") for x in columns.split()))
+    return f"""SELECT '{name}' AS name, * FROM (WITH d AS (SELECT floor({id_} / {width}.0) AS cell, sha256(concat_ws(chr(31), {parts})) AS d FROM {name}),
+      c AS (SELECT CAST(cell AS BIGINT) AS cell, d, count(*) AS n FROM d GROUP BY ALL),
+      k AS (SELECT *, CAST(greatest(0, ceil(ln(count(*) OVER (PARTITION BY cell) / {leaf}.0) / ln(16.0))) AS INT) AS digits FROM c),
+      l AS (SELECT cell, digits, left(d, digits) AS prefix, sha256(string_agg(d || ':' || CAST(n AS VARCHAR), chr(10) ORDER BY d)) AS digest, sum(n) AS n FROM k GROUP BY ALL),
+      r AS (SELECT cell, CASE WHEN digits = 0 THEN any_value(digest) ELSE sha256(string_agg(prefix || ':' || digest, chr(10) ORDER BY prefix)) END AS digest, sum(n) AS n FROM l GROUP BY cell, digits),
+      p AS (SELECT cell // {fan} AS cell, sha256(string_agg(CAST(cell AS VARCHAR) || ':' || digest, chr(10) ORDER BY cell)) AS digest, sum(n) AS n FROM r GROUP BY 1),
+      q AS (SELECT sha256(string_agg(CAST(cell AS VARCHAR) || ':' || digest, chr(10) ORDER BY cell)) AS digest FROM p)
+      SELECT CAST((SELECT sum(n) FROM r) AS BIGINT) AS n,  sha256('+:' || CASE WHEN (SELECT count(*) FROM r) = 1 THEN (SELECT max(digest) FROM r) WHEN (SELECT count(*) FROM p) = 1 THEN (SELECT max(digest) FROM p) ELSE (SELECT digest FROM q) END) AS digest)"""
+
+
+@query("content_digest", " UNION ALL ".join(map(tree_sql, DIGESTED)), "X6 S8")
 def content_digest(spark, sf):
-    parts, _ = audit.snapshot_manifest({
-        "documents": documents(spark, sf).drop("n_chars"), "conversations": table(spark, sf, "conversations"), "nation": table(spark, sf, "nation"),
-    })
-    return parts
+    """Roots of the hash trees of all tables, every column."""
+    out = None
+    for name, (id_, _) in DIGESTED.items():
+        row = digest_tree.root(digest_tree.ranges(table(spark, sf, name), id_)).select(F.lit(name).alias("name"), "n", "digest")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query(
