@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.operators.audit import snapshot_manifest
+from cuesheet.sources import snapshots
 
 # Fixed value: columns of a sample file.
 SAMPLE_COLUMNS = [
@@ -89,13 +89,8 @@ def write_jsonl(df: DataFrame, path: str, kind: str = "derived", inputs: list[st
 
 
 def write_snapshot(tables: dict[str, DataFrame], path: str) -> str:
-    """Every table plus a manifest with digests; returns the snapshot id."""
-    spark = next(iter(tables.values())).sparkSession
-    for name, df in tables.items():
-        write_table(df, f"{path}/{name}", "snapshot", fmt="json")
-    manifest, snapshot_id = snapshot_manifest(tables)
-    write_table(manifest, f"{path}/manifest", "snapshot-manifest", fmt="json")
-    return manifest.agg(F.expr(snapshot_id).alias("id")).first()["id"]
+    """Every table and a manifest with digests, committed as one; returns the snapshot id. Read with snapshots.read."""
+    return snapshots.write(tables, path)
 
 
 SEARCH_SCHEMAS = {

@@ -16,19 +16,50 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 
+#: Parts of a log that rows are dealt to by the hash of their key.
+BUCKETS = 256
+
+
 def _run_name(spark: SparkSession, checkpoint: str) -> str:
-    """Name of the run that a checkpoint folder belongs to; made once, with the folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}.run")
+    """Name of the run that a checkpoint folder belongs to: made once, in the folder, and lost with it.
+
+    The file is created without overwriting and read back, so two starts at one time agree on the name. If its writer
+    died before it wrote a name, the time of the file is the name.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}/run-name")
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    state = spark._jvm.org.apache.hadoop.fs.Path(checkpoint)
-    if fs.exists(path) and fs.exists(state):
-        with_name = spark.read.text(path.toString()).first()
-        return with_name[0]
-    run = f"r{uuid.uuid4().hex}"
-    out = fs.create(path, True)
-    out.write(bytearray(run.encode()))
-    out.close()
-    return run
+    if not fs.exists(path):
+        try:
+            out = fs.create(path, False)
+            out.write(bytearray(f"r{uuid.uuid4().hex}".encode()))
+            out.close()
+        except Exception:
+            if not fs.exists(path):  # not another start's file, so a real error
+                raise
+    stream = fs.open(path)
+    try:
+        name = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return name or f"r{fs.getFileStatus(path).getModificationTime()}"
+
+
+def _bucket(keys: Sequence[str], buckets: int) -> Column:
+    return F.concat(F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("string"), F.lit(f"-of-{buckets}"))
+
+
+def _logged(spark: SparkSession, output: str, touched: Sequence[str], buckets: int) -> DataFrame | None:
+    """The rows of the touched parts of a log; other parts are neither listed nor read."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(output)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return None
+    names = {s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()}
+    other = sorted(n for n in names if not n.startswith("_") and not (n.startswith("bucket=") and n.endswith(f"-of-{buckets}")))
+    if other:
+        raise ValueError(f"{output} is no log of {buckets} parts: it holds {other[0]}")
+    paths = [f"{output.rstrip('/')}/bucket={b}" for b in touched if f"bucket={b}" in names]
+    return spark.read.option("basePath", output).parquet(*paths) if paths else None
 
 
 def append_new(
@@ -37,13 +68,16 @@ def append_new(
     output: str,
     checkpoint: str,
     work: Callable[[DataFrame], DataFrame] | None = None,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Append rows whose key is not yet in the log; work done for them may record failures as rows.
 
-    The log itself decides what is done, so a restart with a lost checkpoint repeats nothing. A
-    retried batch replaces its own partition of the log instead of appending twice: partitions are
-    (run, epoch), and the name of the run lies beside the checkpoint, so a new checkpoint, whose epochs
-    start again at 0, never touches what an earlier run has logged.
+    The log itself decides what is done, so a restart with a lost checkpoint repeats nothing. It is dealt out by the
+    hash of the key to a fixed number of parts, and a batch looks only into the parts that its own keys fall
+    in, so what a batch reads follows the batch and not the history. A retried batch replaces its own partitions of
+    the log instead of appending twice: partitions are (bucket, run, epoch), and the name of the run lies in the
+    checkpoint, so a new checkpoint, whose epochs start again at 0, never touches what an earlier run has logged.
+    Rows with a null in their key are keys like any other.
     """
     keys = list(keys)
     run = _run_name(stream.sparkSession, checkpoint)
@@ -51,14 +85,15 @@ def append_new(
     def batch(df: DataFrame, epoch: int) -> None:
         spark = df.sparkSession
         new = df.dropDuplicates(keys)
-        log = spark._jvm.org.apache.hadoop.fs.Path(output)
-        if log.getFileSystem(spark._jsc.hadoopConfiguration()).exists(log):
-            done = spark.read.parquet(output).where((F.col("run") != run) | (F.col("epoch") != epoch)).select(*keys)
-            new = new.join(done, keys, "left_anti")
+        touched = sorted(r[0] for r in df.select(_bucket(keys, buckets).alias("b")).distinct().collect())  # `buckets` at most
+        log = _logged(spark, output, touched, buckets)
+        if log is not None:
+            done = log.where((F.col("run") != run) | (F.col("epoch") != epoch)).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+            same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+            new = new.join(done, same, "left_anti")
         rows = work(new) if work else new
-        rows.withColumns({"run": F.lit(run), "epoch": F.lit(epoch)}).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("run", "epoch").parquet(output)
+        rows = rows.withColumns({"bucket": _bucket(keys, buckets), "run": F.lit(run), "epoch": F.lit(epoch)})
+        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "run", "epoch").parquet(output)
 
     return (
         stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
