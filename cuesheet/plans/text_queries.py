@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cuesheet.functions import text as tx
 from cuesheet.functions.numbers import rnd
-from cuesheet.operators import scrub, search
+from cuesheet.operators import scrub, search, textindex
 from cuesheet.operators.ordered import scan
 from cuesheet.plans.registry import query
 from cuesheet.plans.roles import POP, TAGS, documents, intervals, population, table, tags, with_clause
+from cuesheet.session import shared_folder
 
 Q = "[^\\p{L}\\p{N}]+"
 SQUASH = lambda x: f"lower(regexp_replace({x}, '{Q}', '', 'g'))"
@@ -289,3 +292,21 @@ def corpus_search(spark, sf):
     t = tags(spark, sf).select("item", "pos", F.concat_ws(" ", "setting", "mood", "style", "shot_type").alias("blob"))
     starts = intervals(spark, sf).select("item", "pos", F.col("start_s").alias("t_s"))
     return search.corpus_search(feats, lines, t.join(starts, ["item", "pos"], "left"), "live", 3000)
+
+
+NEEDLES_SQL = "needles AS (SELECT doc_id AS needle_id, substr(text, 11, CASE WHEN doc_id % 100 = 0 THEN 2 ELSE 9 END) AS needle FROM documents WHERE doc_id % 20 = 0)"
+
+
+@query(
+    "indexed_search",
+    with_clause(NEEDLES_SQL) + """SELECT n.needle_id, d.doc_id AS item FROM needles n JOIN documents d ON contains(lower(d.text), lower(n.needle))""",
+    "C11 F12 S10",
+)
+def indexed_search(spark, sf):
+    """Pieces of every twentieth document, nine letters of it or two, looked for in all documents through the trigram index."""
+    d = documents(spark, sf)
+    path = f"{shared_folder(spark).rstrip('/')}/cuesheet/index-{uuid.uuid4().hex}"
+    textindex.build(d, path, "doc_id", "text")
+    width = F.when(F.col("doc_id") % 100 == 0, 2).otherwise(9)
+    needles = d.where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("needle_id"), F.substring(F.col("text"), F.lit(11), width).alias("needle"))
+    return textindex.search(path, d, needles, "doc_id", "text")
