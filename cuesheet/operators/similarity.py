@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,29 +118,107 @@ def neighbours(
     )
 
 
+#: Bytes of target vectors that are sent to the tasks at once; more targets are served in further passes.
+BLOCK_BYTES = 32 << 20
+_PACKED = "item long, width int, v binary"
+
+
+def _packed(vectors: DataFrame, vector: str, item: str) -> DataFrame:
+    """(item, width, packed doubles) of the vectors without a missing or non-finite component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x = np.array(v, float)
+                if len(x) and np.isfinite(x).all():
+                    out.append((i, len(x), x.tobytes()))
+            columns = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["item", "width", "v"])
+
+    rows = vectors.select(F.col(item).cast("long").alias("item"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    return rows.where(F.col("item").isNotNull() & F.col("v").isNotNull()).mapInArrow(run, _PACKED)
+
+
+def _deviations(packed: DataFrame) -> dict[int, np.ndarray]:
+    """Population deviation of every dimension per width, from sums that tasks hand over: one row per width."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            width = b.column("width").to_numpy()
+            for w in np.unique(width):
+                x = np.frombuffer(b"".join(v for v, k in zip(b.column("v").to_pylist(), width, strict=True) if k == w)).reshape(-1, w)
+                mean = x.mean(0)
+                yield pa.RecordBatch.from_arrays([pa.array([int(w)], pa.int32()), pa.array([len(x)]), pa.array([mean.tolist()]), pa.array([((x - mean) ** 2).sum(0).tolist()])], ["width", "n", "mean", "m2"])
+
+    parts = packed.mapInArrow(run, "width int, n long, mean array<double>, m2 array<double>")
+    long = parts.select("width", "n", F.posexplode(F.arrays_zip("mean", "m2"))).select("width", "n", "pos", "col.mean", "col.m2")
+    long = materialise(long)
+    centre = long.groupBy("width", "pos").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("c"), F.sum("n").alias("total"))
+    spread = long.join(centre, ["width", "pos"]).groupBy("width", "pos").agg(F.sum(F.col("m2") + F.col("n") * (F.col("mean") - F.col("c")) ** 2).alias("m2"), F.first("total").alias("total"))
+    rows = spread.select("width", F.struct("pos", F.sqrt(F.col("m2") / F.col("total")).alias("sd")).alias("x")).groupBy("width").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return {r["width"]: np.array([x["sd"] for x in r["x"]]) for r in rows.collect()}
+
+
 def array_neighbours(corpus: DataFrame, targets: DataFrame, vector: str, k: int, item: str = "item", digits: int = 4) -> DataFrame:
     """k nearest vectors per target by RMS of the differences in units of each dimension's deviation, ties by id.
 
-    The width is that of the widest vector; vectors of another width are no neighbours. One row of deviations and
-    the rows of the named targets reach the driver.
+    targets may be any table. Vectors are compared with those of their own width, whose deviations are taken over the
+    corpus; a constant dimension counts nothing, and a vector with a missing or non-finite component is compared with none.
+    Targets go to the tasks in blocks of BLOCK_BYTES at most; each task keeps its k nearest of every target of the block, so
+    what is shuffled is k rows per target and task, and the plan of a block doesn't grow with the targets.
     """
-    width = corpus.agg(F.max(F.size(vector))).first()[0] or 0
-    if width == 0:
-        raise ValueError("no vectors")
-    sd = corpus.agg(F.array(*[F.stddev_pop(F.get(vector, F.lit(i))) for i in range(width)]).alias("sd")).first()["sd"]
-    inverse = F.array(*[F.lit(1.0 / s if s else 0.0) for s in sd])
-    rows = targets.where(F.size(vector) == width).select(item, vector).orderBy(item).collect()
-    parts = []
-    for i in range(0, max(1, len(rows)), BATCH):
-        options = F.array(*[F.struct(F.lit(t[item]).alias("target"), F.array(*map(F.lit, t[vector])).alias("t")) for t in rows[i : i + BATCH]])
-        far = corpus.where(F.size(vector) == width).select(item, vector, F.explode(options).alias("o"))
-        z = F.zip_with(F.zip_with(F.col(vector), F.col("o.t"), lambda a, b: a - b), inverse, lambda d, s: d * s)
-        far = far.where(F.col(item) != F.col("o.target")).select(
-            F.col("o.target").alias("target"), item, rnd(F.sqrt(F.aggregate(z, F.lit(0.0), lambda a, x: a + x * x) / width), digits).alias("distance")
-        )
-        w = Window.partitionBy("target").orderBy("distance", item)
-        parts.append(far.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint")))
-    return reduce(DataFrame.unionByName, parts)
+    everything = materialise(_packed(corpus, vector, item))
+    sd = _deviations(everything)
+    asked = materialise(_packed(targets, vector, item).distinct())
+    size = asked.agg(F.coalesce(F.sum(F.octet_length("v") + 64), F.lit(0))).first()[0]
+    blocks = max(1, -(-2 * size // BLOCK_BYTES))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("item", "v"), F.lit(blocks)))
+    sc, step, out = corpus.sparkSession.sparkContext, 10.0**digits, None
+    for n in range(blocks):
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        groups: dict[int, list] = {}
+        for r in asked.where(F.col("block") == n).collect():
+            groups.setdefault(r["width"], []).append((r["item"], np.frombuffer(r["v"])))
+        for w, rows in groups.items():
+            if w in sd:
+                inverse = np.divide(1.0, sd[w], out=np.zeros(w), where=sd[w] > 0)
+                held[w] = (np.array([i for i, _ in rows]), np.array([v for _, v in rows]) * inverse, inverse)
+        near = everything.mapInArrow(_nearest(sc.broadcast(held), k, step), "target long, item long, distance double")
+        best = near.groupBy("target").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "item"))), 1, k).alias("b"))
+        best = best.select("target", F.posexplode("b").alias("rank", "b")).select("target", F.col("b.item").alias(item), "b.distance", (F.col("rank") + 1).cast("bigint").alias("rank"))
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
+def _nearest(held, k: int, step: float):
+    """Per task: the k nearest (by rounded distance, then id) of every held target among the task's vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {w: (np.full((len(t), k), np.inf), np.full((len(t), k), np.iinfo(np.int64).max)) for w, (t, _, _) in held.value.items()}
+        for b in batches:
+            width, ids, values = b.column("width").to_numpy(), b.column("item").to_numpy(), b.column("v")
+            for w in np.unique(width):
+                if w not in best:
+                    continue
+                names, z, inverse = held.value[w]
+                at = np.flatnonzero(width == w)
+                x = np.frombuffer(b"".join(values.take(pa.array(at)).to_pylist())).reshape(-1, w) * inverse
+                for lo in range(0, len(names), 256):
+                    t = z[lo : lo + 256]
+                    square = (x * x).sum(1)[None, :] + (t * t).sum(1)[:, None] - 2 * t @ x.T
+                    far = np.floor(np.sqrt(np.maximum(square, 0.0) / w) * step + 0.5) / step
+                    far[names[lo : lo + 256, None] == ids[at][None, :]] = np.inf
+                    distance = np.hstack([best[w][0][lo : lo + 256], far])
+                    who = np.hstack([best[w][1][lo : lo + 256], np.broadcast_to(ids[at], far.shape)])
+                    order = np.lexsort((who, distance), axis=1)[:, :k]
+                    best[w][0][lo : lo + 256] = np.take_along_axis(distance, order, 1)
+                    best[w][1][lo : lo + 256] = np.take_along_axis(who, order, 1)
+        for w, (distance, who) in best.items():
+            i, j = np.nonzero(np.isfinite(distance))
+            yield pa.RecordBatch.from_arrays([pa.array(held.value[w][0][i]), pa.array(who[i, j]), pa.array(distance[i, j])], ["target", "item", "distance"])
+
+    return run
 
 
 def outliers(df: DataFrame, features: Sequence[str], scale: DataFrame, k: int, item: str = "item") -> DataFrame:

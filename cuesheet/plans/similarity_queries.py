@@ -127,16 +127,16 @@ def centroid_distance(spark, sf):
     "WITH v AS (SELECT vec_id AS item, CAST(generate_subscripts(embedding, 1) AS BIGINT) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),"
     " s AS (SELECT dim, stddev_pop(x) AS sd FROM v GROUP BY dim),"
     f" d AS (SELECT t.item AS target, v.item, floor(sqrt(avg(((v.x - t.x) / sd) * ((v.x - t.x) / sd))) * 10000.0 + 0.5) / 10000.0 AS distance FROM v t JOIN v USING (dim) JOIN s USING (dim)"
-    f" WHERE t.item IN ({TSQL}) AND v.item <> t.item GROUP BY ALL)"
+    f" WHERE t.item % 20 = 0 AND v.item <> t.item GROUP BY ALL)"
     " SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY distance, item) AS rank FROM d) WHERE rank <= 5",
     "M7 M13 K3",
 )
 def embedding_neighbours(spark, sf):
-    """All dimensions, whatever their number; the distance is built on the arrays."""
+    """Every twentieth vector against all, in all dimensions."""
     v = table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("item"), F.transform("embedding", lambda x: x.cast("double")).alias("e")
     )
-    return similarity.array_neighbours(v, v.where(F.col("item").isin(TARGETS)), "e", 5)
+    return similarity.array_neighbours(v, v.where(F.col("item") % 20 == 0), "e", 5)
 
 
 # ------------------------------------------------------------- axes
