@@ -1,13 +1,15 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Contexts (the last one to three tokens) are candidates if they hold at least a fixed share of the training tokens,
-so there are at most 1 / share of each length; one stays if the smoothed distribution of its next token diverges
-from that of its longest kept suffix. A token is scored by its longest kept context, interpolated with all shorter
-kept ones down to the unigram base.
-
-Documents are read once into blocks of token ids. Counts are exchanged as packed arrays: a block sends, to the
-shard of the next token, its distinct (context, token) pairs with their training counts, and gets the corpus counts
-of the same pairs back. A frequent token's pairs are at most one per context and block.
+A context (the last one to `depth` tokens, the mark before a text's first word included) is a candidate if it occurs
+`least` times in training, an absolute count, so the tree grows with the corpus. It stays if the smoothed distribution
+of its next token diverges from that of its longest kept suffix. A token is scored by its longest kept context,
+interpolated with all shorter kept ones down to the unigram base.
+
+The tree is cut by the last words of its contexts. All contexts that end in the same word lie in one shard, so a block
+of documents sends each of its distinct windows (context words, next token, training count, probability so far) to one
+shard, which counts, tests and scores the whole chain of suffixes, and gets the windows' probabilities back. A context
+that owns more windows than a shard may hold is hot: it is counted in shards of the next token instead, and the windows
+behind it are cut by one word more. At most HOT contexts of a length are hot, whatever the corpus; only they are collected.
 """
 
 from __future__ import annotations
@@ -15,18 +17,24 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuesheet.llm.common import read, save
-from cuesheet.llm.words import words
+from cuesheet.llm.words import mix, words
 
-#: Share of the training tokens that a context needs.
-SHARE = 2e-5
+#: Training occurrences that a context needs.
+LEAST = 2
+#: Longest context, in tokens.
 DEPTH = 3
+#: Tokens of documents for one shard of the tree, and at most so many hot contexts of a length.
+WINDOWS = 2_000_000
+HOT = 100_000
 #: Bits by which a kept context's next token must differ from its suffix's.
 DIVERGENCE = 0.02
 DISCOUNT = 0.75
@@ -42,9 +50,15 @@ _BLOCK = pa.schema([
     ("vocab", pa.binary()), ("train", pa.binary()), ("tokens", pa.binary()), ("types", pa.int64()),
 ])
 _PART = pa.schema([
-    ("r", pa.int32()), ("block", pa.int64()), ("depth", pa.int32()), ("token", pa.binary()), ("context", pa.binary()), ("count", pa.binary()), ("n", pa.int64()),
+    ("r", pa.int32()), ("block", pa.int64()), ("depth", pa.int32()), ("token", pa.binary()), ("context", pa.binary()), ("count", pa.binary()), ("n", pa.int64()), ("id", pa.binary()),
 ])
-PART = "r int, block long, depth int, token binary, context binary, count binary, n long"
+PART = "r int, block long, depth int, token binary, context binary, count binary, n long, id binary"
+_ASK = pa.schema([("r", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("columns", pa.list_(pa.binary()))])
+ASK = "r int, block long, n long, columns array<binary>"
+_REPLY = pa.schema([("block", pa.int64()), ("depth", pa.int32()), ("r", pa.int32()), ("count", pa.binary()), ("n", pa.int64()), ("id", pa.binary())])
+REPLY = "block long, depth int, r int, count binary, n long, id binary"
+#: Depth that marks a shard's replies to windows.
+TREE = -1
 
 
 def _pack(a: np.ndarray, kind: str) -> bytes:
@@ -61,6 +75,16 @@ def _wide(blob: bytes, n: int) -> np.ndarray:
     return np.frombuffer(blob, f"<u{len(blob) // n}" if n else "<u1").astype(np.int64)
 
 
+def _squeeze(a: np.ndarray) -> bytes:
+    """Numbers from 0 on or doubles, byte plane by byte plane, compressed."""
+    raw = np.frombuffer(_pack(a, "<f8") if a.dtype.kind == "f" else _narrow(a), np.uint8).reshape(len(a), -1)
+    return bytes([raw.shape[1]]) + zstandard.ZstdCompressor(1).compress(raw.T.tobytes())
+
+
+def _loose(blob: bytes, n: int) -> bytes:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), np.uint8).reshape(blob[0], n).T.tobytes()
+
+
 def _held(key) -> bool:
     return zlib.crc32(b"" if key is None else str(key).encode()) % 5 == HELD
 
@@ -95,7 +119,7 @@ def _shards(token: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Level:
-    """Candidate contexts of one length, ascending by hash; parent: hash of the suffix that is one shorter."""
+    """Contexts of one length, ascending by hash; parent: hash of the suffix that is one shorter."""
 
     hash: np.ndarray
     parent: np.ndarray
@@ -112,6 +136,22 @@ def _find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(table[at] == x, at, -1)
 
 
+@dataclass
+class Windows:
+    """Per token: base probability, whether known, probability after the hot contexts, whether one was used. Per place
+    `at` its row. Per row, ascending by shard: the shard and the columns (context words' ids from the last on, token's
+    id, length of the first context that isn't hot, training count, probability so far)."""
+
+    base: np.ndarray
+    known: np.ndarray
+    p: np.ndarray
+    used: np.ndarray
+    at: np.ndarray
+    row: np.ndarray
+    shard: np.ndarray
+    columns: list[np.ndarray]
+
+
 class Block:
     """A block's tokens with, for each depth, the pairs that it asks for."""
 
@@ -122,6 +162,60 @@ class Block:
         base = np.cumsum(self.sizes) - self.sizes
         self.place = np.arange(len(self.local)) - np.repeat(base, self.sizes)
 
+    def windows(self, got: dict[int, list[dict]], model: Model, least: int, depth: int, shards: int) -> Windows:
+        """What the block asks the tree: its distinct windows, shard by shard."""
+        count = np.concatenate([_counts(r["count"], r["n"]) for r in got[0]])
+        ids = np.concatenate([_wide(r["id"], r["n"]) for r in got[0]])
+        p0 = model.unigram(count)[self.local]
+        p, used, first = p0.copy(), np.zeros(len(p0), bool), np.ones(len(p0), np.int64)
+        for d, level in enumerate(model.levels, 1):
+            at, pair, _, context, _ = self.pairs(d, level)
+            if not len(at):
+                continue
+            first[at] = d + 1
+            here = level.kept[context[pair]]
+            at, pair = at[here], pair[here]
+            p[at] = interpolate(p[at], level, context[pair], np.concatenate([_counts(r["count"], r["n"]) for r in got[d]])[pair])
+            used[at] = True
+        # places of the vocabulary by id, from 1 on; 0 ends a context: before the text, or a word too rare for any
+        order = np.argsort(ids)
+        rank = np.empty(len(ids), np.int64)
+        rank[order] = np.arange(1, len(ids) + 1)
+        word = np.where(count >= least, rank, 0)
+        here = np.concatenate(([word[np.searchsorted(self.vocab, END)]], word[self.local])) if len(ids) else np.zeros(1, np.int64)
+        back, open_ = [], np.ones(len(p0), bool)
+        for d in range(1, depth + 1):
+            before = np.zeros(len(p0), np.int64)
+            before[d - 1 :] = here[: len(here) - d]
+            open_ = open_ & (self.place + 1 >= d) & (before > 0)
+            back.append(np.where(open_, before, 0))
+        reach = np.sum([b > 0 for b in back], axis=0)
+        at = np.flatnonzero(reach >= first)
+        back, token, first = [b[at] for b in back], rank[self.local[at]], first[at]
+        by_rank = np.concatenate(([0], ids[order]))
+        # the shard follows from the shortest context that isn't hot
+        h = np.zeros(len(at), np.uint64)
+        for d, b in enumerate(back, 1):
+            h = np.where(d <= first, mix((h + by_rank[b].astype(np.uint64)) * _K), h)
+        shard = (h % np.uint64(shards)).astype(np.int64)
+        width = len(ids) + 1
+        bits = width.bit_length()
+        codes = [shard]
+        for k, x in enumerate([*back, token]):
+            if k % (62 // bits) == 0:
+                codes.append(np.zeros(len(at), np.int64))
+            codes[-1] = codes[-1] << bits | x
+        sort = np.lexsort(codes[::-1])
+        new = np.ones(len(at), bool)
+        if len(at):
+            new[1:] = np.any([c[sort][1:] != c[sort][:-1] for c in codes], axis=0)
+        row = np.empty(len(at), np.int64)
+        row[sort] = np.cumsum(new) - 1
+        one = sort[new]
+        train = np.bincount(row[np.repeat(~self.held, self.sizes)[at]], minlength=len(one))
+        columns = [*(by_rank[b[one]] for b in back), by_rank[token[one]], first[one], train, p[at][one]]
+        return Windows(p0, (count > 0)[self.local], p, used, at, row, shard[one], columns)
+
     def pairs(self, depth: int, level: Level) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(positions with a candidate context, their pair, then per pair: token, context, training count)."""
         h = np.concatenate(([END], self.vocab[self.local]))
@@ -153,7 +247,7 @@ def _rows(table: pa.Table) -> list[dict]:
     return sorted(table.to_pylist(), key=lambda r: (r["depth"], r["block"]))
 
 
-def _merge(table: pa.Table) -> pa.Table:
+def _merge(table: pa.Table, shards: int) -> pa.Table:
     """Sum one shard's pairs. Out: per asking block the corpus counts of its pairs, and with block -1 the shard itself."""
     rows = _rows(table)
     token = np.concatenate([np.frombuffer(r["token"], "<u8") for r in rows])
@@ -168,6 +262,14 @@ def _merge(table: pa.Table) -> pa.Table:
         n = r["n"]
         out.append({"r": r["r"], "block": r["block"], "depth": r["depth"], "count": _narrow(total[pair[at : at + n]]), "n": n})
         at += n
+    if rows[0]["depth"] == 0:
+        # ids of words: frequent ones are small, and no other shard gives the same
+        rank = np.empty(len(types), np.int64)
+        rank[np.argsort(-total, kind="stable")] = np.arange(len(types))
+        ids, at = rank * shards + rows[0]["r"] + 1, 0
+        for o in out:
+            o["id"] = _narrow(ids[pair[at : at + o["n"]]])
+            at += o["n"]
     seen = total > 0
     out.append({"r": rows[0]["r"], "block": -1, "depth": rows[0]["depth"], "token": _pack(types[code[seen] // width], "<u8"),
                 "context": _narrow(code[seen] % width), "count": _narrow(total[seen]), "n": int(seen.sum())})
@@ -185,7 +287,7 @@ def interpolate(p: np.ndarray, level: Level, context: np.ndarray, count: np.ndar
 
 
 class Model:
-    """Totals and kept levels; small enough for a broadcast, since a level has at most 1 / share contexts."""
+    """Totals and the levels of hot contexts; small enough for a broadcast, since a level has at most HOT of them."""
 
     def __init__(self, tokens: int, types: int):
         self.tokens, self.types, self.levels = tokens, types, []
@@ -239,7 +341,7 @@ def _stats(batches, width: int):
 
 
 def _longer(batches, level: Level, least: float):
-    """Strings of a context and a token that are frequent enough to be contexts: hash, and hash without the first token."""
+    """Strings of a context and a token that are hot contexts themselves: hash, and hash without the first token."""
     schema = pa.schema([("hash", pa.int64()), ("parent", pa.int64())])
     for b in batches:
         for token, context, count, n in zip(*(b.column(c).to_pylist() for c in ("token", "context", "count", "n")), strict=True):
@@ -261,6 +363,10 @@ def _asking(depth: int, level, shards: int):
     return run
 
 
+def _merging(shards: int):
+    return lambda table: _merge(table, shards)
+
+
 def _diverging(depth: int, model):
     return lambda table: _diverge(table, model.value, depth)
 
@@ -273,38 +379,67 @@ def _lengthening(level: Level, least: float):
     return lambda batches: _longer(batches, level, least)
 
 
-def score(docs: DataFrame, text: str = "text", key: str = "doc_id", share: float = SHARE, depth: int = DEPTH,
-          divergence: float = DIVERGENCE, shard: int = SHARD, least: int = 4) -> DataFrame:
-    """Columns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_context; one row per row.
+def _replies(table: pa.Table) -> dict[int, list[dict]]:
+    got: dict[int, list] = {}
+    for r in sorted(table.to_pylist(), key=lambda r: (r["depth"], r["r"])):
+        got.setdefault(r["depth"], []).append(r)
+    return got
 
-    Null texts are empty and have the end token alone; a null id counts as an empty text for the fold. n_context is
-    the number of tokens scored with a kept context. A context needs `share` of the training tokens and `least` of
-    them. Without any training token every count is zero.
-    """
-    spark = docs.sparkSession
-    one = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    blocks = save(one.mapInArrow(
-        _blocks, "block long, ids array<long>, sizes array<int>, held array<boolean>, vocab binary, train binary, tokens binary, types long"))
-    entries = blocks.agg(F.sum("types")).first()[0] or 0
-    shards = max(1, entries // shard)
 
-    def unigrams(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                vocab = np.frombuffer(r["vocab"], "<u8")
-                for x in _send(r["block"], 0, vocab, np.zeros(len(vocab), np.int64), np.frombuffer(r["train"], "<i4"), shards):
-                    yield pa.RecordBatch.from_pylist([x], _PART)
+def _windows(blocks: pa.Table, replies: pa.Table, model: Model, least: int, depth: int, shards: int) -> pa.Table:
+    """A block's windows, one row per shard that has any."""
+    row = blocks.to_pylist()[0]
+    w = Block(row).windows(_replies(replies), model, least, depth, shards)
+    cut, out = [*np.flatnonzero(np.diff(w.shard, prepend=-1)), len(w.shard)], []
+    for i, j in pairwise(cut):
+        out.append({"r": int(w.shard[i]), "block": row["block"], "n": int(j - i), "columns": [_squeeze(c[i:j]) for c in w.columns]})
+    return pa.Table.from_pylist(out, _ASK)
+
+
+def _tree(table: pa.Table, least: int, depth: int, divergence: float) -> pa.Table:
+    """One shard: count its windows, test its contexts from short to long, answer each block with its windows' probabilities."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["block"])
+    of = [np.concatenate([_wide(_loose(r["columns"][k], r["n"]), r["n"]) for r in rows]) for k in range(depth + 3)]
+    p = np.concatenate([np.frombuffer(_loose(r["columns"][depth + 3], r["n"]), "<f8") for r in rows])
+    *back, token, first, count = of
+    _, token = np.unique(token, return_inverse=True)
+    width = max(int(token.max()), *(int(b.max()) for b in back)) + 1
+    group = np.zeros(len(token), np.int64)
+    for b in back:
+        _, group = np.unique(group * width + b, return_inverse=True)
+    _, one, row = np.unique(group * width + token, return_index=True, return_inverse=True)
+    count = np.bincount(row, count)
+    back, token, first, p = [b[one] for b in back], token[one], first[one], p[one]
+    used, group = np.zeros(len(one), bool), np.zeros(len(one), np.int64)
+    for d, b in enumerate(back, 1):
+        _, group = np.unique(group * width + b, return_inverse=True)
+        _, at, pair = np.unique(group * width + token, return_index=True, return_inverse=True)
+        c, context, parent = np.bincount(pair, count), group[at], p[at]
+        seen = c > 0
+        level = Level(np.zeros(0), np.zeros(0), np.bincount(context, c), np.bincount(context, seen))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            q = interpolate(parent, level, context, c)
+            bits = np.bincount(context, np.where(seen, q * np.log2(q / parent), 0))
+            mass = np.bincount(context, np.where(seen, parent, 0))
+            level.kept = (level.n >= least) & (diverges(level, bits, mass) >= divergence)
+        use = level.kept[group] & (b > 0) & (d >= first)
+        p, used = np.where(use, q[pair], p), used | use
+    answer, at, out = np.where(used, p, 0.0)[row], 0, []
+    for r in rows:
+        out.append({"block": r["block"], "depth": TREE, "r": r["r"], "count": _squeeze(answer[at : at + r["n"]]), "n": r["n"]})
+        at += r["n"]
+    return pa.Table.from_pylist(out, _REPLY)
 
-    tables = [save(blocks.select("block", "vocab", "train").mapInArrow(unigrams, PART).groupBy("r").applyInArrow(_merge, PART))]
 
-    def totals(batches):
-        for b in batches:
-            for count, n in zip(b.column("count").to_pylist(), b.column("n").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([int(_counts(count, n).sum())]), pa.array([n])], ["tokens", "types"])
+def diverges(level: Level, bits: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """Divergence in bits: seen tokens' part, and that of the unseen, which all keep the same share of the suffix's probability."""
+    rest = DISCOUNT * level.types / level.n
+    return bits + np.maximum(0, 1 - mass) * rest * np.log2(rest)
+
 
-    merged = tables[0].where("block = -1")
-    tokens, types = merged.mapInArrow(totals, "tokens long, types long").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
-    model, enough = Model(tokens, types), max(share * tokens, least)
+def _hot(blocks: DataFrame, tables: list[DataFrame], model: Model, enough: float, depth: int, divergence: float, shards: int) -> None:
+    """Add to the model the contexts that occur `enough` times, and to the tables their counts; one round for each length."""
+    spark = blocks.sparkSession
 
     def frequent(batches):
         for b in batches:
@@ -312,9 +447,9 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", share: float
                 t = np.frombuffer(token, "<u8")[_counts(count, n) >= enough]
                 yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(np.zeros(len(t), np.int64))], ["hash", "parent"])
 
-    found = merged.mapInArrow(frequent, "hash long, parent long")
+    found = tables[0].where("block = -1").mapInArrow(frequent, "hash long, parent long")
     for d in range(1, depth + 1):
-        rows = found.distinct().collect()  # at most 1 / share
+        rows = found.distinct().collect()  # at most HOT
         if not rows:
             break
         hashes = np.array([r["hash"] for r in rows], np.int64).view(np.uint64)
@@ -323,7 +458,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", share: float
         sent = spark.sparkContext.broadcast(level)
 
         pairs = blocks.select("block", "sizes", "held", "vocab", "train", "tokens").mapInArrow(_asking(d, sent, shards), PART)
-        tables.append(save(pairs.groupBy("r").applyInArrow(_merge, PART)))
+        tables.append(save(pairs.groupBy("r").applyInArrow(_merging(shards), PART)))
         merged, width = tables[-1].where("block = -1"), len(rows)
         level.n, level.types = np.zeros(width), np.zeros(width)
         for r in merged.mapInArrow(_counting(width), "context long, n long, types long").groupBy("context").agg(F.sum("n").alias("n"), F.sum("types").alias("types")).collect():
@@ -338,36 +473,67 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", share: float
         for r in parts.groupBy("context").agg(F.sum("bits").alias("bits"), F.sum("mass").alias("mass")).collect():
             bits[r["context"]], mass[r["context"]] = r["bits"], r["mass"]
         with np.errstate(divide="ignore", invalid="ignore"):
-            rest = DISCOUNT * level.types / level.n
-            level.kept = (level.n > 0) & (bits + np.maximum(0, 1 - mass) * rest * np.log2(rest) >= divergence)
+            level.kept = (level.n > 0) & (diverges(level, bits, mass) >= divergence)
         found = merged.mapInArrow(_lengthening(level, enough), "hash long, parent long")
+
+
+def score(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int = LEAST, depth: int = DEPTH,
+          divergence: float = DIVERGENCE, shard: int = SHARD, windows: int = WINDOWS) -> DataFrame:
+    """Columns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_context; one row per row.
+
+    Null texts are empty and have the end token alone; a null id counts as an empty text for the fold. n_context is
+    the number of tokens scored with a kept context. A context needs `least` training occurrences. Without any training
+    token every count is zero. `shard` and `windows` say how the work is cut and don't change the model.
+    """
+    spark = docs.sparkSession
+    one = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    blocks = save(one.mapInArrow(
+        _blocks, "block long, ids array<long>, sizes array<int>, held array<boolean>, vocab binary, train binary, tokens binary, types long"))
+    size = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+    entries, length = blocks.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum(size), F.lit(0))).first()
+    shards, parts = max(1, entries // shard), max(1, length // windows)
+
+    def unigrams(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                vocab = np.frombuffer(r["vocab"], "<u8")
+                for x in _send(r["block"], 0, vocab, np.zeros(len(vocab), np.int64), np.frombuffer(r["train"], "<i4"), shards):
+                    yield pa.RecordBatch.from_pylist([x], _PART)
+
+    tables = [save(blocks.select("block", "vocab", "train").mapInArrow(unigrams, PART).groupBy("r").applyInArrow(_merging(shards), PART))]
+
+    def totals(batches):
+        for b in batches:
+            for count, n in zip(b.column("count").to_pylist(), b.column("n").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([int(_counts(count, n).sum())]), pa.array([n])], ["tokens", "types"])
+
+    sums = tables[0].where("block = -1").mapInArrow(totals, "tokens long, types long")
+    model = Model(*sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first())
+    _hot(blocks, tables, model, max(model.tokens / HOT, windows, least), depth, divergence, shards)
     final = spark.sparkContext.broadcast(model)
-    replies = tables[0].where("block >= 0").select("block", "depth", "r", "count", "n")
+    columns = [f.name for f in _REPLY]
+    replies = tables[0].where("block >= 0").select(columns)
     for t in tables[1:]:
-        replies = replies.unionByName(t.where("block >= 0").select("block", "depth", "r", "count", "n"))
+        replies = replies.unionByName(t.where("block >= 0").select(columns))
+    asked = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
+        lambda a, b: _windows(a, b, final.value, least, depth, parts), ASK)
+    answers = save(asked.groupBy("r").applyInArrow(lambda t: _tree(t, least, depth, divergence), REPLY))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_context long"
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda a, b: _score(a, b, final.value), schema)
+    return blocks.groupBy("block").cogroup(replies.unionByName(answers).groupBy("block")).applyInArrow(
+        lambda a, b: _score(a, b, final.value, least, depth, parts), schema)
 
 
-def _score(blocks: pa.Table, replies: pa.Table, model: Model) -> pa.Table:
+def _score(blocks: pa.Table, replies: pa.Table, model: Model, least: int, depth: int, shards: int) -> pa.Table:
     row = blocks.to_pylist()[0]
-    got: dict[int, list] = {}
-    for r in sorted(replies.to_pylist(), key=lambda r: (r["depth"], r["r"])):
-        got.setdefault(r["depth"], []).append(_counts(r["count"], r["n"]))
-    block = Block(row)
-    count = np.concatenate(got[0])
-    p0 = model.unigram(count)[block.local]
-    p, known, used = p0.copy(), (count > 0)[block.local], np.zeros(len(p0), bool)
-    for d, level in enumerate(model.levels, 1):
-        at, pair, _, context, _ = block.pairs(d, level)
-        if not len(at):
-            continue
-        here = level.kept[context[pair]]
-        at, pair = at[here], pair[here]
-        p[at] = interpolate(p[at], level, context[pair], np.concatenate(got[d])[pair])
-        used[at] = True
+    got, block = _replies(replies), Block(row)
+    w = block.windows(got, model, least, depth, shards)
+    p, used = w.p, w.used
+    if len(w.at):
+        answer = np.concatenate([np.frombuffer(_loose(r["count"], r["n"]), "<f8") for r in got[TREE]])[w.row]
+        p[w.at] = np.where(answer > 0, answer, p[w.at])
+        used[w.at] |= answer > 0
     base = np.cumsum(block.sizes) - block.sizes
-    sums = [np.add.reduceat(x, base) for x in (known.astype(np.int64), np.log10(p0), np.log10(p), used.astype(np.int64))]
+    sums = [np.add.reduceat(x, base) for x in (w.known.astype(np.int64), np.log10(w.base), np.log10(p), used.astype(np.int64))]
     n = len(base)
     return pa.table({
         "doc_id": pa.array(row["ids"], pa.int64()), "held_out": pa.array(block.held), "n_tokens": pa.array(block.sizes), "n_known": pa.array(sums[0]),

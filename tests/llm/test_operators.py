@@ -155,7 +155,7 @@ def test_suffix_tree_base_and_normalisation(spark):
     rng = random.Random(6)
     rows = [(k, " ".join(rng.choice(["A b", "b c", "c a", "d"]) for _ in range(rng.randint(0, 60)))) for k in range(150)]
     rows += [(None, None), (7, ""), (8, "unseen words Here"), (8, "unseen words Here")]
-    got = suffix_tree.score(documents(spark, rows), share=0.01, shard=10).collect()
+    got = suffix_tree.score(documents(spark, rows), shard=10, windows=300).collect()
     split = [[*(t or "").encode().lower().split(), b"\n"] for _, t in rows]
     held = [zlib.crc32(b"" if d is None else str(d).encode()) % 5 == 1 for d, _ in rows]
     count = Counter(x for w, h in zip(split, held, strict=True) if not h for x in w)
@@ -169,7 +169,7 @@ def test_suffix_tree_base_and_normalisation(spark):
     probe = [(10_000 + 5 * k, f"c a b {w}") for k, w in enumerate(nexts)]
     held_ids = [k for k in range(10_000, 99_999) if zlib.crc32(str(k).encode()) % 5 == 1][: len(nexts) + 1]
     probe = [(i, f"c a b {w}".strip()) for i, w in zip(held_ids, nexts, strict=False)]
-    scores = {r["doc_id"]: r["score"] for r in suffix_tree.score(documents(spark, rows + probe), share=0.01).collect()}
+    scores = {r["doc_id"]: r["score"] for r in suffix_tree.score(documents(spark, rows + probe)).collect()}
     end = scores[held_ids[4]]
     assert all(scores[i] < 0 for i, _ in probe) and end < 0
     level = suffix_tree.Level(np.array([1], np.uint64), np.array([0], np.uint64), np.array([20.0]), np.array([3.0]), np.array([True]))
