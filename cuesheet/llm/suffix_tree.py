@@ -6,8 +6,8 @@ of its next token diverges from that of its longest kept suffix. A token is scor
 interpolated with all shorter kept ones down to the unigram base.
 
 The tree is cut by the last words of its contexts. All contexts that end in the same word lie in one shard, so a block
-of documents sends each of its distinct windows (context words, next token, training count, probability so far) to one
-shard, which counts, tests and scores the whole chain of suffixes, and gets the windows' probabilities back. A context
+of documents sends each of its windows (context words, next token, text, probability so far) to one shard, which counts,
+tests and scores the whole chain of suffixes and passes on what the windows add to the score of each text. A context
 that owns more windows than a shard may hold is hot: it is counted in shards of the next token instead, and the windows
 behind it are cut by one word more. At most HOT contexts of a length are hot, whatever the corpus; only they are collected.
 """
@@ -53,12 +53,11 @@ _PART = pa.schema([
     ("r", pa.int32()), ("block", pa.int64()), ("depth", pa.int32()), ("token", pa.binary()), ("context", pa.binary()), ("count", pa.binary()), ("n", pa.int64()), ("id", pa.binary()),
 ])
 PART = "r int, block long, depth int, token binary, context binary, count binary, n long, id binary"
-_ASK = pa.schema([("r", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("columns", pa.list_(pa.binary()))])
-ASK = "r int, block long, n long, columns array<binary>"
-_REPLY = pa.schema([("block", pa.int64()), ("depth", pa.int32()), ("r", pa.int32()), ("count", pa.binary()), ("n", pa.int64()), ("id", pa.binary())])
-REPLY = "block long, depth int, r int, count binary, n long, id binary"
-#: Depth that marks a shard's replies to windows.
-TREE = -1
+_ASK = pa.schema([("kind", pa.int32()), ("r", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("train", pa.int64()), ("columns", pa.list_(pa.binary()))])
+ASK = "kind int, r int, block long, n long, train long, columns array<binary>"
+REPLY = ["block", "depth", "r", "count", "n", "id"]
+#: What a row holds: a block's texts, its windows for a shard, or the shard's sums for its texts.
+TEXTS, WINDOW, SUMS = 0, 1, 2
 
 
 def _pack(a: np.ndarray, kind: str) -> bytes:
@@ -106,7 +105,7 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             vocab, local = np.unique(tokens, return_inverse=True)
             train = np.bincount(local[np.repeat(~held, sizes)], minlength=len(vocab))
             row = {"block": task << 24 | seq, "ids": mine, "sizes": sizes.tolist(), "held": held.tolist(), "vocab": _pack(vocab, "<u8"),
-                   "train": _pack(train, "<i4"), "tokens": _pack(local, "<i4"), "types": len(vocab)}
+                   "train": _pack(train, "<i4"), "tokens": _squeeze(local), "types": len(vocab)}
             seq += 1
             yield pa.RecordBatch.from_pylist([row], _BLOCK)
 
@@ -138,16 +137,16 @@ def _find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Windows:
-    """Per token: base probability, whether known, probability after the hot contexts, whether one was used. Per place
-    `at` its row. Per row, ascending by shard: the shard and the columns (context words' ids from the last on, token's
-    id, length of the first context that isn't hot, training count, probability so far)."""
+    """Per token: base probability, whether known, probability after the hot contexts, whether one was used. Texts of the
+    training come first by number; train of them. Per row, ascending by shard: the shard and the columns (context words' ids
+    from the last on, token's id, twice the length of the first context that isn't hot and whether one was used, text's number, how often, probability so far)."""
 
     base: np.ndarray
     known: np.ndarray
     p: np.ndarray
     used: np.ndarray
-    at: np.ndarray
-    row: np.ndarray
+    number: np.ndarray
+    train: int
     shard: np.ndarray
     columns: list[np.ndarray]
 
@@ -156,14 +155,14 @@ class Block:
     """A block's tokens with, for each depth, the pairs that it asks for."""
 
     def __init__(self, row: dict):
-        self.vocab, self.train = np.frombuffer(row["vocab"], "<u8"), np.frombuffer(row["train"], "<i4")
-        self.local, self.sizes = np.frombuffer(row["tokens"], "<i4"), np.array(row["sizes"], np.int64)
+        self.vocab, self.sizes = np.frombuffer(row["vocab"] or b"", "<u8"), np.array(row["sizes"], np.int64)
+        self.local = _wide(_loose(row["tokens"], int(self.sizes.sum())), int(self.sizes.sum()))
         self.held = np.array(row["held"], bool)
         base = np.cumsum(self.sizes) - self.sizes
         self.place = np.arange(len(self.local)) - np.repeat(base, self.sizes)
 
     def windows(self, got: dict[int, list[dict]], model: Model, least: int, depth: int, shards: int) -> Windows:
-        """What the block asks the tree: its distinct windows, shard by shard."""
+        """What the block tells the tree: the windows of its texts, shard by shard."""
         count = np.concatenate([_counts(r["count"], r["n"]) for r in got[0]])
         ids = np.concatenate([_wide(r["id"], r["n"]) for r in got[0]])
         p0 = model.unigram(count)[self.local]
@@ -182,7 +181,7 @@ class Block:
         rank = np.empty(len(ids), np.int64)
         rank[order] = np.arange(1, len(ids) + 1)
         word = np.where(count >= least, rank, 0)
-        here = np.concatenate(([word[np.searchsorted(self.vocab, END)]], word[self.local])) if len(ids) else np.zeros(1, np.int64)
+        here = np.concatenate((word[self.local[-1:]], word[self.local]))  # the last token ends a text
         back, open_ = [], np.ones(len(p0), bool)
         for d in range(1, depth + 1):
             before = np.zeros(len(p0), np.int64)
@@ -198,10 +197,12 @@ class Block:
         for d, b in enumerate(back, 1):
             h = np.where(d <= first, mix((h + by_rank[b].astype(np.uint64)) * _K), h)
         shard = (h % np.uint64(shards)).astype(np.int64)
-        width = len(ids) + 1
-        bits = width.bit_length()
+        number = np.empty(len(self.held), np.int64)
+        number[np.argsort(self.held, kind="stable")] = np.arange(len(self.held))
+        text = np.repeat(number, self.sizes)[at]
+        bits = max(len(ids) + 1, len(number)).bit_length()
         codes = [shard]
-        for k, x in enumerate([*back, token]):
+        for k, x in enumerate([*back, token, text]):
             if k % (62 // bits) == 0:
                 codes.append(np.zeros(len(at), np.int64))
             codes[-1] = codes[-1] << bits | x
@@ -209,12 +210,10 @@ class Block:
         new = np.ones(len(at), bool)
         if len(at):
             new[1:] = np.any([c[sort][1:] != c[sort][:-1] for c in codes], axis=0)
-        row = np.empty(len(at), np.int64)
-        row[sort] = np.cumsum(new) - 1
         one = sort[new]
-        train = np.bincount(row[np.repeat(~self.held, self.sizes)[at]], minlength=len(one))
-        columns = [*(by_rank[b[one]] for b in back), by_rank[token[one]], first[one], train, p[at][one]]
-        return Windows(p0, (count > 0)[self.local], p, used, at, row, shard[one], columns)
+        times = np.diff(np.flatnonzero(np.concatenate((new, [True]))))
+        columns = [*(by_rank[b[one]] for b in back), by_rank[token[one]], first[one] << 1 | used[at[one]], text[one], times, p[at[one]]]
+        return Windows(p0, (count > 0)[self.local], p, used, number, int((~self.held).sum()), shard[one], columns)
 
     def pairs(self, depth: int, level: Level) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(positions with a candidate context, their pair, then per pair: token, context, training count)."""
@@ -387,21 +386,34 @@ def _replies(table: pa.Table) -> dict[int, list[dict]]:
 
 
 def _windows(blocks: pa.Table, replies: pa.Table, model: Model, least: int, depth: int, shards: int) -> pa.Table:
-    """A block's windows, one row per shard that has any."""
+    """A block's windows, one row per shard that has any, and a row with what is known of its texts without the tree."""
     row = blocks.to_pylist()[0]
-    w = Block(row).windows(_replies(replies), model, least, depth, shards)
-    cut, out = [*np.flatnonzero(np.diff(w.shard, prepend=-1)), len(w.shard)], []
+    block = Block(row)
+    w = block.windows(_replies(replies), model, least, depth, shards)
+    base = np.cumsum(block.sizes) - block.sizes
+    known, b, p, used = (np.add.reduceat(x, base) for x in (w.known.astype(np.int64), np.log10(w.base), np.log10(w.p), w.used.astype(np.int64)))
+    ids = pa.array(row["ids"], pa.int64())
+    texts = [np.asarray(ids.fill_null(0)).astype("<i8").tobytes(), _narrow(np.asarray(ids.is_null())), *(_pack(x, k) for x, k in (
+        (w.number, "<i8"), (known, "<i8"), (used, "<i8"), (b, "<f8"), (p, "<f8")))]
+    out = [{"kind": TEXTS, "r": row["block"] % shards, "block": row["block"], "n": len(ids), "train": w.train, "columns": [*texts, _pack(block.sizes, "<i8")]}]
+    cut = [*np.flatnonzero(np.diff(w.shard, prepend=-1)), len(w.shard)]
     for i, j in pairwise(cut):
-        out.append({"r": int(w.shard[i]), "block": row["block"], "n": int(j - i), "columns": [_squeeze(c[i:j]) for c in w.columns]})
+        out.append({"kind": WINDOW, "r": int(w.shard[i]), "block": row["block"], "n": int(j - i), "train": w.train, "columns": [_squeeze(c[i:j]) for c in w.columns]})
     return pa.Table.from_pylist(out, _ASK)
 
 
 def _tree(table: pa.Table, least: int, depth: int, divergence: float) -> pa.Table:
-    """One shard: count its windows, test its contexts from short to long, answer each block with its windows' probabilities."""
-    rows = sorted(table.to_pylist(), key=lambda r: r["block"])
-    of = [np.concatenate([_wide(_loose(r["columns"][k], r["n"]), r["n"]) for r in rows]) for k in range(depth + 3)]
-    p = np.concatenate([np.frombuffer(_loose(r["columns"][depth + 3], r["n"]), "<f8") for r in rows])
-    *back, token, first, count = of
+    """One shard: count its windows, test its contexts from short to long, and sum what they add to the texts of each block."""
+    every = sorted(table.to_pylist(), key=lambda r: r["block"])
+    out, rows = [r for r in every if r["kind"] == TEXTS], [r for r in every if r["kind"] == WINDOW]
+    if not rows:
+        return pa.Table.from_pylist(out, _ASK)
+    of = [np.concatenate([_wide(_loose(r["columns"][k], r["n"]), r["n"]) for r in rows]) for k in range(depth + 4)]
+    p = np.concatenate([np.frombuffer(_loose(r["columns"][-1], r["n"]), "<f8") for r in rows])
+    before = p
+    *back, token, first, text, times = of
+    fresh, first = 1 - (first & 1), first >> 1
+    count = np.where(text < np.repeat([r["train"] for r in rows], [r["n"] for r in rows]), times, 0)
     _, token = np.unique(token, return_inverse=True)
     width = max(int(token.max()), *(int(b.max()) for b in back)) + 1
     group = np.zeros(len(token), np.int64)
@@ -424,11 +436,14 @@ def _tree(table: pa.Table, least: int, depth: int, divergence: float) -> pa.Tabl
             level.kept = (level.n >= least) & (diverges(level, bits, mass) >= divergence)
         use = level.kept[group] & (b > 0) & (d >= first)
         p, used = np.where(use, q[pair], p), used | use
-    answer, at, out = np.where(used, p, 0.0)[row], 0, []
+    more, hit, at = (np.log10(p[row]) - np.log10(before)) * times, used[row] * fresh * times, 0
     for r in rows:
-        out.append({"block": r["block"], "depth": TREE, "r": r["r"], "count": _squeeze(answer[at : at + r["n"]]), "n": r["n"]})
+        mine = slice(at, at + r["n"])
+        texts, place = np.unique(text[mine], return_inverse=True)
+        sums = [texts, np.bincount(place, hit[mine]).astype(np.int64), np.bincount(place, more[mine])]
+        out.append({"kind": SUMS, "r": r["r"], "block": r["block"], "n": len(texts), "columns": [_squeeze(x) for x in sums]})
         at += r["n"]
-    return pa.Table.from_pylist(out, _REPLY)
+    return pa.Table.from_pylist(out, _ASK)
 
 
 def diverges(level: Level, bits: np.ndarray, mass: np.ndarray) -> np.ndarray:
@@ -511,33 +526,34 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int =
     model = Model(*sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first())
     _hot(blocks, tables, model, max(model.tokens / HOT, windows, least), depth, divergence, shards)
     final = spark.sparkContext.broadcast(model)
-    columns = [f.name for f in _REPLY]
-    replies = tables[0].where("block >= 0").select(columns)
+    replies = tables[0].where("block >= 0").select(REPLY)
     for t in tables[1:]:
-        replies = replies.unionByName(t.where("block >= 0").select(columns))
-    asked = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
-        lambda a, b: _windows(a, b, final.value, least, depth, parts), ASK)
-    answers = save(asked.groupBy("r").applyInArrow(lambda t: _tree(t, least, depth, divergence), REPLY))
+        replies = replies.unionByName(t.where("block >= 0").select(REPLY))
+    # hashes of words are only needed to find hot contexts
+    coded = blocks.select("block", "ids", "sizes", "held", "tokens", *(["vocab"] if model.levels else [F.lit(None).cast("binary").alias("vocab")]))
+    told = coded.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda a, b: _windows(a, b, final.value, least, depth, parts), ASK)
+    sums = told.groupBy("r").applyInArrow(lambda t: _tree(t, least, depth, divergence), ASK)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_context long"
-    return blocks.groupBy("block").cogroup(replies.unionByName(answers).groupBy("block")).applyInArrow(
-        lambda a, b: _score(a, b, final.value, least, depth, parts), schema)
+    return sums.groupBy("block").applyInArrow(lambda t: _score(t, model.tokens), schema)
 
 
-def _score(blocks: pa.Table, replies: pa.Table, model: Model, least: int, depth: int, shards: int) -> pa.Table:
-    row = blocks.to_pylist()[0]
-    got, block = _replies(replies), Block(row)
-    w = block.windows(got, model, least, depth, shards)
-    p, used = w.p, w.used
-    if len(w.at):
-        answer = np.concatenate([np.frombuffer(_loose(r["count"], r["n"]), "<f8") for r in got[TREE]])[w.row]
-        p[w.at] = np.where(answer > 0, answer, p[w.at])
-        used[w.at] |= answer > 0
-    base = np.cumsum(block.sizes) - block.sizes
-    sums = [np.add.reduceat(x, base) for x in (w.known.astype(np.int64), np.log10(w.base), np.log10(p), used.astype(np.int64))]
-    n = len(base)
+def _score(table: pa.Table, train_tokens: int) -> pa.Table:
+    """A block's texts with the sums of all shards."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["r"])
+    own = next(r for r in rows if r["kind"] == TEXTS)
+    ids, null, *numbers, sizes = own["columns"]
+    number, known, used = (np.frombuffer(x, "<i8") for x in numbers[:3])
+    base, score = (np.frombuffer(x, "<f8") for x in numbers[3:])
+    used, more = used[np.argsort(number)], np.zeros(own["n"])
+    for r in rows:
+        if r["kind"] == SUMS:
+            texts, hit = (_wide(_loose(x, r["n"]), r["n"]) for x in r["columns"][:2])
+            used[texts] += hit
+            more[texts] += np.frombuffer(_loose(r["columns"][2], r["n"]), "<f8")
     return pa.table({
-        "doc_id": pa.array(row["ids"], pa.int64()), "held_out": pa.array(block.held), "n_tokens": pa.array(block.sizes), "n_known": pa.array(sums[0]),
-        "train_tokens": pa.array(np.full(n, model.tokens, np.int64)), "base_score": pa.array(sums[1]), "score": pa.array(sums[2]), "n_context": pa.array(sums[3]),
+        "doc_id": pa.array(np.frombuffer(ids, "<i8"), mask=np.frombuffer(null, "<u1") > 0), "held_out": pa.array(number >= own["train"]),
+        "n_tokens": pa.array(np.frombuffer(sizes, "<i8")), "n_known": pa.array(known), "train_tokens": pa.array(np.full(own["n"], train_tokens, np.int64)),
+        "base_score": pa.array(base), "score": pa.array(score + more[number]), "n_context": pa.array(used[number]),
     })
 
 
