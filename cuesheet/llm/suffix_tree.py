@@ -76,12 +76,15 @@ def _wide(blob: bytes, n: int) -> np.ndarray:
 
 def _squeeze(a: np.ndarray) -> bytes:
     """Numbers from 0 on or doubles, byte plane by byte plane, compressed."""
-    raw = np.frombuffer(_pack(a, "<f8") if a.dtype.kind == "f" else _narrow(a), np.uint8).reshape(len(a), -1)
-    return bytes([raw.shape[1]]) + zstandard.ZstdCompressor(1).compress(raw.T.tobytes())
+    real = a.dtype.kind == "f"
+    raw = np.frombuffer(_pack(a, "<f8") if real else _narrow(a), np.uint8).reshape(len(a), -1)
+    return bytes([raw.shape[1] if len(a) else 1, real]) + zstandard.ZstdCompressor(1).compress(raw.T.tobytes())
 
 
-def _loose(blob: bytes, n: int) -> bytes:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), np.uint8).reshape(blob[0], n).T.tobytes()
+def _loose(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[2:]), np.uint8)
+    raw = raw.reshape(blob[0], -1).T.tobytes()
+    return np.frombuffer(raw, "<f8") if blob[1] else np.frombuffer(raw, f"<u{blob[0]}").astype(np.int64)
 
 
 def _held(key) -> bool:
@@ -139,7 +142,8 @@ def _find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
 class Windows:
     """Per token: base probability, whether known, probability after the hot contexts, whether one was used. Texts of the
     training come first by number; train of them. Per row, ascending by shard: the shard and the columns (context words' ids
-    from the last on, token's id, twice the length of the first context that isn't hot and whether one was used, text's number, how often, probability so far)."""
+    from the last on, token's id, twice the length of the first context that isn't hot and whether one was used,
+    text's number, how often, probability so far). count: training count of every row's token."""
 
     base: np.ndarray
     known: np.ndarray
@@ -149,14 +153,32 @@ class Windows:
     train: int
     shard: np.ndarray
     columns: list[np.ndarray]
+    count: np.ndarray
+
+    def packed(self, i: int, j: int) -> list[bytes]:
+        """Rows i to j. The token and, if it isn't the base, the probability are places in tables of their own."""
+        *columns, p = (c[i:j] for c in self.columns)
+        token = len(columns) - 4
+        tokens, one, columns[token] = np.unique(columns[token], return_index=True, return_inverse=True)
+        prior, place = np.unique(np.where(columns[token + 1] < 4, 0.0, p), return_inverse=True)
+        return [_squeeze(x) for x in (*columns, place, tokens, self.count[i:j][one], prior)]
+
+
+def _unpacked(blobs: list[bytes], model: Model) -> list[np.ndarray]:
+    """The columns again, with the probability so far as the last one."""
+    *columns, place, tokens, count, prior = map(_loose, blobs)
+    token = len(columns) - 4
+    local, p = columns[token], prior[place]
+    columns[token] = tokens[local]
+    return [*columns, np.where(columns[token + 1] < 4, model.unigram(count.astype(np.float64))[local], p)]
 
 
 class Block:
     """A block's tokens with, for each depth, the pairs that it asks for."""
 
     def __init__(self, row: dict):
-        self.vocab, self.sizes = np.frombuffer(row["vocab"] or b"", "<u8"), np.array(row["sizes"], np.int64)
-        self.local = _wide(_loose(row["tokens"], int(self.sizes.sum())), int(self.sizes.sum()))
+        self.vocab, self.sizes = np.frombuffer(row["vocab"], "<u8"), np.array(row["sizes"], np.int64)
+        self.local = _loose(row["tokens"])
         self.held = np.array(row["held"], bool)
         base = np.cumsum(self.sizes) - self.sizes
         self.place = np.arange(len(self.local)) - np.repeat(base, self.sizes)
@@ -213,7 +235,8 @@ class Block:
         one = sort[new]
         times = np.diff(np.flatnonzero(np.concatenate((new, [True]))))
         columns = [*(by_rank[b[one]] for b in back), by_rank[token[one]], first[one] << 1 | used[at[one]], text[one], times, p[at[one]]]
-        return Windows(p0, (count > 0)[self.local], p, used, number, int((~self.held).sum()), shard[one], columns)
+        asked = count.astype(np.int64)[self.local[at[one]]]
+        return Windows(p0, (count > 0)[self.local], p, used, number, int((~self.held).sum()), shard[one], columns, asked)
 
     def pairs(self, depth: int, level: Level) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(positions with a candidate context, their pair, then per pair: token, context, training count)."""
@@ -362,6 +385,17 @@ def _asking(depth: int, level, shards: int):
     return run
 
 
+def _only(model):
+    """Hashes of words are only needed to find hot contexts, so those of other words become zero and compress."""
+    def run(batches):
+        for b in batches:
+            k, hot = b.schema.get_field_index("vocab"), model.value.levels[0].hash if model.value.levels else np.zeros(0, np.uint64)
+            vocab = (np.frombuffer(v, "<u8") for v in b.column(k).to_pylist())
+            yield b.set_column(k, "vocab", pa.array([_pack(np.where(_find(hot, v) >= 0, v, np.uint64(0)), "<u8") for v in vocab], pa.binary()))
+
+    return run
+
+
 def _merging(shards: int):
     return lambda table: _merge(table, shards)
 
@@ -398,20 +432,18 @@ def _windows(blocks: pa.Table, replies: pa.Table, model: Model, least: int, dept
     out = [{"kind": TEXTS, "r": row["block"] % shards, "block": row["block"], "n": len(ids), "train": w.train, "columns": [*texts, _pack(block.sizes, "<i8")]}]
     cut = [*np.flatnonzero(np.diff(w.shard, prepend=-1)), len(w.shard)]
     for i, j in pairwise(cut):
-        out.append({"kind": WINDOW, "r": int(w.shard[i]), "block": row["block"], "n": int(j - i), "train": w.train, "columns": [_squeeze(c[i:j]) for c in w.columns]})
+        out.append({"kind": WINDOW, "r": int(w.shard[i]), "block": row["block"], "n": int(j - i), "train": w.train, "columns": w.packed(i, j)})
     return pa.Table.from_pylist(out, _ASK)
 
 
-def _tree(table: pa.Table, least: int, depth: int, divergence: float) -> pa.Table:
+def _tree(table: pa.Table, model: Model, least: int, depth: int, divergence: float) -> pa.Table:
     """One shard: count its windows, test its contexts from short to long, and sum what they add to the texts of each block."""
     every = sorted(table.to_pylist(), key=lambda r: r["block"])
     out, rows = [r for r in every if r["kind"] == TEXTS], [r for r in every if r["kind"] == WINDOW]
     if not rows:
         return pa.Table.from_pylist(out, _ASK)
-    of = [np.concatenate([_wide(_loose(r["columns"][k], r["n"]), r["n"]) for r in rows]) for k in range(depth + 4)]
-    p = np.concatenate([np.frombuffer(_loose(r["columns"][-1], r["n"]), "<f8") for r in rows])
+    *back, token, first, text, times, p = map(np.concatenate, zip(*(_unpacked(r["columns"], model) for r in rows), strict=True))
     before = p
-    *back, token, first, text, times = of
     fresh, first = 1 - (first & 1), first >> 1
     count = np.where(text < np.repeat([r["train"] for r in rows], [r["n"] for r in rows]), times, 0)
     _, token = np.unique(token, return_inverse=True)
@@ -529,10 +561,10 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int =
     replies = tables[0].where("block >= 0").select(REPLY)
     for t in tables[1:]:
         replies = replies.unionByName(t.where("block >= 0").select(REPLY))
-    # hashes of words are only needed to find hot contexts
-    coded = blocks.select("block", "ids", "sizes", "held", "tokens", *(["vocab"] if model.levels else [F.lit(None).cast("binary").alias("vocab")]))
+    coded = blocks.select("block", "ids", "sizes", "held", "tokens", "vocab").mapInArrow(
+        _only(final), "block long, ids array<long>, sizes array<int>, held array<boolean>, tokens binary, vocab binary")
     told = coded.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda a, b: _windows(a, b, final.value, least, depth, parts), ASK)
-    sums = told.groupBy("r").applyInArrow(lambda t: _tree(t, least, depth, divergence), ASK)
+    sums = told.groupBy("r").applyInArrow(lambda t: _tree(t, final.value, least, depth, divergence), ASK)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_context long"
     return sums.groupBy("block").applyInArrow(lambda t: _score(t, model.tokens), schema)
 
@@ -547,9 +579,9 @@ def _score(table: pa.Table, train_tokens: int) -> pa.Table:
     used, more = used[np.argsort(number)], np.zeros(own["n"])
     for r in rows:
         if r["kind"] == SUMS:
-            texts, hit = (_wide(_loose(x, r["n"]), r["n"]) for x in r["columns"][:2])
+            texts, hit, add = map(_loose, r["columns"])
             used[texts] += hit
-            more[texts] += np.frombuffer(_loose(r["columns"][2], r["n"]), "<f8")
+            more[texts] += add
     return pa.table({
         "doc_id": pa.array(np.frombuffer(ids, "<i8"), mask=np.frombuffer(null, "<u1") > 0), "held_out": pa.array(number >= own["train"]),
         "n_tokens": pa.array(np.frombuffer(sizes, "<i8")), "n_known": pa.array(known), "train_tokens": pa.array(np.full(own["n"], train_tokens, np.int64)),
