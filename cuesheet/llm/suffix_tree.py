@@ -32,8 +32,8 @@ from cuesheet.llm.words import mix, words
 LEAST = 2
 #: Longest context, in tokens.
 DEPTH = 3
-#: Tokens of documents for one shard of the tree, and at most so many hot contexts of a length.
-WINDOWS = 2_000_000
+#: Tokens of documents for one shard of the tree; a context with more than twice as many is hot. At most so many are, of a length.
+WINDOWS = 1_000_000
 HOT = 100_000
 #: Bits by which a kept context's next token must differ from its suffix's.
 DIVERGENCE = 0.02
@@ -84,7 +84,7 @@ def _squeeze(a: np.ndarray) -> bytes:
 def _loose(blob: bytes) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[2:]), np.uint8)
     raw = raw.reshape(blob[0], -1).T.tobytes()
-    return np.frombuffer(raw, "<f8") if blob[1] else np.frombuffer(raw, f"<u{blob[0]}").astype(np.int64)
+    return np.frombuffer(raw, "<f8") if blob[1] else np.frombuffer(raw, f"<u{blob[0]}" if blob[0] < 8 else "<i8")
 
 
 def _held(key) -> bool:
@@ -556,7 +556,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int =
 
     sums = tables[0].where("block = -1").mapInArrow(totals, "tokens long, types long")
     model = Model(*sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first())
-    _hot(blocks, tables, model, max(model.tokens / HOT, windows, least), depth, divergence, shards)
+    _hot(blocks, tables, model, max(model.tokens / HOT, 2 * windows, least), depth, divergence, shards)
     final = spark.sparkContext.broadcast(model)
     replies = tables[0].where("block >= 0").select(REPLY)
     for t in tables[1:]:

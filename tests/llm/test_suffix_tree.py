@@ -71,9 +71,9 @@ def rows():
 
 @pytest.mark.parametrize("least,depth,divergence,shard,windows", [
     (4, 3, 0.02, 10**6, 10**6),
-    (4, 3, 0.02, 40, 150),  # hot contexts of all lengths, many shards
-    (1, 3, 0.0, 40, 400),
-    (6, 5, 0.4, 40, 300),  # the test drops contexts, also below longer kept ones
+    (4, 3, 0.02, 40, 75),  # hot contexts of all lengths, many shards
+    (1, 3, 0.0, 40, 200),
+    (6, 5, 0.4, 40, 150),  # the test drops contexts, also below longer kept ones
 ])
 def test_against_plain_tree(spark, least, depth, divergence, shard, windows):
     table = rows()
