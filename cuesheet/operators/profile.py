@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cuesheet.operators.ordered import attach_by_value, quantiles, rank_table
 from cuesheet.operators.ranks import melt
+from cuesheet.session import materialise
 
 # Limits of the numeric and categorical verdicts.
 HIGH_PCT, LOW_PCT, SPREAD_TOL = 70, 30, 0.35
@@ -54,7 +55,8 @@ def profile_numeric(corpus: DataFrame, favourites: DataFrame, features: Sequence
         "feature", "value", "n", "n_total",
         F.floor(100.0 * (F.col("n_below") + 0.5 * F.col("n")) / F.col("n_total") * 10.0 + 0.5).alias("pct"),
     )
-    fav = attach_by_value(melt(favourites, [item], features), pct, ["feature", "value"], "n")
+    # read for the limits and by two quantiles
+    fav = materialise(attach_by_value(melt(favourites, [item], features), pct, ["feature", "value"], "n"))
     s = fav.groupBy("feature").agg(
         F.count("*").alias("n"), F.min("value").alias("_min"), F.max("value").alias("_max"),
         F.min("pct").alias("_lo"), F.max("pct").alias("_hi"),
