@@ -254,7 +254,8 @@ def evidence(
     ``targets`` is a subset of the corpus of any size; statistics are one row per feature.
     """
     long = melt(df, [item], features)
-    table = rank_table(long, ["feature"], "value")
+    # read for the percentiles and again for the medians
+    table = materialise(rank_table(long, ["feature"], "value"))
     pct = table.select(
         "feature", "value", "n", "n_total",
         rnd(100.0 * (F.col("n_below") + 0.5 * F.col("n")) / F.col("n_total"), 1).alias("percentile"),

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cuesheet.operators import profile
+from cuesheet.operators import profile, similarity
 from cuesheet.operators.ordered import attach_by_value, rank_table, scan
 from cuesheet.session import materialise
 
@@ -43,3 +43,10 @@ def test_profile_sends_no_value_table_to_the_driver(spark):
 def test_scan_with_many_keys_broadcasts_none_of_them(spark):
     df = materialise(spark.range(20_000).select((F.col("id") / 2).cast("long").alias("k"), F.col("id").alias("t")))
     assert max(broadcasts(scan(df, ["k"], ["t"], running={"n": F.lit(1)})), default=0) < 100
+
+
+def test_evidence_sends_no_value_table_to_the_driver(spark):
+    df = materialise(spark.range(20_000).select(F.col("id").alias("item"), F.col("id").cast("double").alias("x")))
+    out = similarity.evidence(df, df.where("item % 97 = 11"), ["x"])
+    assert out.count() == 207
+    assert max(broadcasts(out), default=0) < 100
