@@ -14,13 +14,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuesheet.session import materialise
 
 WIDTH, FAN, LEAF = 1024, 256, 4096
+#: Rows of a range from which on it isn't made by one task.
+TASK = 16 * LEAF
 #: Digits that a crowded range is cut by, at most: 16 ** 10 leaves.
 DIGITS = 10
 
@@ -59,17 +61,44 @@ def _joined(df: DataFrame, keys: Sequence[str], order: str, what: Column) -> Dat
     return df.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(listed, lambda x: x["_w"]), "\n"), 256).alias("digest"), F.sum("n").alias("n"))
 
 
-def ranges(df: DataFrame, id_: str, exclude: Sequence[str] = (), width: int = WIDTH, leaf: int = LEAF) -> DataFrame:
-    """Columns cell, digest, n: one row per range of `width` ids; rows without an id are the range of null."""
-    rows = df.select(F.floor(F.col(id_).cast("long") / F.lit(width)).alias("cell"), row_digest(df, exclude).alias("d"))
+def _digits(k: Column, leaf: int) -> Column:
+    return F.least(F.lit(DIGITS), F.greatest(F.lit(0), F.ceil(F.log(k / leaf) / F.log(F.lit(16.0))))).cast("int")
+
+
+def _nodes(counted: DataFrame) -> DataFrame:
+    """Leaves (cell, _digits, prefix, digest, n) of counted rows (cell, d, n, _digits); d is binary."""
+    leaves = counted.withColumn("d", F.lower(F.hex("d"))).withColumn("prefix", F.expr("substring(d, 1, _digits)"))
+    return _joined(leaves, ["cell", "_digits", "prefix"], "d", F.concat_ws(":", "d", F.col("n").cast("string")))
+
+
+def _crowded(rows: DataFrame, leaf: int) -> DataFrame:
+    """Leaves of ranges too large for a task: no step holds a whole range."""
     rows = materialise(rows.groupBy("cell", "d").agg(F.count("*").alias("n")))
-    sizes = rows.groupBy("cell").agg(F.count("*").alias("_k"))
-    digits = F.least(F.lit(DIGITS), F.greatest(F.lit(0), F.ceil(F.log(F.col("_k") / leaf) / F.log(F.lit(16.0))))).cast("int")
-    crowded = sizes.where(F.col("_k") > leaf).select(F.col("cell").alias("_cell"), digits.alias("_digits"))
-    # fewer than one range in `leaf` rows is crowded; the others are joined with nothing
-    marked = rows.join(crowded, F.col("cell").eqNullSafe(F.col("_cell")), "left").withColumn("_digits", F.coalesce("_digits", F.lit(0)))
-    leaves = marked.withColumn("prefix", F.expr("substring(d, 1, _digits)"))
-    nodes = _joined(leaves, ["cell", "_digits", "prefix"], "d", F.concat_ws(":", "d", F.col("n").cast("string")))
+    sizes = rows.groupBy("cell").agg(F.count("*").alias("_k")).select(F.col("cell").alias("_cell"), _digits(F.col("_k"), leaf).alias("_digits"))
+    # a row per range of more than TASK rows
+    return _nodes(rows.join(F.broadcast(sizes), F.col("cell").eqNullSafe(F.col("_cell"))))
+
+
+def ranges(df: DataFrame, id_: str, exclude: Sequence[str] = (), width: int = WIDTH, leaf: int = LEAF, task: int = TASK) -> DataFrame:
+    """Columns cell, digest, n: one row per range of `width` ids; rows without an id are the range of null.
+
+    The digest of a row is shuffled once, to the task that makes its range, and nothing of its size is written. Ranges of
+    more than `task` rows are found by their ids beforehand and made in pieces, with the same digest.
+    """
+    cell = F.floor(F.col(id_).cast("long") / F.lit(width))
+    large = df.groupBy(cell.alias("_large")).agg(F.count("*").alias("_n")).where(F.col("_n") > task).select("_large")
+    large = materialise(large)
+    digests = lambda part: part.select(cell.alias("cell"), F.unhex(row_digest(df, exclude)).alias("d"))
+    some = not large.isEmpty()
+    here = cell.eqNullSafe(F.col("_large"))
+    rows = digests(df.join(F.broadcast(large), here, "left_anti") if some else df)
+    counted = rows.repartition("cell").groupBy("cell", "d").agg(F.count("*").alias("n"))
+    counted = counted.withColumn("_digits", _digits(F.count("*").over(Window.partitionBy("cell")), leaf))
+    nodes = _nodes(counted)
+    if some:
+        nodes = nodes.unionByName(_crowded(digests(df.join(F.broadcast(large), here, "left_semi")), leaf))
+    # a row per leaf, read for the deep ones and the others
+    nodes = materialise(nodes)
     deepest = nodes.where("_digits > 0")
     if deepest.isEmpty():
         return nodes.select("cell", "digest", "n")
