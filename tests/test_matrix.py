@@ -59,3 +59,36 @@ def test_ranks_move_once_per_missing_pattern(spark):
 def test_attach_few(spark, most):
     df, few = spark.range(20).selectExpr("id", "id % 4 as k"), spark.createDataFrame([(1, "a"), (2, "b"), (9, "c")], "k long, v string")
     assert sorted(map(tuple, tables.attach_few(df, few, ["k"], most).collect())) == sorted((k, i, "ab"[k - 1]) for i in range(20) if (k := i % 4) in (1, 2))
+
+
+def melted(monkeypatch):
+    """Rows that are ranked, call by call."""
+    seen, plain = [], ranks.rank_table
+
+    def counted(df, *a, **k):
+        seen.append(df.count())
+        return plain(df, *a, **k)
+
+    monkeypatch.setattr(ranks, "rank_table", counted)
+    return seen
+
+
+def test_matrix_melts_a_column_once_for_all_its_row_sets(spark, monkeypatch):
+    df = spark.range(400).selectExpr("id * 7 % 31 as a", "id * 5 % 37 as b", "if(id % 4 = 0, null, id % 11) as c", "if(id % 5 = 0, null, id % 13) as d")
+    seen = melted(monkeypatch)
+    got = {(r["feature_a"], r["feature_b"]): r["n"] for r in ranks.spearman_matrix(df, [*"abcd"]).collect()}
+    assert got == {("a", "b"): 400, ("a", "c"): 300, ("a", "d"): 320, ("b", "c"): 300, ("b", "d"): 320, ("c", "d"): 240}
+    assert seen == [400 + 400 + 300 + 320]
+
+
+def test_more_row_sets_than_fit_into_a_row(spark):
+    n = ranks.SETS + 3
+    rng = np.random.default_rng(5)
+    df = pd.DataFrame({f"c{k}": rng.integers(0, 9, 200).astype(float) for k in range(n + 1)})
+    for k in range(1, n + 1):
+        df.loc[rng.random(200) < 0.2, f"c{k}"] = np.nan
+    got = {(r["feature_a"], r["feature_b"]): (r["n"], r["rho"]) for r in ranks.spearman_matrix(spark.createDataFrame(df), list(df.columns)).collect()}
+    assert len(got) == n * (n + 1) // 2
+    for (a, b), (m, rho) in got.items():
+        both = df[[a, b]].dropna()
+        assert m == len(both) and rho == pytest.approx(np.corrcoef(both[a].rank(), both[b].rank())[0, 1], abs=1e-12)
