@@ -92,3 +92,10 @@ def test_more_row_sets_than_fit_into_a_row(spark):
     for (a, b), (m, rho) in got.items():
         both = df[[a, b]].dropna()
         assert m == len(both) and rho == pytest.approx(np.corrcoef(both[a].rank(), both[b].rank())[0, 1], abs=1e-12)
+
+
+def test_named_pairs_rank_a_column_once(spark, monkeypatch):
+    df = spark.range(400).selectExpr("id * 7 % 31 as a", "id * 5 % 37 as b", "if(id % 4 = 0, null, id % 11) as c")
+    seen = melted(monkeypatch)
+    got = {(r["feature_a"], r["feature_b"]): r["n"] for r in ranks.spearman(df, [("a", "b"), ("c", "a"), ("b", "c")]).collect()}
+    assert got == {("a", "b"): 400, ("c", "a"): 300, ("b", "c"): 300} and seen == [400 + 400 + 300]
