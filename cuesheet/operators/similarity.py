@@ -97,27 +97,53 @@ def neighbours(
 ) -> DataFrame:
     """k nearest corpus items per target, ties by id.
 
-    One scan of the corpus per BATCH targets; every row meets a batch as literals, and ``row_number``
-    within k is cut to k rows per target and task before anything is shuffled.
+    One scan of the corpus per BATCH targets: tasks measure whole Arrow batches and pass on the rows that are no farther
+    than the k-th nearest they have seen; NaN and infinities are missing.
     """
     if len(targets) > BATCH:
         how = {"item": item, "required": required, "digits": digits}
         parts = [neighbours(corpus, targets[i : i + BATCH], features, scales, k, **how) for i in range(0, len(targets), BATCH)]
         return reduce(DataFrame.unionByName, parts)
-    options = F.array(
-        *[
-            F.struct(F.lit(t[item]).alias("target"), rnd(distance_to(t, features, scales, required), digits).alias("distance"))
-            for t in targets
-        ]
+    used = [f for f in features if f in scales]
+    names = [t[item] for t in targets]
+    points = np.array([[np.nan if t[f] is None or not math.isfinite(t[f]) else float(t[f]) for f in used] for t in targets], float).reshape(len(names), len(used))
+    kind = corpus.schema[item].dataType.simpleString()
+    rows = corpus.select(item, *[finite(f).alias(f"_v{i}") for i, f in enumerate(used)]).mapInArrow(
+        _within(names, points, [float(scales[f]) for f in used], k, max(required, 1), 10.0**digits), f"item {kind}, target {kind}, distance double"
     )
-    rows = corpus.select(item, F.explode(options).alias("d")).select(item, "d.*")
-    rows = rows.where(F.col("distance").isNotNull() & (F.col(item) != F.col("target")))
+    rows = rows.where(F.col("item") != F.col("target")).select(F.col("item").alias(item), "target", "distance")
     w = Window.partitionBy("target").orderBy("distance", item)
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn(
         "rank", F.col("rank").cast("bigint")
     )
 
 
+def _within(names: list, points: np.ndarray, scales: list[float], k: int, required: int, step: float):
+    """Per task: rows and targets whose rounded distance is not above the k-th smallest so far, the target's own row apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full((len(names), k + 1), np.inf)  # one more, as a target may meet itself
+        for b in batches:
+            values = [c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns[1:]]
+            own = pa.array(names, b.column(0).type)
+            for lo in range(0, len(names), 64):
+                asked = points[lo : lo + 64]
+                total, n = np.zeros((len(asked), len(b))), np.zeros((len(asked), len(b)))
+                for i, x in enumerate(values):
+                    d = (x[None, :] - asked[:, i, None]) / scales[i]
+                    there = ~np.isnan(d)
+                    total += np.where(there, d * d, 0.0)
+                    n += there
+                far = np.floor(np.sqrt(total / np.maximum(n, 1)) * step + 0.5) / step
+                far[n < required] = np.nan
+                seen = np.hstack([best[lo : lo + 64], np.where(np.isnan(far), np.inf, far)])
+                best[lo : lo + 64] = np.partition(seen, k, axis=1)[:, : k + 1]
+                t, r = np.nonzero(far <= best[lo : lo + 64].max(1)[:, None])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r)), own.take(pa.array(t + lo)), pa.array(far[t, r])], ["item", "target", "distance"])
+
+    return run
+
+
 #: Bytes of target vectors that are sent to the tasks at once; more targets are served in further passes.
 BLOCK_BYTES = 32 << 20
 _PACKED = "item long, width int, v binary"

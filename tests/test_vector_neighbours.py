@@ -57,3 +57,29 @@ def test_no_vectors(spark):
     df = spark.createDataFrame(rows(20), KIND)
     assert found(similarity.array_neighbours(df.limit(0), df, "e", 2)) == []
     assert found(similarity.array_neighbours(df, df.limit(0), "e", 2)) == []
+
+
+def test_named_targets_leave_the_plan_alone(spark):
+    """Two or 300 named targets have the same plan, ties go by id, and a missing or infinite value counts nothing."""
+    df = spark.range(3000).selectExpr(
+        "id as item", "cast(id * id % 1009 as double) as x",
+        "case when id % 5 = 0 then null when id % 1013 = 3 then double('inf') else cast(id % 700 as double) end as y",
+    )
+    rows, sizes = df.collect(), []
+    for n in (2, 300):
+        targets = similarity.target_rows(df, range(7, 7 + n), "item", ["x", "y"])
+        out = similarity.neighbours(df, targets, ["x", "y"], {"x": 2.0, "y": 3.0}, 4)
+        sizes.append(len(out._jdf.queryExecution().optimizedPlan().toString()) // 100)
+        got = sorted((r["target"], r["rank"], r["item"], r["distance"]) for r in out.collect())
+        want = []
+        for t in targets:
+            near = []
+            for r in rows:
+                d = [((r[c] - t[c]) / s) ** 2 for c, s in (("x", 2.0), ("y", 3.0)) if r[c] not in (None, math.inf) and t[c] not in (None, math.inf)]
+                if d and r["item"] != t["item"]:
+                    near.append((math.floor(math.sqrt(sum(d) / len(d)) * 1e4 + 0.5) / 1e4, r["item"]))
+            want += [(t["item"], i + 1, item, d) for i, (d, item) in enumerate(sorted(near)[:4])]
+        assert got == sorted(want)
+    assert sizes[0] == sizes[1]
+    few = similarity.neighbours(df.limit(3), targets[:1], ["x"], {"x": 1.0}, 10)
+    assert few.count() == 3
