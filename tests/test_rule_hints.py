@@ -30,3 +30,10 @@ def test_texts_without_a_rules_words_are_not_searched(spark):
 def test_other_rules_are_tried_on_every_clause(spark):
     df = spark.createDataFrame([("one red fish, two blue fish here",)], "text string")
     assert [r["rule"] for r in scrub.scrub(df, "text", (("red", r"\bred\b"),)).first()["removed"]] == ["red"]
+
+
+def test_audit_judges_a_text_once(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string").repartition(2)
+    rows = scrub.audit_rows(scrub.scrub(df, "text"), ["doc_id"])
+    assert rows.count() > 0
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
