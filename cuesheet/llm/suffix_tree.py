@@ -10,6 +10,9 @@ of documents sends each of its windows (context words, next token, text, probabi
 tests and scores the whole chain of suffixes and passes on what the windows add to the score of each text. A context
 that owns more windows than a shard may hold is hot: it is counted in shards of the next token instead, and the windows
 behind it are cut by one word more. At most HOT contexts of a length are hot, whatever the corpus; only they are collected.
+
+The shards take turns: a pass sends the windows of one shard in PASSES, adds up their sums by text and frees its shuffles
+before the next pass starts, so the windows of the whole corpus never lie on disk at once.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import pairwise
 
 import numpy as np
@@ -25,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm.common import read, save
+from cuesheet.llm.common import drop, read, save
 from cuesheet.llm.words import mix, words
 
 #: Training occurrences that a context needs.
@@ -35,6 +39,8 @@ DEPTH = 3
 #: Tokens of documents for one shard of the tree; a context with more than twice as many is hot. At most so many are, of a length.
 WINDOWS = 1_000_000
 HOT = 100_000
+#: Turns in which the shards are worked off.
+PASSES = 4
 #: Bits by which a kept context's next token must differ from its suffix's.
 DIVERGENCE = 0.02
 DISCOUNT = 0.75
@@ -53,11 +59,14 @@ _PART = pa.schema([
     ("r", pa.int32()), ("block", pa.int64()), ("depth", pa.int32()), ("token", pa.binary()), ("context", pa.binary()), ("count", pa.binary()), ("n", pa.int64()), ("id", pa.binary()),
 ])
 PART = "r int, block long, depth int, token binary, context binary, count binary, n long, id binary"
-_ASK = pa.schema([("kind", pa.int32()), ("r", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("train", pa.int64()), ("columns", pa.list_(pa.binary()))])
-ASK = "kind int, r int, block long, n long, train long, columns array<binary>"
+_READY = pa.schema([
+    ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("held", pa.list_(pa.bool_())), ("sums", pa.list_(pa.binary())),
+    ("tokens", pa.binary()), ("words", pa.list_(pa.binary())), ("hot", pa.list_(pa.binary())),
+])
+READY = "block long, ids array<long>, sizes array<int>, held array<boolean>, sums array<binary>, tokens binary, words array<binary>, hot array<binary>"
+_ASK = pa.schema([("r", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("train", pa.int64()), ("columns", pa.list_(pa.binary()))])
+ASK = "r int, block long, n long, train long, columns array<binary>"
 REPLY = ["block", "depth", "r", "count", "n", "id"]
-#: What a row holds: a block's texts, its windows for a shard, or the shard's sums for its texts.
-TEXTS, WINDOW, SUMS = 0, 1, 2
 
 
 def _pack(a: np.ndarray, kind: str) -> bytes:
@@ -77,8 +86,8 @@ def _wide(blob: bytes, n: int) -> np.ndarray:
 def _squeeze(a: np.ndarray) -> bytes:
     """Numbers from 0 on or doubles, byte plane by byte plane, compressed."""
     real = a.dtype.kind == "f"
-    raw = np.frombuffer(_pack(a, "<f8") if real else _narrow(a), np.uint8).reshape(len(a), -1)
-    return bytes([raw.shape[1] if len(a) else 1, real]) + zstandard.ZstdCompressor(1).compress(raw.T.tobytes())
+    raw = np.frombuffer(_pack(a, "<f8") if real else _narrow(a), np.uint8).reshape(len(a), -1 if len(a) else 1)
+    return bytes([raw.shape[1], real]) + zstandard.ZstdCompressor(1).compress(raw.T.tobytes())
 
 
 def _loose(blob: bytes) -> np.ndarray:
@@ -140,17 +149,10 @@ def _find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Windows:
-    """Per token: base probability, whether known, probability after the hot contexts, whether one was used. Texts of the
-    training come first by number; train of them. Per row, ascending by shard: the shard and the columns (context words' ids
-    from the last on, token's id, twice the length of the first context that isn't hot and whether one was used,
-    text's number, how often, probability so far). count: training count of every row's token."""
-
-    base: np.ndarray
-    known: np.ndarray
-    p: np.ndarray
-    used: np.ndarray
-    number: np.ndarray
-    train: int
+    """Rows, ascending by shard: the shard and the columns (context words' ids from the last on, token's id, twice the length
+    of the first context that isn't hot and whether one was used, text's number, how often, probability so far). Texts of
+    the training come first by number. count: training count of every row's token."""
+
     shard: np.ndarray
     columns: list[np.ndarray]
     count: np.ndarray
@@ -183,45 +185,62 @@ class Block:
         base = np.cumsum(self.sizes) - self.sizes
         self.place = np.arange(len(self.local)) - np.repeat(base, self.sizes)
 
-    def windows(self, got: dict[int, list[dict]], model: Model, least: int, depth: int, shards: int) -> Windows:
-        """What the block tells the tree: the windows of its texts, shard by shard."""
+    def ready(self, got: dict[int, list[dict]], model: Model) -> dict[str, list[bytes]]:
+        """What is known without the tree. sums: known tokens, tokens scored by a hot context, base and score of each text;
+        words: ids and counts of the vocabulary; hot: per token the length of the first context that isn't hot and whether
+        one was used, and the probabilities of the tokens behind hot contexts as places in a table."""
         count = np.concatenate([_counts(r["count"], r["n"]) for r in got[0]])
         ids = np.concatenate([_wide(r["id"], r["n"]) for r in got[0]])
-        p0 = model.unigram(count)[self.local]
-        p, used, first = p0.copy(), np.zeros(len(p0), bool), np.ones(len(p0), np.int64)
+        p = model.unigram(count)[self.local]
+        base = np.cumsum(self.sizes) - self.sizes
+        known, plain = np.add.reduceat((count > 0)[self.local], base, dtype=np.int64), np.add.reduceat(np.log10(p), base)
+        first = np.full(len(p), 2, np.uint8)
         for d, level in enumerate(model.levels, 1):
             at, pair, _, context, _ = self.pairs(d, level)
             if not len(at):
                 continue
-            first[at] = d + 1
+            first[at] = 2 * (d + 1) + (first[at] & 1)
             here = level.kept[context[pair]]
             at, pair = at[here], pair[here]
             p[at] = interpolate(p[at], level, context[pair], np.concatenate([_counts(r["count"], r["n"]) for r in got[d]])[pair])
-            used[at] = True
+            first[at] |= 1
+        used, score = np.add.reduceat(first & 1, base, dtype=np.int64), np.add.reduceat(np.log10(p), base)
+        prior, place = np.unique(p[first >= 4], return_inverse=True)
+        return {"sums": [_pack(known, "<i8"), _pack(used, "<i8"), _pack(plain, "<f8"), _pack(score, "<f8")],
+                "words": [_squeeze(ids), _squeeze(count.astype(np.int64))], "hot": [_squeeze(first), _squeeze(prior), _squeeze(place)]}
+
+    def windows(self, words: list[bytes], hot: list[bytes], model: Model, least: int, depth: int, shards: int, passes: int = 1, turn: int = 0) -> Windows:
+        """What the block tells the tree: the windows of its texts for the shards whose turn it is, shard by shard."""
+        ids, count = (_loose(x).astype(np.int64) for x in words)
+        first, prior, place = map(_loose, hot)
         # places of the vocabulary by id, from 1 on; 0 ends a context: before the text, or a word too rare for any
         order = np.argsort(ids)
-        rank = np.empty(len(ids), np.int64)
+        rank = np.empty(len(ids), np.int32)
         rank[order] = np.arange(1, len(ids) + 1)
-        word = np.where(count >= least, rank, 0)
+        by_rank = np.concatenate(([0], ids[order]))
+        word = np.where(count >= least, rank, 0).astype(np.int32)
         here = np.concatenate((word[self.local[-1:]], word[self.local]))  # the last token ends a text
-        back, open_ = [], np.ones(len(p0), bool)
+        # the shard follows from the shortest context that isn't hot; a window that doesn't reach it has none
+        back, h, reach = [], np.zeros(len(self.local), np.uint64), np.zeros(len(self.local), np.uint8)
+        hashed = by_rank.astype(np.uint64)
         for d in range(1, depth + 1):
-            before = np.zeros(len(p0), np.int64)
+            before = np.zeros(len(self.local), np.int32)
             before[d - 1 :] = here[: len(here) - d]
-            open_ = open_ & (self.place + 1 >= d) & (before > 0)
-            back.append(np.where(open_, before, 0))
-        reach = np.sum([b > 0 for b in back], axis=0)
-        at = np.flatnonzero(reach >= first)
-        back, token, first = [b[at] for b in back], rank[self.local[at]], first[at]
-        by_rank = np.concatenate(([0], ids[order]))
-        # the shard follows from the shortest context that isn't hot
-        h = np.zeros(len(at), np.uint64)
-        for d, b in enumerate(back, 1):
-            h = np.where(d <= first, mix((h + by_rank[b].astype(np.uint64)) * _K), h)
+            before[(self.place + 1 < d) | (reach < d - 1)] = 0
+            reach += before > 0
+            back.append(before)
+            more = np.flatnonzero((first >> 1) >= d)
+            h[more] = mix((h[more] + hashed[before[more]]) * _K)
         shard = (h % np.uint64(shards)).astype(np.int64)
+        at = np.flatnonzero((reach >= first >> 1) & (shard % passes == turn))
+        p = np.zeros(len(self.local))
+        p[first >= 4] = prior[place]
+        first, p, local, shard = first[at].astype(np.int64), p[at], self.local[at], shard[at]
+        p = np.where(first < 4, model.unigram(count.astype(np.float64))[local], p)
+        back, token = [b[at].astype(np.int64) for b in back], rank[local].astype(np.int64)
         number = np.empty(len(self.held), np.int64)
         number[np.argsort(self.held, kind="stable")] = np.arange(len(self.held))
-        text = np.repeat(number, self.sizes)[at]
+        text = np.repeat(number.astype(np.int32), self.sizes)[at].astype(np.int64)
         bits = max(len(ids) + 1, len(number)).bit_length()
         codes = [shard]
         for k, x in enumerate([*back, token, text]):
@@ -234,9 +253,8 @@ class Block:
             new[1:] = np.any([c[sort][1:] != c[sort][:-1] for c in codes], axis=0)
         one = sort[new]
         times = np.diff(np.flatnonzero(np.concatenate((new, [True]))))
-        columns = [*(by_rank[b[one]] for b in back), by_rank[token[one]], first[one] << 1 | used[at[one]], text[one], times, p[at[one]]]
-        asked = count.astype(np.int64)[self.local[at[one]]]
-        return Windows(p0, (count > 0)[self.local], p, used, number, int((~self.held).sum()), shard[one], columns, asked)
+        columns = [*(by_rank[b[one]] for b in back), by_rank[token[one]], first[one], text[one], times, p[one]]
+        return Windows(shard[one], columns, count[local[one]])
 
     def pairs(self, depth: int, level: Level) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(positions with a candidate context, their pair, then per pair: token, context, training count)."""
@@ -419,30 +437,34 @@ def _replies(table: pa.Table) -> dict[int, list[dict]]:
     return got
 
 
-def _windows(blocks: pa.Table, replies: pa.Table, model: Model, least: int, depth: int, shards: int) -> pa.Table:
-    """A block's windows, one row per shard that has any, and a row with what is known of its texts without the tree."""
+def _prepare(blocks: pa.Table, replies: pa.Table, model: Model) -> pa.Table:
+    """A block with the answers to what it asked; no later step needs its words' hashes."""
     row = blocks.to_pylist()[0]
-    block = Block(row)
-    w = block.windows(_replies(replies), model, least, depth, shards)
-    base = np.cumsum(block.sizes) - block.sizes
-    known, b, p, used = (np.add.reduceat(x, base) for x in (w.known.astype(np.int64), np.log10(w.base), np.log10(w.p), w.used.astype(np.int64)))
-    ids = pa.array(row["ids"], pa.int64())
-    texts = [np.asarray(ids.fill_null(0)).astype("<i8").tobytes(), _narrow(np.asarray(ids.is_null())), *(_pack(x, k) for x, k in (
-        (w.number, "<i8"), (known, "<i8"), (used, "<i8"), (b, "<f8"), (p, "<f8")))]
-    out = [{"kind": TEXTS, "r": row["block"] % shards, "block": row["block"], "n": len(ids), "train": w.train, "columns": [*texts, _pack(block.sizes, "<i8")]}]
-    cut = [*np.flatnonzero(np.diff(w.shard, prepend=-1)), len(w.shard)]
-    for i, j in pairwise(cut):
-        out.append({"kind": WINDOW, "r": int(w.shard[i]), "block": row["block"], "n": int(j - i), "train": w.train, "columns": w.packed(i, j)})
-    return pa.Table.from_pylist(out, _ASK)
+    ready = Block(row).ready(_replies(replies), model)
+    return pa.Table.from_pylist([{k: row[k] for k in ("block", "ids", "sizes", "held", "tokens")} | ready], _READY)
+
+
+def _telling(model, least: int, depth: int, shards: int, passes: int, turn: int):
+    """A block's windows, one row per shard of this turn that has any."""
+    def run(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                block = Block(row | {"vocab": b""})
+                w = block.windows(row["words"], row["hot"], model.value, least, depth, shards, passes, turn)
+                train = int((~block.held).sum())
+                cut = [*np.flatnonzero(np.diff(w.shard, prepend=-1)), len(w.shard)]
+                for at in range(0, len(cut) - 1, 64):
+                    yield pa.RecordBatch.from_pylist([
+                        {"r": int(w.shard[i]), "block": row["block"], "n": int(j - i), "train": train, "columns": w.packed(i, j)}
+                        for i, j in pairwise(cut[at : at + 65])], _ASK)
+
+    return run
 
 
 def _tree(table: pa.Table, model: Model, least: int, depth: int, divergence: float) -> pa.Table:
     """One shard: count its windows, test its contexts from short to long, and sum what they add to the texts of each block."""
-    every = sorted(table.to_pylist(), key=lambda r: r["block"])
-    out, rows = [r for r in every if r["kind"] == TEXTS], [r for r in every if r["kind"] == WINDOW]
-    if not rows:
-        return pa.Table.from_pylist(out, _ASK)
-    *back, token, first, text, times, p = map(np.concatenate, zip(*(_unpacked(r["columns"], model) for r in rows), strict=True))
+    rows = sorted(table.to_pylist(), key=lambda r: r["block"])
+    *back, token, first, text, times, p = map(np.concatenate, zip(*(_unpacked(r.pop("columns"), model) for r in rows), strict=True))
     before = p
     fresh, first = 1 - (first & 1), first >> 1
     count = np.where(text < np.repeat([r["train"] for r in rows], [r["n"] for r in rows]), times, 0)
@@ -469,15 +491,26 @@ def _tree(table: pa.Table, model: Model, least: int, depth: int, divergence: flo
         use = level.kept[group] & (b > 0) & (d >= first)
         p, used = np.where(use, q[pair], p), used | use
     more, hit, at = (np.log10(p[row]) - np.log10(before)) * times, used[row] * fresh * times, 0
+    out = []
     for r in rows:
         mine = slice(at, at + r["n"])
         texts, place = np.unique(text[mine], return_inverse=True)
         sums = [texts, np.bincount(place, hit[mine]).astype(np.int64), np.bincount(place, more[mine])]
-        out.append({"kind": SUMS, "r": r["r"], "block": r["block"], "n": len(texts), "columns": [_squeeze(x) for x in sums]})
+        out.append({"r": r["r"], "block": r["block"], "n": len(texts), "columns": [_squeeze(x) for x in sums]})
         at += r["n"]
     return pa.Table.from_pylist(out, _ASK)
 
 
+def _add(table: pa.Table) -> pa.Table:
+    """The sums of all shards of a turn for a block's texts."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["r"])
+    parts = [[_loose(x) for x in r["columns"]] for r in rows]
+    place, hit, add = map(np.concatenate, zip(*parts, strict=True))
+    texts, place = np.unique(place, return_inverse=True)
+    sums = [texts, np.bincount(place, hit).astype(np.int64), np.bincount(place, add)]
+    return pa.Table.from_pylist([{"r": rows[0]["r"], "block": rows[0]["block"], "n": len(texts), "columns": [_squeeze(x) for x in sums]}], _ASK)
+
+
 def diverges(level: Level, bits: np.ndarray, mass: np.ndarray) -> np.ndarray:
     """Divergence in bits: seen tokens' part, and that of the unseen, which all keep the same share of the suffix's probability."""
     rest = DISCOUNT * level.types / level.n
@@ -525,12 +558,12 @@ def _hot(blocks: DataFrame, tables: list[DataFrame], model: Model, enough: float
 
 
 def score(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int = LEAST, depth: int = DEPTH,
-          divergence: float = DIVERGENCE, shard: int = SHARD, windows: int = WINDOWS) -> DataFrame:
+          divergence: float = DIVERGENCE, shard: int = SHARD, windows: int = WINDOWS, passes: int = PASSES) -> DataFrame:
     """Columns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_context; one row per row.
 
     Null texts are empty and have the end token alone; a null id counts as an empty text for the fold. n_context is
     the number of tokens scored with a kept context. A context needs `least` training occurrences. Without any training
-    token every count is zero. `shard` and `windows` say how the work is cut and don't change the model.
+    token every count is zero. `shard`, `windows` and `passes` say how the work is cut and don't change the model.
     """
     spark = docs.sparkSession
     one = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -563,29 +596,36 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int =
         replies = replies.unionByName(t.where("block >= 0").select(REPLY))
     coded = blocks.select("block", "ids", "sizes", "held", "tokens", "vocab").mapInArrow(
         _only(final), "block long, ids array<long>, sizes array<int>, held array<boolean>, tokens binary, vocab binary")
-    told = coded.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda a, b: _windows(a, b, final.value, least, depth, parts), ASK)
-    sums = told.groupBy("r").applyInArrow(lambda t: _tree(t, final.value, least, depth, divergence), ASK)
+    ready = save(coded.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda a, b: _prepare(a, b, final.value), READY))
+    drop(blocks, *tables)
+    passes, sums = max(1, min(passes, parts)), []
+    for turn in range(passes):
+        told = ready.select("block", "sizes", "held", "tokens", "words", "hot").mapInArrow(_telling(final, least, depth, parts, passes, turn), ASK)
+        found = told.groupBy("r").applyInArrow(lambda t: _tree(t, final.value, least, depth, divergence), ASK)
+        sums.append(save(found.groupBy("block").applyInArrow(_add, ASK)))
+    added = reduce(DataFrame.unionByName, sums)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_context long"
-    return sums.groupBy("block").applyInArrow(lambda t: _score(t, model.tokens), schema)
-
-
-def _score(table: pa.Table, train_tokens: int) -> pa.Table:
-    """A block's texts with the sums of all shards."""
-    rows = sorted(table.to_pylist(), key=lambda r: r["r"])
-    own = next(r for r in rows if r["kind"] == TEXTS)
-    ids, null, *numbers, sizes = own["columns"]
-    number, known, used = (np.frombuffer(x, "<i8") for x in numbers[:3])
-    base, score = (np.frombuffer(x, "<f8") for x in numbers[3:])
-    used, more = used[np.argsort(number)], np.zeros(own["n"])
-    for r in rows:
-        if r["kind"] == SUMS:
-            texts, hit, add = map(_loose, r["columns"])
-            used[texts] += hit
-            more[texts] += add
+    texts = ready.select("block", "ids", "sizes", "held", "sums")
+    return texts.groupBy("block").cogroup(added.groupBy("block")).applyInArrow(lambda a, b: _score(a, b, model.tokens), schema)
+
+
+def _score(texts: pa.Table, sums: pa.Table, train_tokens: int) -> pa.Table:
+    """A block's texts with the sums of all turns."""
+    own = texts.to_pylist()[0]
+    held = np.array(own["held"], bool)
+    number = np.empty(len(held), np.int64)
+    number[np.argsort(held, kind="stable")] = np.arange(len(held))
+    hits, more = np.zeros(len(held), np.int64), np.zeros(len(held))
+    for r in sorted(sums.to_pylist(), key=lambda r: r["r"]):
+        at, hit, add = map(_loose, r["columns"])
+        hits[at] += hit
+        more[at] += add
+    known, used = (np.frombuffer(x, "<i8") for x in own["sums"][:2])
+    base, score = (np.frombuffer(x, "<f8") for x in own["sums"][2:])
     return pa.table({
-        "doc_id": pa.array(np.frombuffer(ids, "<i8"), mask=np.frombuffer(null, "<u1") > 0), "held_out": pa.array(number >= own["train"]),
-        "n_tokens": pa.array(np.frombuffer(sizes, "<i8")), "n_known": pa.array(known), "train_tokens": pa.array(np.full(own["n"], train_tokens, np.int64)),
-        "base_score": pa.array(base), "score": pa.array(score + more[number]), "n_context": pa.array(used[number]),
+        "doc_id": pa.array(own["ids"], pa.int64()), "held_out": pa.array(held), "n_tokens": pa.array(np.array(own["sizes"], np.int64)),
+        "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(held), train_tokens, np.int64)),
+        "base_score": pa.array(base), "score": pa.array(score + more[number]), "n_context": pa.array(used + hits[number]),
     })
 
 

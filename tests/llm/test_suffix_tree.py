@@ -96,3 +96,26 @@ def test_clashing_columns_and_empty_tables(spark):
     got = suffix_tree.score(docs).first()
     assert (got["n_tokens"], got["n_context"]) == (3, 0) and got["score"] == got["base_score"]
     assert suffix_tree.score(docs.limit(0)).count() == 0
+
+
+def shuffled(spark):
+    """Bytes of the shuffle files that lie on disk."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(k).length() for k in range(files.size()))
+
+
+def test_windows_dont_stay_on_disk(spark):
+    rng = random.Random(5)
+    table = [(k, " ".join(f"w{int(rng.paretovariate(0.6)) % 5000}" for _ in range(300))) for k in range(300)]
+    docs, tokens = documents(spark, table), 301 * len(table)
+    before = shuffled(spark)
+    scored = suffix_tree.score(docs, windows=5000)
+    assert len(scored.collect()) == len(table)
+    assert shuffled(spark) - before < tokens
+
+
+def test_turns_of_the_shards_give_the_same_scores(spark):
+    table = rows()
+    scored = [suffix_tree.score(documents(spark, table), shard=40, windows=100, passes=n).collect() for n in (1, 3, 50)]
+    got = [sorted((str(r["doc_id"]), r["n_tokens"], r["n_context"], round(r["score"], 9)) for r in x) for x in scored]
+    assert got[0] == got[1] == got[2]
