@@ -109,14 +109,17 @@ class Ring:
         return [1 << k for k in range(64) if rest >> k & 1]
 
 
-def links(prints: DataFrame, ring: Ring, crowd: int = CROWD) -> DataFrame:
+def _keyed(prints: DataFrame, ring: Ring) -> DataFrame:
+    return prints.select("fp", F.explode(ring.keys(F.col("fp"))).alias("k")).select("fp", "k.s", "k.key")
+
+
+def links(keyed: DataFrame, ring: Ring, crowd: int = CROWD) -> DataFrame:
     """Edges (a, b) that connect exactly the fingerprints that are connected by differences within the distance.
 
-    prints: distinct fp. Buckets of up to crowd fingerprints are joined with themselves. In a larger one every
+    keyed: distinct fp with their keys. Buckets of up to crowd fingerprints are joined with themselves. In a larger one every
     fingerprint names itself and its one-bit neighbours outside the key; those that name the same word differ in
     at most two bits and are tied to the smallest of them, so a bucket of n needs some 40 n rows, not n * n.
     """
-    keyed = save(prints.select("fp", F.explode(ring.keys(F.col("fp"))).alias("k")).select("fp", "k.s", "k.key"))
     sizes = keyed.groupBy("s", "key").count().where("count > 1")
     few, many = sizes.where(F.col("count") <= crowd), sizes.where(F.col("count") > crowd)
     small = keyed.join(few.select("s", "key"), ["s", "key"])
@@ -142,7 +145,9 @@ def links(prints: DataFrame, ring: Ring, crowd: int = CROWD) -> DataFrame:
 def _grouped(prints: DataFrame, distance: int, segments: int, crowd: int) -> DataFrame:
     """Columns fp, n_same, component_id, one row per fingerprint."""
     distinct = save(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_same")))
-    found = components(links(distinct.select("fp"), Ring(distance, segments), crowd))
+    keyed = save(_keyed(distinct.select("fp"), Ring(distance, segments)))
+    found = components(links(keyed, Ring(distance, segments), crowd))
+    drop(keyed)
     found = found.unionByName(found.select(F.col("component").alias("node"), "component")).distinct()
     members = distinct.join(found, distinct["fp"] == found["node"])
     least = members.groupBy("component").agg(F.min("least").alias("smallest"))
@@ -210,11 +215,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, jaccard: float) ->
             yield b.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
     pairs = save(pairs.distinct())
-    named = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    held = save(texts.join(named, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
-    both = attach(pairs, "a", held.select(F.col("id").alias("a"), F.col("text").alias("x")), "inner")
-    both = attach(save(both), "b", held.select(F.col("id").alias("b"), F.col("text").alias("y")), "inner")
-    return save(both.mapInArrow(run, "a long, b long"))
+    named = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    held = save(by_id(texts, "id", named, "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+    one = save(attach(pairs, "a", held.select(F.col("id").alias("a"), F.col("text").alias("x")), "inner"))
+    both = attach(one, "b", held.select(F.col("id").alias("b"), F.col("text").alias("y")), "inner")
+    good = save(both.mapInArrow(run, "a long, b long"))
+    drop(pairs, held, one)
+    return good
 
 
 def _joined(table: DataFrame, edges: DataFrame) -> DataFrame:
@@ -222,7 +229,9 @@ def _joined(table: DataFrame, edges: DataFrame) -> DataFrame:
     of = lambda c: table.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
     ends = edges.join(of("a"), "a").join(of("b"), "b").where("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
     found = components(ends)
-    return save(attach(table, "root", found.select(F.col("node").alias("root"), "component")).select("id", F.coalesce("component", "root").alias("root")))
+    out = save(attach(table, "root", found.select(F.col("node").alias("root"), "component")).select("id", F.coalesce("component", "root").alias("root")))
+    drop(table)
+    return out
 
 
 def _near(nodes: DataFrame, texts: DataFrame, size: int, jaccard: float, crowd: int = 8, rounds: int = 6) -> DataFrame:
@@ -242,32 +251,35 @@ def _near(nodes: DataFrame, texts: DataFrame, size: int, jaccard: float, crowd:
     many = save(attach(keyed, "key", sizes.where(F.col("count") > crowd).select("key", "count", "hub"), "inner"))
     hubs = many.select(F.col("hub.id").alias("a"), "n", F.col("id").alias("b"), F.col("hub.n").alias("m")).where("a != b")
     edges = _verified(pairs.where(alike).select("a", "b").unionByName(hubs.where(alike).select("a", "b")), texts, size, jaccard)
-    drop(keyed)
+    drop(keyed, sizes)
     total = many.count()
     if not total:
+        drop(many)
         return edges
     found = components(edges).withColumnRenamed("component", "root")
     table = save(nodes.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root")))
-    hub = many.select("key", F.col("hub.id").alias("first"), F.col("hub.id").alias("last")).distinct()
+    hub = save(many.select("key", F.col("hub.id").alias("first"), F.col("hub.id").alias("last")).distinct())
     for turn in range(rounds + 1):
-        hub = save(attach(hub, "first", table.select(F.col("id").alias("first"), F.col("root").alias("top"))))
-        placed = save(attach(attach(many.select("key", "id", "n", "count"), "id", table), "key", hub.select("key", "last", "top")))
+        tops = save(attach(hub, "first", table.select(F.col("id").alias("first"), F.col("root").alias("top"))))
+        placed = save(attach(attach(many.select("key", "id", "n", "count"), "id", table), "key", tops.select("key", "last", "top")))
         apart = placed.where("root != top and id > last")
         left = apart.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-        if not left:
-            return edges
-        if left <= 4 * total or turn == rounds:
+        if not left or left <= 4 * total or turn == rounds:
             break
-        new = apart.groupBy("key").agg(F.min(F.struct("id", "n", "root")).alias("h"))
+        new = save(apart.groupBy("key").agg(F.min(F.struct("id", "n", "root")).alias("h")))
         met = attach(placed.select("key", "id", "n", "root"), "key", new, "inner").where("root != h.root")
         met = met.select(F.col("h.id").alias("a"), "n", F.col("id").alias("b"), F.col("h.n").alias("m")).where(alike)
         more = _verified(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts, size, jaccard)
         edges = edges.unionByName(more)
-        table = _joined(table, more)
-        hub = hub.select("key", "first", "last").join(new.select("key", "h.id"), "key", "left").select("key", "first", F.coalesce("id", "last").alias("last"))
-    rest = apart.select("key", F.col("id").alias("a"), "n", F.col("root").alias("r")).join(placed.select("key", F.col("id").alias("b"), F.col("n").alias("m"), "root"), "key")
-    rest = rest.where("r != root").where(alike)
-    return edges.unionByName(_verified(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts, size, jaccard))
+        later = save(hub.join(new.select("key", "h.id"), "key", "left").select("key", "first", F.coalesce("id", "last").alias("last")))
+        drop(tops, placed, new, hub)
+        hub, table = later, _joined(table, more)
+    if left:
+        rest = apart.select("key", F.col("id").alias("a"), "n", F.col("root").alias("r")).join(placed.select("key", F.col("id").alias("b"), F.col("n").alias("m"), "root"), "key")
+        rest = rest.where("r != root").where(alike)
+        edges = edges.unionByName(_verified(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts, size, jaccard))
+    drop(many, hub, tops, placed, table)
+    return edges
 
 
 def near_representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, jaccard: float = JACCARD,
@@ -278,17 +290,19 @@ def near_representatives(docs: DataFrame, text: str = "text", key: str = "doc_id
     is left to join by. So the pairs beyond `distance` come from bands of min-hashes, and each is checked on its texts.
     """
     prints = save(_sketches(docs, text, key, size))
-    table = _grouped(prints.select("doc_id", "fp"), distance, segments, crowd)
+    table = save(_grouped(prints.select("doc_id", "fp"), distance, segments, crowd))
     distinct = prints.where("doc_id is not null").groupBy("fp", "same").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     distinct = save(distinct)
+    drop(prints)
     sets = save(distinct.groupBy("same").agg(F.min(F.struct("id", "n", "bands")).alias("x")).select("same", "x.*"))
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     near = _near(sets.select("id", "n", "bands"), texts, size, jaccard, bucket)
     edges = distinct.join(table, "fp").select(F.col("id").alias("a"), F.col("component_id").alias("b"))
     edges = edges.unionByName(distinct.select("same", F.col("id").alias("a")).join(sets.select("same", F.col("id").alias("b")), "same").select("a", "b"))
     found = components(edges.unionByName(near))
-    kept = distinct.select("id").distinct().join(found, F.col("id") == F.col("node"), "left_anti")
-    return _first(docs, text, key, kept.select("id"))
+    kept = save(distinct.select("id").distinct().join(found, F.col("id") == F.col("node"), "left_anti").select("id"))
+    drop(table, distinct, sets, found)
+    return _first(docs, text, key, kept)
 
 
 def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:

@@ -204,22 +204,32 @@ class Repeats:
                  shard: int = SHARD, crowd: int = CROWD):
         self.window = window
         one = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-        self.profile = save(one.mapInArrow(lambda it: _profile(it, window, gram), "doc_id long, n_words long, sha string, anchors array<long>"))
-        named = self.profile.where("doc_id is not null")
+        profile = save(one.mapInArrow(lambda it: _profile(it, window, gram), "doc_id long, n_words long, sha string, anchors array<long>")
+                       .withColumn("row", F.monotonically_increasing_id()))
+        named = profile.where("doc_id is not null")
         # of equal texts all but the one with the smallest id repeat it from end to end
-        self.first = save(named.groupBy("sha").agg(F.min("doc_id").alias("doc_id")))
-        mine = named.join(self.first, ["doc_id", "sha"], "left_semi").select("doc_id", "sha", F.explode("anchors").alias("anchor"))
-        mine = save(mine.distinct())
-        shared = mine.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
-        lists = attach(mine, "anchor", shared, "inner").groupBy("doc_id", "sha").agg(F.collect_list("anchor").alias("anchors"))
+        self.first = save(named.groupBy("sha").agg(F.min(F.struct("doc_id", "row")).alias("x")).select("sha", "x.*"))
+        self.profile = save(profile.select("doc_id", "n_words", "sha"))
+        # a text goes by the number of its row, 8 bytes for each of its anchors
+        texts = save(profile.select("row", F.array_distinct("anchors").alias("anchors")).join(self.first.select("row", "doc_id"), "row"))
+        drop(profile)
+        mine = texts.select("row", "doc_id", F.explode("anchors").alias("anchor"))
+        shared = save(mine.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("count"))
+                      .where("a < b").select("anchor", "count"))
+        lists = attach(mine.select("row", "anchor"), "anchor", shared.select("anchor"), "inner", shared)
+        lists = lists.groupBy("row").agg(F.collect_list("anchor").alias("anchors")).join(self.first, "row")
         lists = lists.groupBy("doc_id").agg(F.collect_list(F.struct("sha", "anchors")).alias("shared"))
         lists = save(lists)
+        drop(texts, shared)
         self.texts = save(by_id(one, "doc_id", lists.select("doc_id"), "left_semi").join(lists, "doc_id"))
-        drop(mine, lists)
+        drop(lists)
         found = save(self.texts.mapInArrow(lambda it: _segments(it, window, gram), "anchor long, segment binary, doc_id long, sha string, start long, n long, content binary"))
         distinct = found.groupBy("segment").agg(F.min("anchor").alias("anchor"), F.min("doc_id").alias("least"), F.first("content").alias("content"))
         distinct = save(distinct)
+        occurs = save(attach(found.select("segment", "doc_id", "sha", "start", "n"), "segment", distinct.select("segment", "least"), "inner"))
+        drop(found)
         parts = save(_crowded(distinct, window, crowd))
+        drop(distinct)
         unique = parts.groupBy("part").agg(F.min("anchor").alias("anchor"), F.min("least").alias("least"), F.first("content").alias("content"))
         size = parts.agg(F.count("*")).first()[0] * (2 * window - gram)
         unique = unique.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(max(1, size // shard)))).withColumnRenamed("part", "segment")
@@ -230,7 +240,6 @@ class Repeats:
         # an occurrence in a later document than the segment's first repeats all of it; the first one repeats what the
         # search found in older segments, and all of a part that an older segment holds too
         placed = attach(parts.select("part", "segment", "shift"), "part", searched, "inner")
-        occurs = save(attach(found.select("segment", "doc_id", "sha", "start", "n"), "segment", distinct.select("segment", "least"), "inner"))
         span = "array<struct<begin:bigint,end:bigint>>"
         later = occurs.where("doc_id > least").select("doc_id", "sha", F.col("start").alias("at"), F.expr(f"cast(array(struct(0L, n)) as {span})").alias("spans"))
         first = occurs.where("doc_id = least").join(placed, "segment").select(
@@ -240,7 +249,7 @@ class Repeats:
         spans = later.unionByName(first).select("doc_id", "sha", "at", F.explode("spans").alias("s"))
         spans = spans.select("doc_id", "sha", F.struct((F.col("at") + F.col("s.begin")).alias("begin"), (F.col("at") + F.col("s.end")).alias("end")).alias("span"))
         self.spans = save(spans.groupBy("doc_id", "sha").agg(F.sort_array(F.collect_set("span")).alias("spans")))
-        drop(distinct, parts, answers, occurs)
+        drop(parts, answers, occurs)
 
     def copies(self) -> DataFrame:
         """doc_id, sha of texts that repeat an older equal text and have a window at all."""
