@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm.common import attach, by_id, drop, read, save, unused
+from cuesheet.llm.common import attach, by_id, drop, hot_keys, read, save, unused
 from cuesheet.llm.fmindex import FMIndex
 from cuesheet.llm.words import mix, words
 
@@ -94,19 +94,37 @@ def _profile(batches: Iterable[pa.RecordBatch], window: int, gram: int) -> Itera
             )
 
 
+def _nested(rows: list[list[tuple]], kinds: dict[str, pa.DataType]) -> pa.ListArray:
+    flat = [x for r in rows for x in r]
+    columns = zip(*flat, strict=True) if flat else [[] for _ in kinds]
+    items = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)), items)
+
+
 def _segments(batches: Iterable[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Runs of windows with one shared anchor: the words they cover, at most 2 * window - gram of them."""
-    names = ["anchor", "segment", "doc_id", "sha", "start", "n", "content"]
+    """Per text with shared anchors: where its runs of windows with one shared anchor stand (occurs), and the words they cover.
+
+    A run covers at most 2 * window - gram words. Its words are among the pieces of the first text of a batch that
+    holds it and of texts with smaller ids than those before, so that a common passage is not written once per text.
+    """
+    run = {"segment": pa.binary(), "start": pa.int64(), "n": pa.int64()}
+    piece = {"anchor": pa.int64(), "segment": pa.binary(), "content": pa.binary()}
     for b in batches:
-        shared = [{r["sha"]: np.sort(np.array(r["anchors"], np.int64)) for r in x} for x in b.column("shared").to_pylist()]
+        shared = []
+        for x in b.column("shared").to_pylist():
+            lists: dict[str, list[int]] = {}
+            for r in x:
+                lists.setdefault(r["sha"], []).extend(r["anchors"])
+            shared.append({sha: np.sort(np.array(v, np.int64)) for sha, v in lists.items()})
         ids = b.column("doc_id").to_pylist()
+        least: dict[bytes, int] = {}
         for w in words(b.column("text")):
             h, base, raw = w.hashes(lower=False), w.base(), w.data.tobytes()
             start, place, anchor = anchors(h, w.doc, window, gram)
             cuts = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)))) if len(start) else np.zeros(0, np.int64)
             ends = np.append(cuts[1:], len(start)) - 1
             doc = w.doc[start[cuts]] if len(cuts) else cuts
-            rows: list[list] = [[] for _ in names]
+            texts, occurs, pieces = [], [], []
             for d in range(w.texts):
                 i, j = base[d], base[d + 1]
                 if i == j or len(shared[w.first + d]) == 0:
@@ -115,6 +133,7 @@ def _segments(batches: Iterable[pa.RecordBatch], window: int, gram: int) -> Iter
                 mine = shared[w.first + d].get(sha)
                 if mine is None:
                     continue
+                own, fresh, doc_id = [], [], ids[w.first + d]
                 for k in range(*np.searchsorted(doc, [d, d + 1])):
                     a = int(anchor[cuts[k]].view(np.int64))
                     at = np.searchsorted(mine, a)
@@ -122,10 +141,40 @@ def _segments(batches: Iterable[pa.RecordBatch], window: int, gram: int) -> Iter
                         continue
                     first, last = int(start[cuts[k]]), int(start[ends[k]]) + window
                     content = b" ".join(raw[w.start[first] : w.end[last - 1]].split())
-                    for c, v in zip(rows, (a, _id(content), ids[w.first + d], sha, first - int(i), last - first, content), strict=True):
-                        c.append(v)
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names)
+                    segment = _id(content)
+                    own.append((segment, first - int(i), last - first))
+                    if doc_id < least.get(segment, doc_id + 1):
+                        least[segment] = doc_id
+                        fresh.append((a, segment, content))
+                if own:
+                    texts.append((doc_id, sha))
+                    occurs.append(own)
+                    pieces.append(fresh)
+            if texts:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[0] for x in texts], pa.int64()), pa.array([x[1] for x in texts]), _nested(occurs, run), _nested(pieces, piece)],
+                    ["doc_id", "sha", "occurs", "pieces"],
+                )
+
+
+def _parted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per text: the spans of words that repeat an older text's segments, and the segments that stand in none older (own)."""
+    for b in batches:
+        spans, firsts = [], []
+        for occurs, own in zip(b.column("occurs").to_pylist(), b.column("own").to_pylist(), strict=True):
+            mine, later = set(own or ()), []
+            firsts.append([(x["segment"], x["start"]) for x in occurs if x["segment"] in mine])
+            for begin, end in sorted((x["start"], x["start"] + x["n"]) for x in occurs if x["segment"] not in mine):
+                if later and begin <= later[-1][1]:
+                    later[-1] = (later[-1][0], max(end, later[-1][1]))
+                else:
+                    later.append((begin, end))
+            spans.append(later)
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), b.column("sha"), _nested(spans, {"begin": pa.int64(), "end": pa.int64()}),
+             _nested(firsts, {"segment": pa.binary(), "at": pa.int64()})],
+            ["doc_id", "sha", "spans", "firsts"],
+        )
 
 
 def _windows(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -216,17 +265,29 @@ class Repeats:
         mine = texts.select("row", "doc_id", F.explode("anchors").alias("anchor"))
         shared = save(mine.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("count"))
                       .where("a < b").select("anchor", "count"))
-        lists = attach(mine.select("row", "anchor"), "anchor", shared.select("anchor"), "inner", shared)
-        lists = lists.groupBy("row").agg(F.collect_list("anchor").alias("anchors")).join(self.first, "row")
+        # anchors of common passages, fewer than HOT_SHARE, are picked where the texts stand; the others meet by shuffle
+        hot = hot_keys(shared, "anchor")
+        cold = texts.select("row", F.explode(F.filter("anchors", lambda x: ~x.isin(hot)) if hot else "anchors").alias("anchor"))
+        lists = cold.join(shared.select("anchor"), "anchor").groupBy("row").agg(F.collect_list("anchor").alias("anchors"))
+        if hot:
+            lists = lists.unionByName(texts.select("row", F.filter("anchors", lambda x: x.isin(hot)).alias("anchors")).where(F.size("anchors") > 0))
+        lists = lists.join(self.first, "row")
         lists = lists.groupBy("doc_id").agg(F.collect_list(F.struct("sha", "anchors")).alias("shared"))
         lists = save(lists)
         drop(texts, shared)
         self.texts = save(by_id(one, "doc_id", lists.select("doc_id"), "left_semi").join(lists, "doc_id"))
         drop(lists)
-        found = save(self.texts.mapInArrow(lambda it: _segments(it, window, gram), "anchor long, segment binary, doc_id long, sha string, start long, n long, content binary"))
-        distinct = found.groupBy("segment").agg(F.min("anchor").alias("anchor"), F.min("doc_id").alias("least"), F.first("content").alias("content"))
-        distinct = save(distinct)
-        occurs = save(attach(found.select("segment", "doc_id", "sha", "start", "n"), "segment", distinct.select("segment", "least"), "inner"))
+        span = "array<struct<begin:bigint,end:bigint>>"
+        found = save(self.texts.mapInArrow(
+            lambda it: _segments(it, window, gram),
+            "doc_id long, sha string, occurs array<struct<segment:binary,start:bigint,n:bigint>>, pieces array<struct<anchor:bigint,segment:binary,content:binary>>",
+        ))
+        pieces = found.select("doc_id", F.explode("pieces").alias("p")).select("doc_id", "p.*")
+        distinct = save(pieces.groupBy("segment").agg(F.min("anchor").alias("anchor"), F.min("doc_id").alias("least"), F.first("content").alias("content")))
+        # what a text holds first goes to the text, so that no occurrence of a common passage is joined
+        own = distinct.groupBy(F.col("least").alias("doc_id")).agg(F.collect_list("segment").alias("own"))
+        occurs = save(found.select("doc_id", "sha", "occurs").join(own, "doc_id", "left").mapInArrow(
+            _parted, f"doc_id long, sha string, spans {span}, firsts array<struct<segment:binary,at:bigint>>"))
         drop(found)
         parts = save(_crowded(distinct, window, crowd))
         drop(distinct)
@@ -240,15 +301,14 @@ class Repeats:
         # an occurrence in a later document than the segment's first repeats all of it; the first one repeats what the
         # search found in older segments, and all of a part that an older segment holds too
         placed = attach(parts.select("part", "segment", "shift"), "part", searched, "inner")
-        span = "array<struct<begin:bigint,end:bigint>>"
-        later = occurs.where("doc_id > least").select("doc_id", "sha", F.col("start").alias("at"), F.expr(f"cast(array(struct(0L, n)) as {span})").alias("spans"))
-        first = occurs.where("doc_id = least").join(placed, "segment").select(
-            "doc_id", "sha", (F.col("start") + F.col("shift")).alias("at"),
-            F.expr(f"cast(if(least > oldest, array(named_struct('begin', 0L, 'end', length)), arrays_zip(begin, end)) as {span})").alias("spans"),
+        later = occurs.select("doc_id", "sha", "spans")
+        first = occurs.select("doc_id", "sha", F.explode("firsts").alias("f")).select("doc_id", "sha", "f.*").join(placed, "segment").select(
+            "doc_id", "sha", (F.col("at") + F.col("shift")).alias("at"),
+            F.expr(f"cast(if(doc_id > oldest, array(named_struct('begin', 0L, 'end', length)), arrays_zip(begin, end)) as {span})").alias("spans"),
         )
-        spans = later.unionByName(first).select("doc_id", "sha", "at", F.explode("spans").alias("s"))
-        spans = spans.select("doc_id", "sha", F.struct((F.col("at") + F.col("s.begin")).alias("begin"), (F.col("at") + F.col("s.end")).alias("end")).alias("span"))
-        self.spans = save(spans.groupBy("doc_id", "sha").agg(F.sort_array(F.collect_set("span")).alias("spans")))
+        first = first.select("doc_id", "sha", F.expr("transform(spans, s -> named_struct('begin', at + s.begin, 'end', at + s.end))").cast(span).alias("spans"))
+        spans = later.unionByName(first).where(F.size("spans") > 0)
+        self.spans = save(spans.groupBy("doc_id", "sha").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans")))
         drop(parts, answers, occurs)
 
     def copies(self) -> DataFrame:
