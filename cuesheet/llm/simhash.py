@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from cuesheet.llm.common import attach, by_id, components, drop, save, unused
+from cuesheet.llm.common import attach, by_id, components, drop, hot_keys, save, unused
 from cuesheet.llm.words import mix, words
 
 SEED = 42
@@ -234,51 +234,122 @@ def _joined(table: DataFrame, edges: DataFrame) -> DataFrame:
     return out
 
 
+def _rarest(ids: DataFrame, texts: DataFrame, size: int, jaccard: float) -> DataFrame:
+    """Columns id, n, at, key: of each text's n different shingles those that stand at place `at` among its rarest and in other texts too.
+
+    Texts with a similarity of j share j * n shingles at least, so one of the first n - ceil(j * n) + 1 of them in any
+    order that is the same for all. In the order of frequency these are mostly shingles that no other text here has:
+    they take their places, but only those of several texts become keys. Hot ones come last, in the order of their hashes.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = list(shingles(b.column("text"), size))
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+            flat = pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["id", "n", "all"])
+
+    held = by_id(texts, "id", ids, "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    sets = save(held.mapInArrow(run, "id long, n long, all array<long>"))
+    counts = save(sets.select(F.explode("all").alias("key")).groupBy("key").count().where("count > 1"))
+    hot = hot_keys(counts, "key")
+    rare = F.filter("all", lambda x: ~x.isin(hot)) if hot else F.col("all")
+    often = F.filter("all", lambda x: x.isin(hot)) if hot else F.array().cast("array<long>")
+    shared = sets.select("id", F.explode(rare).alias("key")).join(counts, "key")
+    shared = shared.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("count", "key"))), lambda x: x.key).alias("rare"))
+    lists = sets.select("id", "n", often.alias("often")).join(shared, "id", "left")
+    lists = lists.select("id", "n", F.concat(F.coalesce("rare", F.array().cast("array<long>")), "often").alias("keys"))
+    alone = F.col("n") - F.size("keys")
+    each = lists.select("id", "n", alone.alias("alone"), F.slice("keys", 1, F.greatest(F.lit(0), (F.col("n") - _least(jaccard * F.col("n")) + 1 - alone).cast("int"))).alias("keys"))
+    out = save(each.select("id", "n", "alone", F.posexplode("keys").alias("place", "key")).select("id", "n", (F.col("alone") + F.col("place")).alias("at"), "key"))
+    drop(sets, counts)
+    return out
+
+
+def _least(share: Column) -> Column:
+    """The least whole number from share on, which a rounding error above a whole number doesn't raise."""
+    return F.ceil(share - 1e-6)
+
+
 def _near(nodes: DataFrame, texts: DataFrame, size: int, jaccard: float, crowd: int = 8, rounds: int = 6) -> DataFrame:
-    """Edges (a, b) that connect all nodes (id, n, bands) that share a band and reach the Jaccard similarity.
+    """Edges (a, b) that connect all nodes (id, n, bands) that share a band and reach the Jaccard similarity."""
+    keyed = save(nodes.where("n > 0").select("id", "n", F.lit(0).cast("long").alias("at"), F.explode("bands").alias("key")))
+    return _linked(keyed, save(nodes.select("id", F.col("id").alias("root"))), texts, size, jaccard, crowd, rounds)
+
+
+def _linked(keyed: DataFrame, table: DataFrame, texts: DataFrame, size: int, jaccard: float, crowd: int, rounds: int, rarest: bool = False) -> DataFrame:
+    """Edges (a, b) that connect all ids that share a key and reach the Jaccard similarity.
+
+    keyed: id, n, at, key; table: id, root so far. A bucket of more than crowd nodes is compared with one of its nodes, the hub,
+    at a time: first the node whose buckets are the largest, as the middle of a crowd is in most of them, then the next
+    such node that is still apart from the first hub's component, and so on. A pair of nodes in one component needs no
+    comparison, so a crowd of near copies needs a few rounds of as many pairs as it has members; a bucket without nodes
+    apart is done. Nodes that rounds leave apart share keys with many, but are mostly similar to none: such buckets are
+    made anew from their texts' rarest shingles, which similar texts share as well. Only there, when few are left apart or
+    after the last round, are all compared with all others of their bucket that are not in their component, so no pair
+    that could connect anything is left out.
 
-    A bucket of more than crowd nodes is compared with one of its nodes, the hub, at a time: first its smallest, then
-    the smallest that is still apart from the first hub's component, and so on. A pair of nodes in one component needs
-    no comparison, so a crowd of near copies needs a few rounds of as many pairs as it has members. When
-    few nodes are left apart, or after the last round, those that were no hub are compared with all others of their bucket
-    that are not in their component, so no pair that could connect anything is left out.
+    Of n and m shingles, in one order at the places at and am, texts have `need` in common at least; so it takes that many from there on.
+    The text with fewer has such a key even among the first n - need(n, n) + 1, else it is not short there.
     """
-    keyed = save(nodes.where("n > 0").select("id", "n", F.explode("bands").alias("key")))
-    sizes = save(keyed.groupBy("key").agg(F.count("*").alias("count"), F.min(F.struct("id", "n")).alias("hub")).where("count > 1"))
-    alike = F.least("n", "m") >= jaccard * F.greatest("n", "m")
+    both = jaccard / (1 + jaccard)
+    need = _least(both * (F.col("n") + F.col("m")))
+    alike = (F.col("at") + need <= F.col("n")) & (F.col("am") + need <= F.col("m"))
+    short = F.col("at") + _least(2 * both * F.col("n")) <= F.col("n")
+    other = lambda x: x.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("at").alias("am"), *[c for c in x.columns if c == "root"])
+    sizes = save(keyed.groupBy("key").agg(F.count("*").alias("count"), F.count_if(short).alias("shorts")).where("count > 1 and shorts > 0"))
     small = keyed.join(sizes.where(F.col("count") <= crowd).select("key"), "key")
-    pairs = small.select("key", F.col("id").alias("a"), "n").join(small.select("key", F.col("id").alias("b"), F.col("n").alias("m")), "key").where("a < b")
-    many = save(attach(keyed, "key", sizes.where(F.col("count") > crowd).select("key", "count", "hub"), "inner"))
-    hubs = many.select(F.col("hub.id").alias("a"), "n", F.col("id").alias("b"), F.col("hub.n").alias("m")).where("a != b")
-    edges = _verified(pairs.where(alike).select("a", "b").unionByName(hubs.where(alike).select("a", "b")), texts, size, jaccard)
-    drop(keyed, sizes)
+    pairs = small.withColumnRenamed("id", "a").join(other(small), "key").where("a < b").where(alike).select("a", "b")
+    large = save(attach(keyed, "key", sizes.where(F.col("count") > crowd), "inner", sizes))
+    middle = large.groupBy("id").agg((-F.sum("count")).alias("far"))
+    many = save(large.join(middle, "id").select("key", "id", "n", "at", F.when(short, F.col("count")).otherwise(F.col("shorts")).alias("pairs"), F.struct("far", "id").alias("rank")))
+    hub = save(many.groupBy("key").agg(F.min(F.struct("rank", "n", "at")).alias("h")))
+    hubs = attach(many.select("key", "id", "n", "at"), "key", hub.select("key", F.col("h.rank.id").alias("a"), F.col("h.n").alias("m"), F.col("h.at").alias("am")), "inner")
+    tried = pairs.unionByName(hubs.where("a != id").where(alike).select("a", F.col("id").alias("b")))
+    if rarest:
+        root = lambda c: table.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
+        tried = tried.distinct().join(root("a"), "a").join(root("b"), "b").where("ra != rb").select("a", "b")
+    edges = _verified(tried, texts, size, jaccard)
     total = many.count()
+    drop(keyed, sizes, large)
     if not total:
-        drop(many)
+        drop(many, hub, table)
         return edges
-    found = components(edges).withColumnRenamed("component", "root")
-    table = save(nodes.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root")))
-    hub = save(many.select("key", F.col("hub.id").alias("first"), F.col("hub.id").alias("last")).distinct())
+    table = _joined(table, edges)
+    last, before = save(hub.select("key", F.col("h.rank.id").alias("first"), F.col("h.rank").alias("last"))), None
+    drop(hub)
     for turn in range(rounds + 1):
-        tops = save(attach(hub, "first", table.select(F.col("id").alias("first"), F.col("root").alias("top"))))
-        placed = save(attach(attach(many.select("key", "id", "n", "count"), "id", table), "key", tops.select("key", "last", "top")))
-        apart = placed.where("root != top and id > last")
-        left = apart.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-        if not left or left <= 4 * total or turn == rounds:
+        tops = last.join(table.select(F.col("id").alias("first"), F.col("root").alias("top")), "first")
+        rooted = save(many.join(table, "id"))
+        placed = save(attach(rooted, "key", tops.select("key", "last", "top"), "inner"))
+        drop(rooted)
+        apart = placed.where("root != top and rank > last")
+        left = apart.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+        # a round costs the same however little it settles
+        if not left or left <= 4 * total or turn == rounds or before is not None and 2 * left > before:
             break
-        new = save(apart.groupBy("key").agg(F.min(F.struct("id", "n", "root")).alias("h")))
-        met = attach(placed.select("key", "id", "n", "root"), "key", new, "inner").where("root != h.root")
-        met = met.select(F.col("h.id").alias("a"), "n", F.col("id").alias("b"), F.col("h.n").alias("m")).where(alike)
+        before = left
+        new = save(apart.groupBy("key").agg(F.min(F.struct("rank", "n", "at", "root")).alias("h")))
+        met = attach(placed.select("key", "id", "n", "at", "root"), "key", new.withColumns({"m": F.col("h.n"), "am": F.col("h.at")}), "inner")
+        met = met.where("root != h.root").where(alike).select(F.col("h.rank.id").alias("a"), F.col("id").alias("b"))
         more = _verified(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts, size, jaccard)
         edges = edges.unionByName(more)
-        later = save(hub.join(new.select("key", "h.id"), "key", "left").select("key", "first", F.coalesce("id", "last").alias("last")))
-        drop(tops, placed, new, hub)
-        hub, table = later, _joined(table, more)
-    if left:
-        rest = apart.select("key", F.col("id").alias("a"), "n", F.col("root").alias("r")).join(placed.select("key", F.col("id").alias("b"), F.col("n").alias("m"), "root"), "key")
-        rest = rest.where("r != root").where(alike)
-        edges = edges.unionByName(_verified(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts, size, jaccard))
-    drop(many, hub, tops, placed, table)
+        later = save(last.select("key", "first").join(new.select("key", F.col("h.rank").alias("last")), "key"))
+        fewer = save(attach(many, "key", new.select("key"), "inner"))
+        drop(placed, new, last, many)
+        last, many, table = later, fewer, _joined(table, more)
+    if left and rarest:
+        open_ = placed.join(apart.select("key").distinct(), "key", "left_semi")
+        first = lambda x: x.select("key", F.col("id").alias("a"), "n", "at", F.col("root").alias("r"))
+        one, rest = F.expr("root != top and rank > last"), other(open_.select("key", "id", "n", "at", "root"))
+        met = first(open_.where(one & short)).join(rest, "key").where("r != root").where(alike).select("a", "b")
+        others = other(open_.where(one).select("key", "id", "n", "at", "root"))
+        met = met.unionByName(first(open_.where(~one & short)).join(others, "key").where("r != root").where(alike).select("a", "b"))
+        edges = edges.unionByName(_verified(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts, size, jaccard))
+    elif left:
+        keys = _rarest(placed.join(apart.select("key").distinct(), "key", "left_semi").select("id").distinct(), texts, size, jaccard)
+        start = save(table.join(keys.select("id").distinct(), "id", "left_semi"))
+        edges = edges.unionByName(_linked(keys, start, texts, size, jaccard, crowd, rounds, True))
+    drop(many, last, placed, table)
     return edges
 
 

@@ -2,9 +2,9 @@
 
 import random
 
-from test_operators import documents
+from test_operators import documents, plain_components
 
-from cuesheet.llm import common, substring
+from cuesheet.llm import common, simhash, substring
 
 
 def joined(spark, run):
@@ -47,3 +47,26 @@ def test_lines_repeated_in_a_text_are_not_joined_one_by_one(spark):
     got, most = joined(spark, lambda: substring.report(docs).collect())
     assert {r["n_removed"] for r in got if r["doc_id"]} == {2400}
     assert most < 40 * 60 / 2
+
+
+def test_near_copies_that_are_not_similar_enough_are_not_paired(spark, monkeypatch):
+    """A crowd round one text: most copies share bands, but only those close to its middle are similar to any."""
+    rng = random.Random(4)
+    base, rows = [f"b{k}" for k in range(150)], []
+    for k in range(300):
+        w = list(base)
+        for at in rng.sample(range(0, 150, 6), 4 if k % 10 else 2):
+            w[at] = f"x{k}_{at}"
+        rows.append((k, " ".join(w)))
+    rows.append((300, " ".join(base)))
+    docs = documents(spark, rows)
+    prints = common.save(simhash._sketches(docs, "text", "doc_id", 5))
+    nodes = prints.select(prints["doc_id"].alias("id"), "n", "bands")
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(146)} for _, t in rows]
+    near = {(a, b) for a in range(301) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    pairs, check = [], simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda x, *how: pairs.append(x.distinct().count()) or check(x, *how))
+    edges = {(max(r), min(r)) for r in simhash._near(nodes, docs.selectExpr("doc_id as id", "text"), 5, 0.8).collect()}
+    assert edges <= near
+    assert plain_components(301, list(edges)) == plain_components(301, list(near))
+    assert sum(pairs) < 300 * 299 / 8
